@@ -36,6 +36,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LABELS = ("O", "email", "ip", "card", "phone", "id")
 EXTRA_KINDS = tuple(f"crf_{x}" for x in LABELS[1:])
 RANK = {k: i for i, k in enumerate((*BASE_KINDS, *EXTRA_KINDS))}
+#: Digits that a span of the field needs.
+LEAST_DIGITS = {"ip": 4, "card": 12, "phone": 7, "id": 9}
 #: Words on either side of a hot word that belong to its sequence.
 REACH = 3
 BUCKETS = 1 << 12
@@ -233,7 +235,8 @@ def added(text: str, base: list, seqs: list, tags: list) -> list[tuple[str, int,
                 s, e = words[i][0], words[j - 1][1]
                 while e > s and text[e - 1] in ".,;:!?":
                     e -= 1
-                if HOT.search(text, s, e) and not any(s < b[2] and b[1] < e for b in base):
+                enough = sum(map(str.isdigit, text[s:e])) >= LEAST_DIGITS.get(LABELS[tag[i]], 0)
+                if enough and HOT.search(text, s, e) and not any(s < b[2] and b[1] < e for b in base):
                     out.append((f"crf_{LABELS[tag[i]]}", s, e))
             i = j
     return out

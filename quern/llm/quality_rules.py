@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import pandas_udf
 
 from quern.llm.common import SPACE, map_rows
 from quern.session import stored
@@ -151,9 +153,6 @@ def apply_quality_rules(docs: DataFrame, **options) -> DataFrame:
 
     The verdict depends on host and text alone, so it is joined on those; every column of ``docs`` stays.
     """
-    from pyspark.sql.pandas.functions import pandas_udf
-    import pandas as pd
-
     id_col, text_col, host_col = (options.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("host_col", "source")))
     marks = quality_rules(docs, **options).where("kept").select(id_col, "removed", "text_hash")
     marks = stored(marks.dropDuplicates([id_col, "text_hash"]).select(F.col(id_col).alias("__id"), F.col("removed").alias("__removed"), "text_hash"), "marks")
