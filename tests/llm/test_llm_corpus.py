@@ -199,6 +199,20 @@ def test_packing_is_tight():
     assert packing.pack([]) == [] and packing.pack([2048, 1]) == [(0, 0), (1, 0)]
 
 
+def test_encoder_gives_the_tokenizers_ids(spark, sf):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok, encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder()
+    r = random.Random(15)
+    texts = [x.text for x in spark.read.parquet(f"{sf}/documents.parquet").collect()] + ["", "a" * 5000, " " * 3000, "a<|endoftext|>", "漢字 \u0661 𝒳 e\u0301"]
+    latin = [chr(c) for c in range(0x250)]
+    texts += latin + [a + c + b for c in latin for a, b in ((" ", "x"), ("1", " "), ("\n", "."))]
+    texts += ["".join(r.choice(latin) for _ in range(40)) for _ in range(2000)]
+    for t in texts:
+        assert encode(t) == tok.encode(t, add_special_tokens=False).ids, t
+
+
 def test_packing_round_trip(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
