@@ -11,7 +11,7 @@ chosen in every ``LENGTH``-byte string, so equal strings have equal anchors at e
 starts of a document that choose the same anchor form a run; strings of runs whose anchor stands in
 one place of the corpus cannot repeat. Of the rest, runs with equal bytes are aggregated to their
 first place; only anchors whose runs have different bytes go to the transforms, dealt by anchor
-into buckets of bounded size. Anchors with more than ``HOT`` different runs are split further by
+into buckets of bounded size and cut down to starts whose ends have an equal. Anchors with more than ``HOT`` different runs are split further by
 the place of the start, where grouping the strings themselves is exact.
 
 Defined results: a null or empty text has no bytes. Documents are ordered by id; rows that repeat
@@ -38,8 +38,8 @@ GRAM = 36
 #: Bytes of different runs in a bucket, and of a shard with a transform of its own.
 BUCKET = 4 << 20
 SHARD = 1 << 19
-#: Anchors with more different runs than this are split by start.
-HOT = 2000
+#: Anchors with more different runs than this (about 8 MB) are split by start.
+HOT = 50_000
 BUCKETS_LEAST = 24
 EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -186,48 +186,108 @@ def repeated_starts(strings: list[bytes], places: np.ndarray, length: int = LENG
     return out
 
 
-def _anchors(kind: str, length: int, gram: int):
-    schema = pa.schema([("key", pa.int64()), ("n_bytes", pa.int64()), ("digest", pa.string()), ("h", pa.list_(pa.int64())), ("p", pa.list_(pa.int32()))])
+def _anchors(length: int, gram: int):
+    schema = pa.schema([("key", pa.int64()), ("h", pa.int64()), ("t", pa.int64()), ("p", pa.int32()), ("n", pa.int32()), ("n_bytes", pa.int64()), ("digest", pa.string())])
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                keys, texts = batch.slice(at, 512).columns
+            for at in range(0, batch.num_rows, 256):
+                keys, texts = batch.slice(at, 256).columns
                 raw = [(t or "").encode() for t in texts.to_pylist()]
-                found = [runs(np.frombuffer(b, dtype=np.uint8), length, gram) for b in raw]
-                ends = np.cumsum([0, *(len(x[0]) for x in found)]).astype(np.int32)
                 if not raw:
                     continue
-                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x[k] for x in found]))) for k in (1, 0)]
-                yield pa.RecordBatch.from_arrays([keys.cast(pa.int64()), pa.array([len(b) for b in raw], pa.int64()), pa.array([hashlib.sha256(b).hexdigest() for b in raw]), *lists], schema=schema)
+                digests = [hashlib.sha256(b).hexdigest() for b in raw]
+                short = np.array([int(d[:16], 16) for d in digests], dtype=np.uint64).view(np.int64)
+                found = [runs(np.frombuffer(b, dtype=np.uint8), length, gram) for b in raw]
+                count = [len(x[0]) for x in found]
+                p = np.concatenate([x[0] for x in found])
+                ends = np.cumsum(count) - 1
+                n = np.diff(p, append=p[-1:])
+                for k, (c, e) in enumerate(zip(count, ends)):
+                    if c:
+                        n[e] = len(raw[k]) - length + 1 - p[e]
+                each = np.repeat(np.arange(len(raw)), count)
+                keys = keys.cast(pa.int64())
+                none = pa.nulls(len(p), pa.int64()), pa.nulls(len(p), pa.string())
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(each)), pa.array(np.concatenate([x[1] for x in found])), pa.array(short[each]), pa.array(p), pa.array(n.astype(np.int32)), *none], schema=schema)
+                void = [pa.nulls(len(raw), k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int32())]
+                yield pa.RecordBatch.from_arrays([keys, *void, pa.array([len(b) for b in raw], pa.int64()), pa.array(digests)], schema=schema)
+
+    return run, "key long, h long, t long, p int, n int, n_bytes long, digest string"
+
+
+def _digests(length: int):
+    schema = pa.schema([("key", pa.int64()), ("h", pa.int64()), ("d", pa.binary()), ("p", pa.int32()), ("n", pa.int32())])
+
+    def run(batches):
+        import xxhash
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                for key, text, wanted in zip(part["key"].to_pylist(), part["text"].to_pylist(), part["wanted"]):
+                    b, rows = text.encode(), wanted.values
+                    h, p, n = (rows.field(k) for k in ("h", "p", "n"))
+                    d = [xxhash.xxh3_128_digest(b[x : x + y + length - 1]) for x, y in zip(p.to_pylist(), n.to_pylist())]
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(d), pa.int64()), h, pa.array(d, pa.binary()), p, n], schema=schema)
 
-    return run, "key long, n_bytes long, digest string, h array<long>, p array<int>"
+    return run, "key long, h long, d binary, p int, n int"
 
 
 def _windows(length: int):
     def make():
         def row(key, text, wanted):
             b = text.encode()
-            out = []
-            for x in wanted:
-                s = b[x["p"] : x["q"] + length - 1]
-                out.append((x["h"], hashlib.blake2b(s, digest_size=16).digest(), s, key, x["p"], x["q"] - x["p"]))
-            return out
+            return [(x["h"], b[x["p"] : x["p"] + x["n"] + length - 1], key, x["p"], x["n"], x["kinds"]) for x in wanted]
 
         return row
 
     return make
 
 
-def _bucket(length: int):
+def possible(strings: list[bytes], length: int = LENGTH, gram: int = GRAM) -> list[tuple[int, int, int]]:
+    """(string, a, b): ranges of starts whose first and last ``gram`` bytes both equal another start's.
+
+    A start outside cannot repeat, so strings are cut down to these ranges before they are transformed.
+    """
+    size = np.array([len(s) for s in strings])
+    n, base = size - length + 1, np.cumsum(size) - size
+    g = gram_hashes(np.frombuffer(b"".join(strings), dtype=np.uint8), gram)
+    which = np.repeat(np.arange(len(strings)), n)
+    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at = base[which] + offset
+    with np.errstate(over="ignore"):
+        ends = g[at] * np.uint64(0x9E3779B97F4A7C15) ^ g[at + length - gram]
+    order = np.argsort(ends)
+    same = ends[order][1:] == ends[order][:-1]
+    hit = np.zeros(len(ends), dtype=bool)
+    hit[order[1:][same]] = True
+    hit[order[:-1][same]] = True
+    edge = np.diff(np.concatenate(([False], hit, [False])).astype(np.int8))
+    out = []
+    for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
+        while a < b:  # a range ends with its string
+            i = which[a]
+            e = min(b, a + n[i] - offset[a])
+            out.append((int(i), int(offset[a]), int(offset[a] + e - a)))
+            a = e
+    return out
+
+
+def _bucket(length: int, gram: int):
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["key", "p"]).reset_index(drop=True)
         doc = part["key"].rank(method="dense").astype("int64") - 1
-        places = (doc * (1 << 31) + part["p"]).to_numpy()
-        found = repeated_starts([bytes(x) for x in part["b"]], places, length)
+        texts, p = [bytes(x) for x in part["b"]], part["p"].to_numpy().astype(np.int64)
+        cuts = possible(texts, length, gram)
+        if not cuts:
+            return pd.DataFrame({"key": [], "a": [], "b": []}).astype("int64")
+        own, first = np.array([c[0] for c in cuts]), np.array([c[1] for c in cuts])
+        places = (doc.to_numpy() * (1 << 31) + p)[own] + first
+        found = repeated_starts([texts[i][a : b + length - 1] for i, a, b in cuts], places, length)
         i, a, b = (np.array([x[k] for x in found], dtype=np.int64) for k in range(3))
-        p = part["p"].to_numpy()[i]
-        return pd.DataFrame({"key": part["key"].to_numpy()[i], "a": p + a, "b": p + b + length - 1})
+        start = (p[own] + first)[i]
+        return pd.DataFrame({"key": part["key"].to_numpy()[own[i]], "a": start + a, "b": start + b + length - 1})
 
     return run
 
@@ -262,28 +322,31 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Ids must be integers. Texts are exchanged once, by document; what else moves is anchors and runs.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
-    run, schema = _anchors("long", length, gram)
-    meta = stored(texts.mapInArrow(run, schema), "anchors")
+    run, schema = _anchors(length, gram)
+    anchors = stored(texts.mapInArrow(run, schema), "anchors")
+    meta, each = anchors.where("h is null").select("key", "n_bytes", "digest"), anchors.where("h is not null").select("h", "key", "p", "n")
     firsts = stored(meta.groupBy("digest").agg(F.min("key").alias("first"), F.count_distinct("key").alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first"), "copies")
-    copies = stored(meta.select("key", "digest", "n_bytes").join(firsts, (F.col("digest") == F.col("d")) & (F.col("key") > F.col("first")), "left_semi").select("key", "digest", "n_bytes").distinct(), "later")
-    each = meta.select("key", "n_bytes", F.arrays_zip("h", "p").alias("z"), "p").select(
-        "key", F.posexplode("z").alias("i", "z"), "p", "n_bytes"
-    ).select("key", F.col("z.h").alias("h"), F.col("z.p").alias("p"), F.coalesce(F.get("p", F.col("i") + 1), F.col("n_bytes") - (length - 1)).cast("int").alias("q"))
-    twice = stored(meta.select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("h2")), "twice")
+    copies = stored(meta.join(firsts, (F.col("digest") == F.col("d")) & (F.col("key") > F.col("first")), "left_semi").distinct(), "later")
+    # anchors in two texts, or at two places of one; copies of a text count once
+    place = F.xxhash64("t", "p")
+    twice = anchors.where("h is not null").select("h", place.alias("x")).groupBy("h").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo <> hi")
+    twice = stored(twice.select(F.col("h").alias("h2")), "twice")
     again = each.join(twice, F.col("h") == F.col("h2"), "left_semi")
-    wanted = stored(again.groupBy("key").agg(F.collect_set(F.struct("h", "p", "q")).alias("wanted")), "wanted")
+    wanted = stored(again.groupBy("key").agg(F.collect_set(F.struct("h", "p", "n")).alias("wanted")), "wanted")
     discard(twice)
     ids = wanted.join(copies.select("key"), "key", "left_anti").withColumnRenamed("key", "k2")
     held = stored(texts.join(ids, F.col("key") == F.col("k2")).dropDuplicates(["key"]).select("key", "text", "wanted"), "held")
     discard(wanted)
-    windows = stored(map_rows(held, "h long, d binary, b binary, key long, p int, n int", _windows(length)), "windows")
-    first = stored(windows.groupBy("h", "d").agg(F.min(F.struct("key", "p")).alias("f")).select("h", "f.key", "f.p"), "first")
+    run, schema = _digests(length)
+    windows = stored(held.mapInArrow(run, schema), "windows")
+    first = stored(windows.groupBy("h", "d").agg(F.min(F.struct("key", "p", "n")).alias("f")).select("h", "f.key", "f.p", "f.n"), "first")
     kinds = stored(first.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select(F.col("h").alias("h3"), "kinds"), "kinds")
-    differ = first.join(kinds, F.col("h") == F.col("h3")).select(F.col("key").alias("k3"), F.col("p").alias("p3"), "kinds")
-    runs_ = stored(windows.join(stored(differ, "differ"), (F.col("key") == F.col("k3")) & (F.col("p") == F.col("p3"))).select("h", "b", "key", "p", "n", "kinds"), "runs")
+    differ = first.join(kinds, F.col("h") == F.col("h3")).groupBy(F.col("key").alias("k3")).agg(F.collect_list(F.struct("h", "p", "n", "kinds")).alias("differ"))
+    read = held.join(stored(differ, "differ"), F.col("key") == F.col("k3")).select("key", "text", "differ")
+    runs_ = stored(map_rows(read, "h long, b binary, key long, p int, n int, kinds long", _windows(length)), "runs")
     size = runs_.where(F.col("kinds") <= hot).agg(F.sum(F.length("b"))).first()[0] or 0
     buckets = max(BUCKETS_LEAST, -(-size // BUCKET))
-    by_merge = runs_.where(F.col("kinds") <= hot).groupBy(F.pmod("h", F.lit(buckets)).alias("bucket")).applyInPandas(_bucket(length), "key long, a long, b long")
+    by_merge = runs_.where(F.col("kinds") <= hot).groupBy(F.pmod("h", F.lit(buckets)).alias("bucket")).applyInPandas(_bucket(length, gram), "key long, a long, b long")
     # hot anchors: each start by itself; equal strings have their anchor at equal places
     starts = runs_.where(F.col("kinds") > hot).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(
         F.unhex(F.md5(F.expr(f"substring(b, o + 1, {length})"))).alias("s"), "key", (F.col("p") + F.col("o")).alias("at")
@@ -303,8 +366,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.lit(b"").alias("kept"), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"))).alias("spans"),
     )
     some = stored(changed.unionByName(whole).withColumnRenamed("key", "k5").withColumnRenamed("n_bytes", "n5"), "some")
-    m = meta.select("key", "n_bytes", "digest")
-    return m.join(some, F.col("key") == F.col("k5"), "left").select(
+    return meta.join(some, F.col("key") == F.col("k5"), "left").select(
         F.col("key").alias(id_col), "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"),
         F.coalesce("kept_sha256", "digest").alias("kept_sha256"), "kept", "spans",
     )
