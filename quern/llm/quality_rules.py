@@ -142,7 +142,7 @@ def _strip():
     import xxhash
 
     def row(text, removed):
-        gone = set(removed or ())
+        gone = set(removed)
         return "\n".join(x for x in text.split("\n") if not ((k := line_key(x)) and xxhash.xxh64_intdigest(k) - (1 << 63) in gone))
 
     return row

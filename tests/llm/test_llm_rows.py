@@ -40,7 +40,7 @@ def test_rules_match_plain_version():
 
 
 def test_frequent_lines_deplete(spark):
-    nav = " ".join(f"nav{k}" for k in range(24))
+    nav = " ".join(f"nav{k}" for k in range(12)) + "\n" + " ".join(f"nav{k}" for k in range(12, 24))
     body = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
     texts = [nav + f"\nonly {i}" for i in range(80)] + [nav + "\n" + body(i) for i in range(20)] + [body(i) for i in range(100, 200)]
     texts += [body(7777)] * 120 + EDGES  # copies are one document: their lines are not frequent
