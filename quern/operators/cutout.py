@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.grid import Grid, grid_x, grid_y, parity_pad
+from quern.functions.geom import parse_wkt, to_wkt, translated
+from quern.functions.grid import Grid, grid_x, grid_y, parity_pad, rid_of
 from quern.operators.stats import extents
 
 
@@ -94,6 +96,19 @@ def strip_vector(features: DataFrame, layout: DataFrame, g: Grid) -> DataFrame:
     return f.select("fid", "dx", "dy", *((F.col(n) + F.col("dx" if n.endswith("x") else "dy")).alias(n) for n in ("minx", "miny", "maxx", "maxy")))
 
 
+def strip_features(features: DataFrame, layout: DataFrame, g: Grid, rid: str = "file") -> DataFrame:
+    """The vector output of a strip: ``features`` (attributes kept) with moved geometry, and their RID."""
+
+    @F.pandas_udf("string")
+    def moved(wkt: pd.Series, dx: pd.Series, dy: pd.Series) -> pd.Series:
+        return pd.Series([None if w is None else to_wkt(translated(parse_wkt(w), a, b)) for w, a, b in zip(wkt, dx, dy)], dtype=object)
+
+    at = strip_vector(features, layout, g).select("fid", "dx", "dy")
+    out = features.drop("minx", "miny", "maxx", "maxy").join(at, "fid").withColumn("wkt", moved("wkt", "dx", "dy")).drop("dx", "dy")
+    name = rid_of(F.lit(g.rid), rid)
+    return out if name is None else out.withColumn("RID", name)
+
+
 def crop(pixels: DataFrame, col0: int, row0: int, width: int, height: int, g: Grid) -> tuple[DataFrame, Grid]:
     """Pixels of a window, renumbered, and the window's grid."""
     inside = F.col("col").between(col0, col0 + width - 1) & F.col("row").between(row0, row0 + height - 1)

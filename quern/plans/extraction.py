@@ -124,7 +124,7 @@ def strip(features: DataFrame, raster: Raster, o: Options = Options()) -> tuple[
     cells = rasterize.geometries_to_cells(f, g, o.pixprop, o.edge_mode, o.skip_invalid_polys)
     layout = cutout.strip_layout(cutout.cutout_windows(cells, g), o.separation)
     bands = [c for c in px.columns if c.startswith("band")]
-    return layout, cutout.strip_full(layout, cutout.strip_pixels(layout, px, g, bands, o.nodata or 0.0), bands, o.nodata or 0.0), cutout.strip_vector(f, layout, g)
+    return layout, cutout.strip_full(layout, cutout.strip_pixels(layout, px, g, bands, o.nodata or 0.0), bands, o.nodata or 0.0), cutout.strip_features(f, layout, g, o.rid)
 
 
 def rasterized(features: DataFrame, g: Grid, o: Options = Options(), value: int = 1) -> DataFrame:

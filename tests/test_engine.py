@@ -55,7 +55,9 @@ def test_cutouts_strip_burn(raster, layer):
     assert (w[1].width, w[1].height, w[3].width, w[3].name) == (3, 3, 7, "0003.img") and pixels.where("fid = 1").count() == 9
     layout, full, moved = x.strip(layer, raster, x.Options(separation=1))
     assert [(r.fid, r.strip_row) for r in layout.orderBy("fid").collect()] == [(1, 0), (2, 4), (3, 6)]
-    assert full.count() == 7 * 7 and moved.count() == 3 and full.where("fid = -1 and x = 0").count() > 0
+    m = {r.fid: r for r in moved.collect()}
+    assert m[2].wkt == "POINT (0.5 -4.5)" and m[2].name == "b" and m[2].RID == "one.img"
+    assert full.count() == 7 * 7 and full.where("fid = -1 and x = 0").count() > 0
     assert x.rasterized(layer, raster[0], value=5).where("value = 5").count() == 17
     assert [r["class"] for r in x.classes(layer, [raster]).where("fid = 2").collect()] == [52]
 
