@@ -1,9 +1,9 @@
 """Removal of bytes covered by long strings that also start earlier in the corpus.
 
 Method: shard Burrows-Wheeler transforms are merged by iterative interleave refinement. Each round
-replaces the interleave by the one that sorts by one more byte (a stable counting step over the
+replaces the interleave by the one that sorts by two more bytes (a stable counting step over the
 merged transform); the round at which a boundary between two rows first appears is their common
-prefix, and after ``LENGTH`` rounds the rows between boundaries are the repeated intervals. No
+prefix, and after ``LENGTH`` bytes the rows between boundaries are the repeated intervals. No
 suffix of the union is sorted again.
 
 What is merged is kept bounded as follows. A winnowed anchor (least hash of ``GRAM`` bytes) is
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import map_rows
-from quern.session import discard, stored
+from quern.session import discard, release, stored
 
 LENGTH = 100
 GRAM = 36
@@ -81,43 +81,61 @@ def runs(b: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndar
     return first.astype(np.int32), h[pos[first]].view(np.int64)
 
 
+#: Bytes that the first sort of a shard compares at once.
+PACKED = 7
+
+
 def suffix_array(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Of strings laid end to end, each closed by a 0 of its own (at ``ends``); by prefix doubling."""
+    """Of strings laid end to end, each closed by a 0 at its end; closing bytes are ordered by string.
+
+    A first sort by ``PACKED`` bytes, then prefix doubling. What lies behind a string's end is never compared.
+    """
     n = len(codes)
-    rank = codes.astype(np.int64) + len(ends)
-    rank[ends] = np.arange(len(ends))
-    step = 1
+    own = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=-1))
+    left = ends[own] - np.arange(n)
+    key = np.zeros(n, dtype=np.int64)
+    wide = codes.astype(np.int64)
+    for k in range(PACKED):
+        key <<= 9
+        key[: n - k] += np.where(left[: n - k] >= k, wide[k:], 0)
+    step = PACKED
     while True:
-        after = np.zeros(n, dtype=np.int64)
-        after[: n - step] = rank[step:] + 1
-        key = rank * (n + len(ends) + 258) + after
-        order = np.argsort(key, kind="stable")
-        new = np.cumsum(np.concatenate(([0], key[order][1:] != key[order][:-1])))
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = new
+        order = np.argsort(key)
+        sorted_ = key[order]
+        new = np.cumsum(np.concatenate(([0], sorted_[1:] != sorted_[:-1])))
         if new[-1] == n - 1:
             return order
+        rank = np.empty(n, dtype=np.int64)
+        rank[order] = new
+        at = np.minimum(np.arange(n) + step, n - 1)
+        key = rank * (n + len(ends)) + np.where(left >= step, rank[at] + len(ends), own)
         step *= 2
 
 
 def transform(strings: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(transform, suffix array, positions' strings' ends) of a shard; 0 closes each string."""
+    """(transform, suffix array, ends of the strings) of a shard; 0 closes each string.
+
+    A row of the transform holds the two bytes before its suffix (round the end of its string) as one
+    code, which is 0 if the first of them closes a string.
+    """
     flat = np.frombuffer(b"\0".join(strings) + b"\0", dtype=np.uint8)
     ends = np.cumsum([len(s) + 1 for s in strings]) - 1
-    codes = table[flat]
+    codes = table[flat].astype(np.int32)
     codes[ends] = 0
     sa = suffix_array(codes, ends)
-    before = sa - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    whole = np.isin(sa, starts)
-    bwt = np.where(whole, 0, codes[before]).astype(codes.dtype)
-    return bwt, sa, ends
+    before = np.arange(len(codes)) - 1
+    before[np.concatenate(([0], ends[:-1] + 1))] = ends
+    last = codes[before]
+    first = last[before]
+    pair = np.where(first == 0, 0, first * (int(table.max()) + 1) + last)
+    return pair[sa].astype(np.uint16 if pair.max() < 1 << 16 else np.int32), sa, ends
 
 
-def merged(bwts: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave (shard of each row) and common prefixes with the row before, up to ``length``.
+def merged(bwts: list[np.ndarray], length: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Interleave (shard of each row) and common prefixes with the row before, to even lengths, up to ``length`` (even).
 
-    Rows are sorted by ``length`` bytes when this ends; common prefixes of ``length`` or more read ``length``.
+    ``base``: codes are pairs, first byte * base + second. A round sorts by two more bytes; rows are
+    sorted by ``length`` bytes when this ends.
     """
     source = np.concatenate(bwts)
     inter = np.repeat(np.arange(len(bwts), dtype=np.uint8 if len(bwts) < 256 else np.int32), [len(x) for x in bwts])
@@ -126,22 +144,29 @@ def merged(bwts: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]
     bound = np.zeros(n, dtype=bool)
     bound[0] = True
     lcp[0] = 0
-    for h in range(1, length + 1):
+    tally = np.bincount(source)
+    stop = np.cumsum(tally)
+    # groups of codes that hold a closing byte: their rows go by shard, then string
+    closing = [(int(stop[c] - tally[c]), int(stop[c])) for c in np.flatnonzero(tally) if c % base == 0 or c == 0]
+    fixed = np.zeros(n, dtype=bool)
+    for a, b in closing:
+        fixed[a:b] = True
+    for h in range(2, length + 1, 2):
         block = np.cumsum(bound, dtype=np.int32)
         row = np.empty(n, dtype=source.dtype)
         row[np.argsort(inter, kind="stable")] = source
         order = np.argsort(row, kind="stable")
-        chars, blocks = row[order], block[order]
-        new = np.empty(n, dtype=bool)
+        codes, blocks = row[order], block[order]
+        new = fixed.copy()
         new[0] = True
-        new[1:] = (chars[1:] != chars[:-1]) | (blocks[1:] != blocks[:-1]) | (chars[1:] == 0)
+        new[1:] |= (codes[1:] != codes[:-1]) | (blocks[1:] != blocks[:-1])
         inter = inter[order]
-        closed = int(np.searchsorted(chars, 0, side="right"))
-        inter[:closed] = np.sort(inter[:closed])  # closing bytes go by shard, then string
+        for a, b in closing:
+            inter[a:b] = np.sort(inter[a:b])
         fresh = new & ~bound
-        if not fresh.any() and h > 1:
+        if not fresh.any() and h > 2:
             break
-        lcp[fresh] = h - 1
+        lcp[fresh] = h - 2
         bound |= new
     return inter, lcp
 
@@ -162,7 +187,7 @@ def repeated_starts(strings: list[bytes], places: np.ndarray, length: int = LENG
         parts[-1].append(i)
         size += len(s) + 1
     made = [transform([strings[i] for i in part], table) for part in parts]
-    inter, lcp = merged([m[0] for m in made], length)
+    inter, lcp = merged([m[0] for m in made], length, int(table.max()) + 1)
     where, offset = np.empty(len(inter), dtype=np.int64), np.empty(len(inter), dtype=np.int64)
     order = np.argsort(inter, kind="stable")
     at = 0
@@ -321,22 +346,30 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Ids must be integers. Texts are exchanged once, by document; what else moves is anchors and runs.
     """
+    if length % 2 or length < gram:
+        raise ValueError("length must be even and at least gram")
     texts = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
     run, schema = _anchors(length, gram)
     anchors = stored(texts.mapInArrow(run, schema), "anchors")
-    meta, each = anchors.where("h is null").select("key", "n_bytes", "digest"), anchors.where("h is not null").select("h", "key", "p", "n")
+    meta = stored(anchors.where("h is null").select("key", "n_bytes", "digest"), "meta")
+    each = anchors.where("h is not null").select("h", "key", "p", "n")
     firsts = stored(meta.groupBy("digest").agg(F.min("key").alias("first"), F.count_distinct("key").alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first"), "copies")
     copies = stored(meta.join(firsts, (F.col("digest") == F.col("d")) & (F.col("key") > F.col("first")), "left_semi").distinct(), "later")
     # anchors in two texts, or at two places of one; copies of a text count once
     place = F.xxhash64("t", "p")
     twice = anchors.where("h is not null").select("h", place.alias("x")).groupBy("h").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo <> hi")
     twice = stored(twice.select(F.col("h").alias("h2")), "twice")
-    again = each.join(twice, F.col("h") == F.col("h2"), "left_semi")
-    wanted = stored(again.groupBy("key").agg(F.collect_set(F.struct("h", "p", "n")).alias("wanted")), "wanted")
+    wanted = stored(each.join(twice, F.col("h") == F.col("h2"), "left_semi").groupBy("key").agg(F.collect_set(F.struct("h", "p", "n")).alias("wanted")), "wanted")
+    spark = docs.sparkSession
     discard(twice)
+    discard(anchors)
+    del each, twice, anchors
+    release(spark)
     ids = wanted.join(copies.select("key"), "key", "left_anti").withColumnRenamed("key", "k2")
     held = stored(texts.join(ids, F.col("key") == F.col("k2")).dropDuplicates(["key"]).select("key", "text", "wanted"), "held")
     discard(wanted)
+    del wanted, ids
+    release(spark)
     run, schema = _digests(length)
     windows = stored(held.mapInArrow(run, schema), "windows")
     first = stored(windows.groupBy("h", "d").agg(F.min(F.struct("key", "p", "n")).alias("f")).select("h", "f.key", "f.p", "f.n"), "first")
@@ -359,6 +392,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     gone = by_merge.unionByName(by_start).unionByName(later).groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
     gone = stored(gone.withColumnRenamed("key", "k4"), "gone")
+    for old in (windows, runs_, first):
+        discard(old)
+    del windows, runs_, first, by_merge, by_start, later, read
+    release(spark)
     cut_schema = "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>"
     changed = stored(map_rows(held.join(gone, F.col("key") == F.col("k4")).select("key", "text", "gone"), cut_schema, _cut), "cut")
     whole = copies.where(F.col("n_bytes") >= length).select(
