@@ -87,7 +87,7 @@ def _bytes():
 
 
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, gone): the numbers of the chunks to remove, for the documents that lose any.
+    """(id, gone): numbers and digests of the chunks to remove, for the documents that lose any.
 
     Digests pick what can repeat; then the bytes themselves are the grouping key, which a partial
     aggregate collapses before the exchange, so a passage in a third of all documents is one row a task.
@@ -104,7 +104,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # bytes that share a digest with other bytes (never seen) are left alone
     firsts = stored(equal.groupBy("h").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("kinds")).where("kinds = 1").select(F.col("h").alias("h1"), "first"), "firsts")
     gone = again.join(firsts, F.col("h") == F.col("h1")).where(F.struct("key", "c") != F.col("first"))
-    return stored(gone.groupBy("key").agg(F.collect_set("c").alias("gone")).withColumnRenamed("key", id_col), "gone")
+    return stored(gone.groupBy("key").agg(F.collect_set(F.struct("c", "h")).alias("gone")).withColumnRenamed("key", id_col), "gone")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,11 +112,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = repeated_chunks(docs, id_col, text_col).withColumnRenamed(id_col, "__id")
 
     @pandas_udf("string")
-    def cut(text: pd.Series, gone: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else t if g is None else without(t, set(g)) for t, g in zip(text, gone)], dtype=object)
+    def cut(text: pd.Series, c: pd.Series, h: pd.Series) -> pd.Series:
+        # another text under the same id keeps what is not the chunk that was judged
+        own = lambda t, c, h: {k for k, s in multi_line(t) if (k, _digest(s)) in set(zip(c, map(bytes, h)))}
+        return pd.Series([None if t is None else without(t, own(t, x, y)) for t, x, y in zip(text, c, h)], dtype=object)
 
     j = docs.join(gone, F.col(id_col) == F.col("__id"), "left")
-    j = j.withColumn("__text", cut(F.col(text_col), F.col("gone")))
+    j = j.withColumn("__cut", cut(F.when(F.col("gone").isNotNull(), F.col(text_col)), F.col("gone.c"), F.col("gone.h")))  # only those texts leave the JVM
+    j = j.withColumn("__text", F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.col("__cut")))
     put = {text_col: F.col("__text"), "n_chars": F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("__text").cast("long")) if "n_chars" in docs.columns else None}
     return j.select(
         *(put[c].alias(c) if c in put else F.col(c) for c in docs.columns), F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed_chunks")

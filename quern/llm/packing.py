@@ -68,25 +68,31 @@ def encoder(tokenizer: str | None = None):
     used for texts of Latin letters (where both libraries' character tables are the same) that hold no
     special token's string; all other texts go to the tokenizer itself.
     """
+    from functools import cache
+
     from tokenizers import Tokenizer
 
     if tokenizer is not None:
         exact = Tokenizer.from_file(tokenizer)
         return lambda text: exact.encode_batch_fast([text], add_special_tokens=False)[0].ids
     import base64
+    import json
 
     import public_tokenizers
     import tiktoken
 
-    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    load = cache(lambda: Tokenizer.from_file(path))  # only when a text needs it
+    with open(path, encoding="utf-8") as f:
+        special = [t["content"] for t in json.load(f)["added_tokens"]]
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    other = re.compile("[^\x00-\u024f]|" + "|".join(re.escape(t.content) for t in exact.get_added_tokens_decoder().values()))
+    other = re.compile("[^\x00-\u024f]|" + "|".join(map(re.escape, special)))
 
     def encode(text: str) -> list[int]:
         if other.search(text):
-            return exact.encode_batch_fast([text], add_special_tokens=False)[0].ids
+            return load().encode_batch_fast([text], add_special_tokens=False)[0].ids
         return quick.encode_ordinary(text)
 
     return encode

@@ -71,18 +71,22 @@ def rules(text: str | None) -> tuple:
 def _measure():
     import xxhash
 
-    def row(key, text, host):
+    def row(key, text, host, digest):
         lines: dict[int, int] = {}
         for x in (text or "").split("\n"):
             if k := line_key(x):
                 h = xxhash.xxh64_intdigest(k) - (1 << 63)
                 lines[h] = lines.get(h, 0) + k.count(b" ") + 1
-        h128 = xxhash.xxh3_128_digest((text or "").encode())
-        return [(key, host, h128, *rules(text), [{"h": h, "w": w} for h, w in lines.items()])]
+        return [(key, host, digest, *rules(text), [{"h": h, "w": w} for h, w in lines.items()])]
 
     return row
 
 
+def text_digest(text_col: str):
+    """128 bits of a text, null as the empty text: rows of one text share their lines' verdict."""
+    return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+
+
 def quality_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
     line_share: float = LINE_SHARE, line_docs: int = LINE_DOCS, left_words: int = LEFT_WORDS, left_share: float = LEFT_SHARE,
@@ -96,7 +100,7 @@ def quality_rules(
     kind = docs.schema[id_col].dataType.simpleString()
     rows = stored(
         map_rows(
-            docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), F.col(host_col).alias("host")),
+            docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), F.col(host_col).alias("host"), text_digest(text_col)),
             f"key {kind}, host string, text_hash binary, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<h:long,w:int>>",
             _measure,
         ),
@@ -160,17 +164,12 @@ def apply_quality_rules(docs: DataFrame, **options) -> DataFrame:
     @pandas_udf("string")
     def strip(text: pd.Series, removed: pd.Series) -> pd.Series:
         f = _strip()
-        return pd.Series([t if r is None or t is None else f(t, r) for t, r in zip(text, removed)], dtype=object)
-
-    @pandas_udf("binary")
-    def hashed(text: pd.Series) -> pd.Series:
-        import xxhash
-
-        return pd.Series([xxhash.xxh3_128_digest((t or "").encode()) for t in text], dtype=object)
+        return pd.Series([None if t is None else f(t, r) for t, r in zip(text, removed)], dtype=object)
 
-    d = docs.withColumn("__hash", hashed(F.col(text_col)))
+    d = docs.withColumn("__hash", text_digest(text_col))
     j = d.join(marks, (F.col(id_col).eqNullSafe(F.col("__id"))) & (F.col("__hash") == F.col("text_hash")))
-    new = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(strip(F.col(text_col), F.col("__removed")))
+    j = j.withColumn("__new", strip(F.when(F.col("__removed").isNotNull(), F.col(text_col)), F.col("__removed")))  # only those texts leave the JVM
+    new = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(F.col("__new"))
     cols = [new.alias(c) if c == text_col else F.when(F.col("__removed").isNull(), F.col(c)).otherwise(F.length(new)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return j.select(*cols)
 
