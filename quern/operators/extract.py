@@ -13,6 +13,16 @@ def join_pixels(cells: DataFrame, pixels: DataFrame, on: tuple[str, ...] = ("col
     return cells.join(pixels, list(on), how)
 
 
+def tiled(df: DataFrame, size: int = 1024) -> DataFrame:
+    """``df(col, row)`` with ``tile``, the square of ``size`` cells it lies in.
+
+    Pixel tables written by tile (:func:`quern.sources.sinks.write_pixels`) are joined on rid, tile,
+    col and row: the tiles that the cells touch are known at run time and prune the scan.
+    """
+    at = lambda c: F.floor(F.col(c) / F.lit(size)).cast("long")
+    return df.withColumn("tile", at("row") * F.lit(1 << 20) + at("col"))
+
+
 def band_values(cells: DataFrame, pixels: DataFrame, band: str, on: tuple[str, ...] = ("col", "row")) -> DataFrame:
     """``cells`` with one band's value, 0 outside the grid."""
     return cells.join(pixels.select(*on, F.col(band).alias("value")), list(on), "left").withColumn("value", F.coalesce(F.col("value"), F.lit(0)))

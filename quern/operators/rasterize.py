@@ -148,9 +148,15 @@ def geometries_to_spans(features: DataFrame, g: Grid, pixprop: float = 0.5, edge
     return features.select(F.col("fid").cast("long"), "wkt").mapInArrow(run, SPANS)
 
 
-def geometries_to_cells(features: DataFrame, g: Grid, pixprop: float = 0.5, edge_mode: str = "reference", skip_invalid_polys: bool = False) -> DataFrame:
-    """(fid, part, kind, col, row). Points and lines have each cell once a feature; polygon parts may share cells."""
+def geometries_to_cells(features: DataFrame, g: Grid, pixprop: float = 0.5, edge_mode: str = "reference", skip_invalid_polys: bool = False, spread: bool = False) -> DataFrame:
+    """(fid, part, kind, col, row). Points and lines have each cell once a feature; polygon parts may share cells.
+
+    ``spread`` deals the spans by feature and row before they become cells, so that a polygon over a
+    whole raster is not one task's work; the exchange carries spans, not cells.
+    """
     spans = geometries_to_spans(features, g, pixprop, edge_mode, skip_invalid_polys)
+    if spread:
+        spans = spans.repartition("fid", "row")
     cells = spans.select("fid", "part", "kind", F.explode(F.sequence("col_from", "col_to")).alias("col"), "row")
     polygons = cells.where("kind = 'POLYGON'")
     return cells.where("kind <> 'POLYGON'").dropDuplicates(["fid", "col", "row"]).unionByName(polygons)

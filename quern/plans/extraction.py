@@ -36,6 +36,7 @@ class Options:
     parity: str | None = None
     only_inside: bool = False
     compat: bool = False
+    spread: bool = False
 
     def __post_init__(self):
         if self.box and self.buffer:
@@ -72,7 +73,7 @@ def extracted(features: DataFrame, rasters: list[Raster], o: Options, masks: lis
     parts = []
     for k, (g, px) in enumerate(rasters):
         near = f if o.fid is not None else extract.touching(f, g, o.edge_mode)
-        cells = rasterize.geometries_to_cells(shaped(near, g, o), g, o.pixprop, o.edge_mode, o.skip_invalid_polys)
+        cells = rasterize.geometries_to_cells(shaped(near, g, o), g, o.pixprop, o.edge_mode, o.skip_invalid_polys, o.spread)
         parts.append(extract.join_pixels(cells, px.drop("rid")).withColumns({"rid": F.lit(g.rid), "idx": F.lit(k)}))
     out = reduce(DataFrame.unionByName, parts)
     if o.duplicate or o.ignore_nodata:

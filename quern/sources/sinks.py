@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.grid import Grid
+from quern.operators.extract import tiled
 from quern.sources.tables import ENVI_TYPES
 
 
@@ -69,6 +70,8 @@ def write_envi(pixels: DataFrame, g: Grid, bands: list[str], path: str, data_typ
         f.write(envi_header(g, len(bands), data_type))
 
 
-def write_pixels(pixels: DataFrame, path: str) -> None:
-    """The pixel table, by raster, so that reads of some rasters prune the rest."""
-    pixels.write.mode("overwrite").partitionBy("rid").parquet(path)
+def write_pixels(pixels: DataFrame, path: str, tile: int | None = None) -> None:
+    """The pixel table, by raster and, if ``tile`` is given, by square of that many cells: reads of some prune the rest."""
+    keys = ["rid"] if tile is None else ["rid", "tile"]
+    out = pixels if tile is None else tiled(pixels, tile)
+    out.repartition(*keys).sortWithinPartitions(*keys, "row", "col").write.mode("overwrite").partitionBy(*keys).parquet(path)

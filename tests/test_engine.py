@@ -115,6 +115,26 @@ def test_delimited_files(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "d"), header=True).count() == 4
 
 
+def test_tiles_prune(spark, sf, tmp_path):
+    px = fx.flag_pixels(spark, sf).cache()
+    sinks.write_pixels(px, str(tmp_path / "px"), tile=16)
+    back = spark.read.parquet(str(tmp_path / "px"))
+    cells = fx.flag_box_cells(spark, sf).where("fid < 20")
+    on = ("rid", "tile", "col", "row")
+    got = extract.join_pixels(extract.tiled(cells, 16), back, on).select("fid", "rid", "col", "row", "band1")
+    want = extract.join_pixels(cells, px, ("rid", "col", "row")).select("fid", "rid", "col", "row", "band1")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 0
+
+
+def test_spread_polygons(spark):
+    g = Grid(50, 40, 0.0, 40.0)
+    f = spark.createDataFrame([(1, "POLYGON ((-5 -5,60 -5,60 60,-5 60,-5 -5))")], "fid long, wkt string")
+    from quern.operators.rasterize import geometries_to_cells
+
+    a, b = (sorted(map(tuple, geometries_to_cells(f, g, edge_mode="full", spread=k).collect())) for k in (False, True))
+    assert a == b and len(a) == 2000
+
+
 def test_layers(spark, tmp_path, layer):
     layer.write.parquet(str(tmp_path / "l.parquet"))
     assert tables.layer(spark, str(tmp_path / "l.parquet")).count() == 4
