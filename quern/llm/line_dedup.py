@@ -109,7 +109,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated chunks removed from the text (``n_chars`` follows), and ``n_removed_chunks``."""
-    gone = repeated_chunks(docs, id_col, text_col).withColumnRenamed(id_col, "__id")
+    gone = repeated_chunks(docs, id_col, text_col).select(F.col(id_col).alias("__id"), F.col("gone").alias("__gone"))
 
     @pandas_udf("string")
     def cut(text: pd.Series, c: pd.Series, h: pd.Series) -> pd.Series:
@@ -118,11 +118,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return pd.Series([None if t is None else without(t, own(t, x, y)) for t, x, y in zip(text, c, h)], dtype=object)
 
     j = docs.join(gone, F.col(id_col) == F.col("__id"), "left")
-    j = j.withColumn("__cut", cut(F.when(F.col("gone").isNotNull(), F.col(text_col)), F.col("gone.c"), F.col("gone.h")))  # only those texts leave the JVM
-    j = j.withColumn("__text", F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.col("__cut")))
-    put = {text_col: F.col("__text"), "n_chars": F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("__text").cast("long")) if "n_chars" in docs.columns else None}
+    j = j.withColumn("__cut", cut(F.when(F.col("__gone").isNotNull(), F.col(text_col)), F.col("__gone.c"), F.col("__gone.h")))  # only those texts leave the JVM
+    j = j.withColumn("__text", F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.col("__cut")))
+    put = {text_col: F.col("__text"), "n_chars": F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("__text").cast("long")) if "n_chars" in docs.columns else None}
     return j.select(
-        *(put[c].alias(c) if c in put else F.col(c) for c in docs.columns), F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed_chunks")
+        *(put[c].alias(c) if c in put else F.col(c) for c in docs.columns if c != "n_removed_chunks"), F.coalesce(F.size("__gone"), F.lit(0)).alias("n_removed_chunks")
     )
 
 

@@ -365,3 +365,37 @@ def test_operators_take_null_ids(spark):
     df = frame(spark, ["a b c d e f"] * 3, ids=[None, None, 4])
     assert simhash.simhash(df).count() == 3 and mixing.mix(df).count() == 3
     assert line_dedup.line_dedup(df).count() == 3 and packing.best_fit_packing(df).count() == 3 and suffix_dedup.suffix_dedup(df).count() == 3
+
+
+def test_operators_take_repeated_rows_and_long_texts(spark):
+    from quern.llm import pii, quality_rules, secrets
+
+    r = random.Random(16)
+    texts = [words(r, 60_000), "\n".join(["same line of words here"] * 5000), "", None, words(r, 50), "w" * 300_000]
+    df = frame(spark, texts)
+    twice = df.unionByName(df)
+    for f in (simhash.simhash, mixing.mix, line_dedup.line_dedup, quality_rules.quality_rules, secrets.secret_scan, pii.pii):
+        rows = f(twice).collect()
+        assert len(rows) == 12
+        by = defaultdict(set)
+        for x in rows:
+            by[x.doc_id].add(str(x))
+        assert all(len(v) == 1 for v in by.values()), f
+    out = suffix_dedup.suffix_dedup(twice).select("doc_id", "n_removed", "kept_sha256").collect()
+    assert len(out) == 12 and len(set(out)) == 6
+    assert packing.best_fit_packing(twice).count() == 2 * packing.best_fit_packing(df).count()
+    assert simhash.drop_near_copies(twice).count() == simhash.drop_near_copies(df).count()
+    assert line_dedup.line_dedup(twice).where("doc_id = 4").select("text").distinct().count() == 1
+
+
+def test_filters_take_clashing_columns(spark):
+    from quern.llm import quality_rules
+
+    F = simhash.F
+    names = ["gone", "text_hash", "removed", "kept", "wanted", "size", "copies", "fp", "first", "component_id", "n_removed_chunks", "lines", "host", "u", "v", "c", "p", "n"]
+    df = frame(spark, corpus()).withColumns({n: F.lit(7) for n in names})
+    for f in (quality_rules.apply_quality_rules, line_dedup.line_dedup, simhash.drop_near_copies, mixing.apply_mix):
+        rows = f(df).collect()
+        assert rows and all(r[n] == 7 for r in rows for n in names if n != "n_removed_chunks")
+    for f in (quality_rules.quality_rules, simhash.simhash, mixing.mix, packing.best_fit_packing, suffix_dedup.suffix_dedup):
+        assert f(df).count() >= df.count()
