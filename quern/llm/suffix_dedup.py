@@ -359,8 +359,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     place = F.xxhash64("t", "p")
     twice = anchors.where("h is not null").select("h", place.alias("x")).groupBy("h").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo <> hi")
     twice = stored(twice.select(F.col("h").alias("h2")), "twice")
-    wanted = stored(each.join(twice, F.col("h") == F.col("h2"), "left_semi").groupBy("key").agg(F.collect_set(F.struct("h", "p", "n")).alias("wanted")), "wanted")
     spark = docs.sparkSession
+    release(spark)
+    wanted = stored(each.join(twice, F.col("h") == F.col("h2"), "left_semi").groupBy("key").agg(F.collect_set(F.struct("h", "p", "n")).alias("wanted")), "wanted")
     discard(twice)
     discard(anchors)
     del each, twice, anchors
@@ -373,10 +374,13 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     run, schema = _digests(length)
     windows = stored(held.mapInArrow(run, schema), "windows")
     first = stored(windows.groupBy("h", "d").agg(F.min(F.struct("key", "p", "n")).alias("f")).select("h", "f.key", "f.p", "f.n"), "first")
+    release(spark)
     kinds = stored(first.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select(F.col("h").alias("h3"), "kinds"), "kinds")
     differ = first.join(kinds, F.col("h") == F.col("h3")).groupBy(F.col("key").alias("k3")).agg(F.collect_list(F.struct("h", "p", "n", "kinds")).alias("differ"))
     read = held.join(stored(differ, "differ"), F.col("key") == F.col("k3")).select("key", "text", "differ")
     runs_ = stored(map_rows(read, "h long, b binary, key long, p int, n int, kinds long", _windows(length)), "runs")
+    del kinds, differ
+    release(spark)
     size = runs_.where(F.col("kinds") <= hot).agg(F.sum(F.length("b"))).first()[0] or 0
     buckets = max(BUCKETS_LEAST, -(-size // BUCKET))
     by_merge = runs_.where(F.col("kinds") <= hot).groupBy(F.pmod("h", F.lit(buckets)).alias("bucket")).applyInPandas(_bucket(length, gram), "key long, a long, b long")
