@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
 from quern.llm.common import SPACE, map_rows
-from quern.session import stored
+from quern.session import release, stored
 
 #: Lines whose hashes the rolling hash covers, and the mean chunk in lines beyond the least.
 WINDOW = 2
@@ -98,11 +98,13 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     twice = stored(all_keys.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("h2")), "twice")
     again = stored(all_keys.join(twice, F.col("h") == F.col("h2"), "left_semi"), "again")
     wanted = again.groupBy("key").agg(F.collect_set("c").alias("wanted")).withColumnRenamed("key", "k2")
-    held = texts.join(stored(wanted, "wanted"), F.col("key") == F.col("k2")).select("key", "text", "wanted")
+    held = texts.join(stored(wanted, "wanted").hint("merge"), F.col("key") == F.col("k2")).select("key", "text", "wanted")
     read = map_rows(held, f"key {kind}, c int, h binary, b binary", _bytes)
     equal = read.groupBy("h", "b").agg(F.min(F.struct("key", "c")).alias("first"), F.count(F.lit(1)).alias("n"))
     # bytes that share a digest with other bytes (never seen) are left alone
     firsts = stored(equal.groupBy("h").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("kinds")).where("kinds = 1").select(F.col("h").alias("h1"), "first"), "firsts")
+    del held, read, equal
+    release(docs.sparkSession)
     gone = again.join(firsts, F.col("h") == F.col("h1")).where(F.struct("key", "c") != F.col("first"))
     return stored(gone.groupBy("key").agg(F.collect_set(F.struct("c", "h")).alias("gone")).withColumnRenamed("key", id_col), "gone")
 
@@ -117,7 +119,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         own = lambda t, c, h: {k for k, s in multi_line(t) if (k, _digest(s)) in set(zip(c, map(bytes, h)))}
         return pd.Series([None if t is None else without(t, own(t, x, y)) for t, x, y in zip(text, c, h)], dtype=object)
 
-    j = docs.join(gone, F.col(id_col) == F.col("__id"), "left")
+    j = docs.join(gone.hint("merge"), F.col(id_col) == F.col("__id"), "left")
     j = j.withColumn("__cut", cut(F.when(F.col("__gone").isNotNull(), F.col(text_col)), F.col("__gone.c"), F.col("__gone.h")))  # only those texts leave the JVM
     j = j.withColumn("__text", F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.col("__cut")))
     put = {text_col: F.col("__text"), "n_chars": F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("__text").cast("long")) if "n_chars" in docs.columns else None}

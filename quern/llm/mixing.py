@@ -141,7 +141,7 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` with each row as often as the mix takes it (empty documents once, as they cost nothing)."""
     plan = mix(docs, id_col, **options).select(F.col(id_col).alias("__id"), "copies", "size")
     plan = stored(plan.groupBy("__id").agg(F.max(F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))).alias("__n")), "plan")
-    out = docs.join(plan, F.col(id_col).eqNullSafe(F.col("__id")))
+    out = docs.join(plan.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")))
     return out.where("__n > 0").withColumn("__c", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
 
 

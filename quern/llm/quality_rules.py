@@ -167,7 +167,7 @@ def apply_quality_rules(docs: DataFrame, **options) -> DataFrame:
         return pd.Series([None if t is None else f(t, r) for t, r in zip(text, removed)], dtype=object)
 
     d = docs.withColumn("__hash", text_digest(text_col))
-    j = d.join(marks, (F.col(id_col).eqNullSafe(F.col("__id"))) & (F.col("__hash") == F.col("__text_hash")))
+    j = d.join(marks.hint("merge"), (F.col(id_col).eqNullSafe(F.col("__id"))) & (F.col("__hash") == F.col("__text_hash")))
     j = j.withColumn("__new", strip(F.when(F.col("__removed").isNotNull(), F.col(text_col)), F.col("__removed")))  # only those texts leave the JVM
     new = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(F.col("__new"))
     cols = [new.alias(c) if c == text_col else F.when(F.col("__removed").isNull(), F.col(c)).otherwise(F.length(new)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]

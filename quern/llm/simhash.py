@@ -88,7 +88,7 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seg
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group: the one of least id (of repeated rows, one). Rows without id stay."""
     keep = simhash(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keep")).distinct()
-    one = docs.dropDuplicates([id_col]).join(stored(keep, "keep"), F.col(id_col) == F.col("__keep"), "left_semi")
+    one = docs.dropDuplicates([id_col]).join(stored(keep, "keep").hint("merge"), F.col(id_col) == F.col("__keep"), "left_semi")
     return one.unionByName(docs.where(F.col(id_col).isNull()))
 
 
