@@ -1,14 +1,16 @@
-"""Line dedup over content-defined chunks of lines.
+"""Line dedup over content-defined pieces of two lines.
 
-Method: a rolling hash over the hashes of the last lines chooses chunk boundaries, so that an
-inserted line shifts no boundary beyond its neighbours. Chunks of two or more lines that stand
-anywhere else in the corpus are compared byte for byte; of equal ones all but the first (by
-document id, then place) are removed.
+Method: a window of two lines rolls over the text, and every place of it is a chunk, so that chunks
+depend on their lines alone and a repeated passage of two lines or more is covered by chunks it has
+in common with the earlier one, wherever it stands. In a run of equal lines, windows start at every
+second line (an odd run has one of three lines at its end), so no chunk repeats within itself.
+Chunks that stand anywhere else in the corpus are compared byte for byte; of equal ones all but the
+first (by document id, then place) are removed with all their lines.
 
 Defined results: a null text stays null; an empty text and texts of one line have no multi-line
-chunk and stay as they are. Chunks whose lines are all blank are kept. Rows that share an id count
-as one place, so a repeated row keeps what its twin keeps. An empty table gives an empty result.
-Every column of the input stays.
+chunk and stay as they are. Chunks whose lines are all blank are kept. The first place of a line is
+never removed. Rows that share an id count as one place, so a repeated row keeps what its twin keeps.
+An empty table gives an empty result. Every column of the input stays.
 """
 
 from __future__ import annotations
@@ -21,36 +23,22 @@ from pyspark.sql.pandas.functions import pandas_udf
 from quern.llm.common import SPACE, map_rows
 from quern.session import release, stored
 
-#: Lines whose hashes the rolling hash covers, and the mean chunk in lines beyond the least.
+#: Lines of a chunk.
 WINDOW = 2
-MEAN = 3
-LEAST = 2
-MOST = 64
-MULTIPLIER = 0x9E3779B97F4A7C15
-MASK = (1 << 64) - 1
 
 
-def chunks(text: str | None) -> list[tuple[int, int]]:
-    """Line ranges [a, b) of a text's chunks; they cover all its lines."""
-    import xxhash
-
-    if not text:
-        return []
-    lines = text.split("\n")
-    out, start, rolling, hashes = [], 0, 0, []
-    power = pow(MULTIPLIER, WINDOW, 1 << 64)
-    for i, x in enumerate(lines):
-        h = xxhash.xxh64_intdigest(x.encode())
-        hashes.append(h)
-        rolling = (rolling * MULTIPLIER + h) & MASK
-        if i >= WINDOW:
-            rolling = (rolling - hashes[i - WINDOW] * power) & MASK
-        size = i + 1 - start
-        if size >= LEAST and ((rolling >> 40) % MEAN == 0 or size >= MOST):
-            out.append((start, i + 1))
-            start = i + 1
-    if start < len(lines):
-        out.append((start, len(lines)))
+def chunks(lines: list[str]) -> list[tuple[int, int]]:
+    """Line ranges [a, b) of a text's chunks, which overlap."""
+    out, run = [], 0
+    for i in range(len(lines) - 1):
+        same = lines[i] == lines[i + 1]
+        if not (same and (i - run) % WINDOW):
+            out.append((i, i + WINDOW))
+        if not same or i == len(lines) - 2:
+            n = i + 1 + same - run
+            if n > 1 and n % WINDOW:
+                out.append((run + n - WINDOW - 1, run + n))
+            run = i + 1
     return out
 
 
@@ -59,13 +47,14 @@ def multi_line(text: str | None) -> list[tuple[int, str]]:
     if not text:
         return []
     lines = text.split("\n")
-    return [(c, s) for c, (a, b) in enumerate(chunks(text)) if b - a >= LEAST and (s := "\n".join(lines[a:b])).strip(SPACE)]
+    return [(c, s) for c, (a, b) in enumerate(chunks(lines)) if (s := "\n".join(lines[a:b])).strip(SPACE)]
 
 
 def without(text: str, gone: set[int]) -> str:
-    """``text`` without the chunks numbered in ``gone``."""
+    """``text`` without the lines of the chunks numbered in ``gone``."""
     lines = text.split("\n")
-    return "\n".join(x for c, (a, b) in enumerate(chunks(text)) if c not in gone for x in lines[a:b])
+    out = {k for c, (a, b) in enumerate(chunks(lines)) if c in gone for k in range(a, b)}
+    return "\n".join(x for k, x in enumerate(lines) if k not in out)
 
 
 def _digest(s: str) -> bytes:
@@ -116,7 +105,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     @pandas_udf("string")
     def cut(text: pd.Series, c: pd.Series, h: pd.Series) -> pd.Series:
         # another text under the same id keeps what is not the chunk that was judged
-        own = lambda t, c, h: {k for k, s in multi_line(t) if (k, _digest(s)) in set(zip(c, map(bytes, h)))}
+        def own(t, c, h):
+            said = set(zip(c, map(bytes, h)))
+            return {k for k, s in multi_line(t) if (k, _digest(s)) in said}
+
         return pd.Series([None if t is None else without(t, own(t, x, y)) for t, x, y in zip(text, c, h)], dtype=object)
 
     j = docs.join(gone.hint("merge"), F.col(id_col) == F.col("__id"), "left")
