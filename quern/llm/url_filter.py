@@ -8,8 +8,9 @@ minimum. A rule that fits decides before the tree; of several the longest.
 
 Defined results: a null url, or one without ``://``, has empty host and path and template ``""``.
 Unlabelled templates have the corpus's share of good labels. Labels repeated for a page are
-combined (bad if any is). Repeated pages each get a row. Segments beyond ``DEPTH`` form one tail
-``**``. An empty table gives an empty result.
+combined (bad if any is). Repeated pages each get a row. Paths of any depth are in the tree whole;
+steps of the tree run only at depths where they can change something. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import map_rows
 from quern.session import stored
 
 #: The contract's rules: (verdict, host, path).
@@ -26,7 +28,6 @@ RULES = (
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 VARIABLE = r"^(\d+|[0-9a-f]{8,}|[0-9a-f-]{32,}|\d{1,4}[-_.]\d{1,2}([-_.]\d{1,4})?|.*\d{3,}.*|.{40,})$"
 SUFFIX = r"(\.[A-Za-z][A-Za-z0-9]{0,4})$"
-DEPTH = 6
 #: A node with more literal children than this has variable children.
 FANOUT = 50
 #: Branches whose shares differ by fewer standard errors than this are similar.
@@ -54,12 +55,11 @@ def rule_for(host, path, rules=RULES):
 
 
 def typed(path):
-    """Array of a path's segments, variable ones as ``*`` (a file suffix stays), those too deep as one ``**``."""
+    """Array of a path's segments, variable ones as ``*`` (a file suffix stays)."""
     parts = F.split(F.regexp_replace(path, "^/", ""), "/", -1)
     stem = lambda s: F.regexp_replace(s, SUFFIX, "")
     one = lambda s: F.when(F.lower(stem(s)).rlike(VARIABLE), F.concat(F.lit("*"), F.regexp_extract(s, SUFFIX, 1))).otherwise(s)
-    out = F.transform(parts, one)
-    return F.when(F.size(out) > DEPTH, F.concat(F.slice(out, 1, DEPTH), F.array(F.lit("**")))).otherwise(out)
+    return F.transform(parts, one)
 
 
 def _at(array, k: int, value):
@@ -67,6 +67,32 @@ def _at(array, k: int, value):
     return F.transform(array, lambda x, i: F.when(i == k - 1, value).otherwise(x))
 
 
+def _branches():
+    import xxhash
+
+    def row(host, g):
+        out, up = [], xxhash.xxh3_128(host.encode())
+        for k, s in enumerate(g, 1):
+            out.append((k, len(g), up.digest(), xxhash.xxh3_128_digest(s.encode())))
+            up.update(s.encode() + b"/")
+        return out
+
+    return row
+
+
+def wide_depths(nodes: DataFrame, fanout: int) -> list[int]:
+    """Depths at which a host has enough segments for a wide node."""
+    at = nodes.select("host", F.posexplode("g").alias("k", "s")).distinct().groupBy("host", "k").count().where(F.col("count") > fanout)
+    return sorted(r.k + 1 for r in at.select("k").distinct().collect())
+
+
+def branching_depths(nodes: DataFrame) -> list[int]:
+    """Depths, deepest first, at which templates of one length part: siblings that can merge are only there."""
+    at = map_rows(nodes.select("host", "g").distinct(), "k int, n int, up binary, s binary", _branches)
+    at = at.groupBy("k", "n", "up").agg(F.min("s").alias("a"), F.max("s").alias("b")).where("a <> b")
+    return sorted((r.k for r in at.select("k").distinct().collect()), reverse=True)
+
+
 def url_filter(
     pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", rules=RULES,
     fanout: int = FANOUT, z: float = Z, prior: float = PRIOR, min_purity: float = MIN_PURITY,
@@ -81,10 +107,9 @@ def url_filter(
     known = labels.where("toxic is not null or quality is not null").groupBy(F.col(label_id).alias("lid")).agg(F.max(bad.cast("int")).alias("bad"))
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path")).withColumn("t", typed(F.col("path")))
     rows = stored(rows.join(known, F.col("id") == F.col("lid"), "left").drop("lid"), "urls")
-    deepest = rows.agg(F.max(F.size("t"))).first()[0] or 0
     nodes = rows.groupBy("host", "t").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     nodes = stored(nodes.select("host", "t", F.col("t").alias("g"), "n", "labelled", "bad"), "nodes")
-    for k in range(1, deepest + 1):  # from the root: children of wide nodes become wildcards
+    for k in wide_depths(nodes, fanout):  # from the root: children of wide nodes become wildcards
         at = nodes.where(F.size("g") >= k).select("host", F.slice("g", 1, k - 1).alias("up"), F.element_at("g", k).alias("s"))
         wide = at.distinct().groupBy("host", "up").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > fanout)
         wide = stored(wide.select(F.col("host").alias("h"), "up"), "wide")
@@ -92,7 +117,7 @@ def url_filter(
             continue
         hit = nodes.join(wide, (F.col("host") == F.col("h")) & (F.slice("g", 1, k - 1) == F.col("up")) & (F.size("g") >= k), "left")
         nodes = stored(hit.withColumn("g", F.when(F.col("h").isNotNull(), _at(F.col("g"), k, F.lit("*"))).otherwise(F.col("g"))).select(*nodes.columns), "nodes")
-    for k in range(deepest, 0, -1):  # from the leaves: similar siblings merge
+    for k in branching_depths(nodes):  # from the leaves: similar siblings merge
         stats = nodes.groupBy("host", "g").agg(F.sum("labelled").alias("m"), F.sum("bad").alias("b")).where(F.size("g") >= k)
         stats = stored(stats.withColumn("pool", _at(F.col("g"), k, F.lit("*"))), "stats")
         pools = stats.groupBy("host", "pool").agg(F.sum("m").alias("pm"), F.expr("percentile(try_divide(b, m), 0.5, m)").alias("mid"), F.count(F.lit(1)).alias("c")).where("c > 1")
