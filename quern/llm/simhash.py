@@ -1,30 +1,39 @@
 """SimHash near-duplicates by multi-index hashing.
 
-Method: a fingerprint is cut into segments; within each segment the small Hamming balls are
-enumerated (the segment with at most one bit flipped, the other segments as they are); equal
-entries of the table fetch each other, and complete distances are verified. Two fingerprints that
-differ in two bits or fewer share an entry: both reach the one between them. An entry has at most
-65 distinct fingerprints, so no bucket grows with the data, and those of one entry are chained in
-order: neighbours in the chain are within two bits, which the verification confirms.
+Method: a fingerprint is cut into segments, each with a table of its own, keyed by (segment number,
+segment value). Two fingerprints that differ in ``distance`` bits or fewer differ in at most
+``distance // segments`` bits of one segment at least, so the small Hamming ball of each segment's
+value is enumerated, the table's matches are fetched, and complete distances are verified.
+
+A table key may hold a third of all fingerprints (near copies that differ elsewhere). Keys of more
+than ``hot`` fingerprints are continued by the bits outside the segment: both sides enumerate half of
+the distance there and meet, so that a continued key has a bounded number of fingerprints and the
+result is the same.
 
 Defined results: a null or empty text has no words and fingerprint zero, linked like any other.
-Copies share a fingerprint, which enters the table once. Repeated rows each get a row. An empty
+Copies share a fingerprint, which enters the tables once. Repeated rows each get a row. An empty
 table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from itertools import combinations
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import components, map_rows
-from quern.session import stored
+from quern.llm.near_copies import PERCENT, WORDS, representatives
+from quern.session import discard, stored
 
+BITS = 64
 SHINGLE = 3
 SEED = 42
-SEGMENTS = 4
+SEGMENTS = 2
 #: Links join fingerprints that differ in at most this many bits.
 DISTANCE = 2
+#: Table keys of more fingerprints than this are continued by the bits outside their segment.
+HOT = 256
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -43,35 +52,88 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(sum(1 << int(i) for i in np.flatnonzero(2 * counts > n)))
 
 
-def _row():
-    def row(key, text):
-        f = fingerprint(text)
-        return [(key, f - (1 << 64) if f >> 63 else f)]
+def _row(shingle: int):
+    def make():
+        def row(key, text):
+            return [(key, signed(fingerprint(text, shingle)))]
+
+        return row
+
+    return make
+
+
+def signed(x: int) -> int:
+    return x - (1 << BITS) if x >> (BITS - 1) else x
+
+
+def segment_masks(segments: int) -> list[int]:
+    """Masks of the segments: together they hold every bit once."""
+    if not 1 <= segments <= BITS:
+        raise ValueError(f"segments must be in 1..{BITS}")
+    ends = [BITS * k // segments for k in range(segments + 1)]
+    return [(1 << b) - (1 << a) for a, b in zip(ends, ends[1:])]
+
+
+def ball(mask: int, radius: int) -> list[int]:
+    """All ways to flip at most ``radius`` of the bits of ``mask``."""
+    bits = [1 << k for k in range(BITS) if mask >> k & 1]
+    return [sum(c) for r in range(min(radius, len(bits)) + 1) for c in combinations(bits, r)]
+
 
-    return row
+def _flips(value, masks: list[int]):
+    """``value`` with each of the flips, exploded."""
+    return F.explode(F.transform(F.array(*(F.lit(signed(m)).cast("long") for m in masks)), lambda m: value.bitwiseXOR(m)))
 
 
-def ball_entries(fp, segments: int = SEGMENTS):
-    """All table entries of a fingerprint: itself, and each segment's one-bit ball."""
-    width = 64 // segments
-    masks = [0] + [1 << (s * width + b) for s in range(segments) for b in range(width)]
-    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
-    return F.explode(F.transform(F.array(*map(F.lit, masks)), lambda m: fp.bitwiseXOR(m)))
+def _by_segment(table: DataFrame, masks: list[int], radius: int) -> DataFrame:
+    """(segment, value, fp): of each fingerprint and segment, the segment's bits with each flip of at most ``radius``."""
 
+    def rows(segment: int, mask: int):
+        own = F.col("fp").bitwiseAND(F.lit(signed(mask)).cast("long"))
+        flips = F.array(*(F.lit(signed(f)).cast("long") for f in ball(mask, radius)))
+        return F.transform(flips, lambda x: F.struct(F.lit(segment).alias("segment"), own.bitwiseXOR(x).alias("value")))
 
-def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segments: int = SEGMENTS) -> DataFrame:
+    return table.select(F.explode(F.concat(*(rows(k, m) for k, m in enumerate(masks)))).alias("e"), "fp").select("e.segment", "e.value", "fp")
+
+
+def _continued(rows: DataFrame, masks: list[int], radius: int) -> DataFrame:
+    """Rows of hot keys with ``rest``: the bits outside the segment, at most ``radius`` of them flipped."""
+    out = None
+    for k, m in enumerate(masks):
+        outside = (1 << BITS) - 1 - m
+        rest = F.col("fp").bitwiseAND(F.lit(signed(outside)).cast("long"))
+        own = rows.where(F.col("segment") == k).withColumn("rest", _flips(rest, ball(outside, radius)))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def close_pairs(table: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, hot: int = HOT) -> DataFrame:
+    """(u, v), u < v: all pairs of the distinct 64-bit fingerprints ``table(fp)`` that differ in ``distance`` bits or fewer."""
+    masks = segment_masks(segments)
+    entries = _by_segment(table, masks, 0)
+    probes = _by_segment(table, masks, distance // segments)
+    often = stored(entries.groupBy("segment", "value").count().where(F.col("count") > hot).select("segment", "value"), "hot")
+    near = (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance)
+
+    def met(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+        return a.withColumnRenamed("fp", "u").join(b.withColumnRenamed("fp", "v"), on).where(near).select("u", "v")
+
+    if often.isEmpty():
+        return met(probes, entries, ["segment", "value"])
+    key = ["segment", "value"]
+    cold = met(probes.join(often, key, "left_anti"), entries.join(often, key, "left_anti"), key)
+    few, more = distance // 2, distance - distance // 2
+    return cold.unionByName(met(_continued(probes.join(often, key, "left_semi"), masks, more), _continued(entries.join(often, key, "left_semi"), masks, few), [*key, "rest"]))
+
+
+def simhash(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, segments: int = SEGMENTS, hot: int = HOT,
+) -> DataFrame:
     """One row a document: id, ``fp`` (signed), ``fingerprint`` (hex), ``component_id`` (least id reachable)."""
     kind = docs.schema[id_col].dataType.simpleString()
-    fps = stored(map_rows(docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")), f"key {kind}, fp long", _row), "fps")
+    fps = stored(map_rows(docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")), f"key {kind}, fp long", _row(shingle)), "fps")
     table = stored(fps.groupBy("fp").agg(F.min("key").alias("first")), "table")
-    entries = table.select("fp", ball_entries(F.col("fp"), segments).alias("entry"))
-    chain = Window.partitionBy("entry").orderBy("fp")
-    links = (
-        entries.withColumn("before", F.lag("fp").over(chain))
-        .where(F.col("before").isNotNull() & (F.bit_count(F.col("fp").bitwiseXOR(F.col("before"))) <= DISTANCE))
-        .select(F.col("before").alias("u"), F.col("fp").alias("v"))
-    )
-    groups = stored(components(links, "simcc"), "groups")
+    groups = stored(components(close_pairs(table.select("fp"), distance, segments, hot), "simcc"), "groups")
     # the least id of a group of fingerprints, then the group of each fingerprint that has links
     firsts = stored(
         groups.join(table, groups["node"] == table["fp"]).groupBy("component").agg(F.min("first").alias("component_id")), "firsts"
@@ -80,16 +142,24 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seg
         "fp", F.coalesce("component_id", "first").alias("component_id")
     )
     of = stored(of, "of")
+    for old in (table, groups, firsts):
+        discard(old)
     return fps.join(of, "fp").select(
         F.col("key").alias(id_col), "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group: the one of least id (of repeated rows, one). Rows without id stay."""
-    keep = simhash(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keep")).distinct()
-    one = docs.dropDuplicates([id_col]).join(stored(keep, "keep").hint("merge"), F.col(id_col) == F.col("__keep"), "left_semi")
-    return one.unionByName(docs.where(F.col(id_col).isNull()))
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one document of each group of near copies: those that links of similarity ``percent`` or more reach.
+
+    The one of least id stays, of texts under one id that of least digest, of repeated rows one. Rows without id stay.
+    """
+    digest = lambda: F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    keep = representatives(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("key"), digest().alias("t"), F.col(text_col).alias("text")), words, percent)
+    keep = keep.select(F.col("key").alias("__key"), F.col("t").alias("__t"))
+    one = docs.withColumn("__digest", digest()).dropDuplicates([id_col, "__digest"])
+    one = one.join(keep.hint("merge"), (F.col(id_col) == F.col("__key")) & (F.col("__digest") == F.col("__t")), "left_semi")
+    return one.drop("__digest").unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

@@ -79,26 +79,29 @@ def test_simhash(spark):
     links = [(a, b) for a in fps for b in fps if a < b and bin(fps[a] ^ fps[b]).count("1") <= 2]
     comp = closure(fps, links)
     assert {i: (x.fingerprint, x.component_id) for i, x in out.items()} == {i: (f"{f:016x}", comp[i]) for i, f in fps.items()}
-    kept = simhash.drop_near_copies(frame(spark, texts)).collect()
-    assert sorted(x.doc_id for x in kept) == sorted(set(comp.values()))
 
 
-@pytest.mark.parametrize("segments", [1, 2, 4, 8])
-def test_simhash_links_are_complete(spark, segments):
+@pytest.mark.parametrize(("segments", "distance", "hot"), [(1, 2, 256), (2, 2, 256), (2, 2, 3), (3, 4, 3), (8, 2, 256)])
+def test_simhash_links_are_complete(spark, segments, distance, hot):
     r = random.Random(7)
-    base = [r.getrandbits(64) for _ in range(30)]
-    fps = sorted({b ^ sum(1 << k for k in r.sample(range(64), d)) for b in base for d in (0, 1, 2, 3, 4) for _ in range(6)})
-    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    entries = spark.createDataFrame([(f,) for f in signed], "fp long").select("fp", simhash.ball_entries(simhash.F.col("fp"), segments).alias("e"))
-    held = defaultdict(set)
-    for x in entries.collect():
-        held[x.e].add(x.fp)
-    found = {(a, b) for s in held.values() for a in s for b in s if a < b}
-    assert max(map(len, held.values())) <= 65
-    want = {tuple(sorted((signed[i], signed[j]))) for i in range(len(fps)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= 2}
+    base = [r.getrandbits(64) for _ in range(20)]
+    fps = sorted({b ^ sum(1 << k for k in r.sample(range(64), d)) for b in base for d in (0, 1, 2, 3, 4) for _ in range(4)} | {base[0] ^ 1 << k for k in range(64)})
+    table = spark.createDataFrame([(simhash.signed(f),) for f in fps], "fp long")
+    found = {(x.u, x.v) for x in simhash.close_pairs(table, distance, segments, hot).collect()}
+    signed = [simhash.signed(f) for f in fps]
+    want = {tuple(sorted((signed[i], signed[j]))) for i in range(len(fps)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= distance}
     assert found == want
 
 
+@pytest.mark.parametrize("segments", [1, 2, 3, 5, 7, 64])
+def test_segments_hold_every_bit(segments):
+    masks = simhash.segment_masks(segments)
+    assert sum(masks) == (1 << 64) - 1 and len(masks) == segments
+    for bad in (0, 65):
+        with pytest.raises(ValueError):
+            simhash.segment_masks(bad)
+
+
 def brute_removed(texts, length=100):
     first, out = {}, []
     for t in texts:

@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline as p
-from quern.llm import near_copies
+from quern.llm import near_copies, simhash
 from tests.llm.test_llm_corpus import closure, corpus, frame, words
 
 
@@ -42,16 +42,38 @@ def edited():
 @pytest.mark.parametrize("chained", [3, 1000])
 def test_groups_are_those_of_brute_force(spark, chained):
     texts = edited()
-    out = {x.doc_id: x.component_id for x in near_copies.near_copy_groups(frame(spark, texts), chained=chained).collect()}
+    rows, of = near_copies.near_copy_groups(frame(spark, texts).selectExpr("doc_id as key", "unhex(md5(coalesce(text, ''))) as t", "text"), chained=chained)
+    group = {x.d: x.group for x in of.collect()}
+    by = {}
+    for x in sorted(rows.collect(), key=lambda x: x.key):
+        by.setdefault(group[x.d], []).append(x.key)
+    got = {k: own[0] for own in by.values() for k in own}
     want = plain_groups(dict(enumerate(texts)))
-    assert out == want and len(set(want.values())) < len(texts) - 60
+    assert got == want and len(set(want.values())) < len(texts) - 60
+
+
+def test_wide_prints_never_part_similar_sets():
+    r = random.Random(24)
+    most = 0
+    for _ in range(400):
+        base = words(r, r.randint(70, 400)).split()
+        t = list(base)
+        while len(near_copies.shingles(" ".join(t))) and jaccard(base, t) >= 0.8:
+            kept, k = list(t), r.randrange(len(t))
+            t[k] = "edited" + str(r.random())
+        a, b = (near_copies.wide_print(near_copies.shingles(" ".join(x))).view("u8") for x in (base, kept))
+        most = max(most, sum(int(x ^ y).bit_count() for x, y in zip(a, b)))
+    assert most <= near_copies.FAR - 6
+
+
+def jaccard(a, b):
+    a, b = plain_set(" ".join(a)), plain_set(" ".join(b))
+    return len(a & b) / len(a | b)
 
 
 def test_pipeline_leaves_no_near_copies(spark, sf):
     cur = spark.read.parquet(f"{sf}/documents.parquet")
-    for name, stage in p.STAGES:
-        if stage is p.mixing:
-            break
+    for _, stage in p.STAGES[:3]:
         cur = stage(spark, cur, sf).cache()
     texts = {r.doc_id: r.text for r in cur.collect()}
     assert len(texts) == len(set(plain_groups(texts).values())) > 100
@@ -59,6 +81,11 @@ def test_pipeline_leaves_no_near_copies(spark, sf):
 
 def test_ids_and_rows(spark):
     df = frame(spark, ["a b c d e f", "a b c d e f", "x"], ids=[None, 4, 5])
-    out = near_copies.drop_similar(df.unionByName(df))
+    out = simhash.drop_near_copies(df.unionByName(df))
     assert out.columns == df.columns and sorted(r.doc_id or -1 for r in out.collect()) == [-1, -1, 4, 5]
-    assert near_copies.drop_similar(df.limit(0)).count() == 0
+    assert simhash.drop_near_copies(df.limit(0)).count() == 0
+
+
+def test_other_texts_under_one_id_stay(spark):
+    df = frame(spark, ["one text of its own", "another text of its own", "One text  of its own", "third"], ids=[7, 7, 8, 7])
+    assert sorted((r.doc_id, r.text) for r in simhash.drop_near_copies(df).collect()) == [(7, "another text of its own"), (7, "one text of its own"), (7, "third")]

@@ -4,7 +4,8 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline as p
 from quern.llm import line_dedup, packing, quality_rules
-from tests.llm.test_llm_corpus import closure, plain_fingerprint, plain_targets
+from tests.llm.test_llm_corpus import plain_targets
+from tests.llm.test_llm_near_copies import plain_groups
 from tests.llm.test_llm_rows import plain_rules
 
 
@@ -44,14 +45,8 @@ def plain_lines(rows):
 
 
 def plain_near(rows):
-    fps = {r["doc_id"]: plain_fingerprint(r["text"]) for r in rows}
-    by = defaultdict(list)
-    for d, f in fps.items():
-        by[f].append(d)
-    heads = {f: min(v) for f, v in by.items()}
-    links = [(heads[a], heads[b]) for a in by for b in by if a < b and bin(a ^ b).count("1") <= 2]
-    comp = closure(heads.values(), links)
-    return [r for r in rows if comp[heads[fps[r["doc_id"]]]] == r["doc_id"]]
+    groups = plain_groups({r["doc_id"]: r["text"] for r in rows})
+    return [r for r in rows if groups[r["doc_id"]] == r["doc_id"]]
 
 
 def key(rows):
