@@ -1,12 +1,13 @@
 """Quality rules: per-document word rules and cross-document line frequency.
 
 Method: every line is normalised (ASCII white space collapsed, ASCII letters lower-cased) and
-hashed; per host the distinct documents that hold a line are counted (copies of one text are one
-document: a line is boilerplate because different documents share it); lines in more documents
-than the host's limit are removed; a document that is depleted by that is rejected.
+hashed; per host the distinct documents that hold a line are counted (``copies_once`` counts copies of
+a text as one document, which is off); lines in more documents than the host's limit are removed; a
+document that is depleted by that is rejected.
 
 Defined results: a null or empty text has no words, so it fails the base rules. A null host is a
-host of its own. Repeated rows each get a row of the result. Ties do not occur (limits are strict).
+host of its own. Repeated rows each get a row of the result and count as one document; rows without
+an id count as one document a text. Ties do not occur (limits are strict).
 An empty table gives an empty result. Only the named columns are read, so other columns may have
 any names.
 """
@@ -27,9 +28,9 @@ SYMBOLS = "#*$%&|<>"
 #: A word in the sense of the contract.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: A line is removed if it stands in more than this share of a host's distinct documents ...
-LINE_SHARE = 0.10
-#: ... and in more than this many of them.
-LINE_DOCS = 50
+LINE_SHARE = 0.08
+#: ... and in more than this many of them, so that a host of a few documents keeps its lines.
+LINE_DOCS = 3
 #: A document is depleted if lines were removed and fewer words, or a smaller share of words, stay.
 LEFT_WORDS = 10
 LEFT_SHARE = 0.2
@@ -90,6 +91,7 @@ def text_digest(text_col: str):
 def quality_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
     line_share: float = LINE_SHARE, line_docs: int = LINE_DOCS, left_words: int = LEFT_WORDS, left_share: float = LEFT_SHARE,
+    copies_once: bool = False,
 ) -> DataFrame:
     """One row a document: id, host, text_hash, the base counts, ``base_failed``, ``n_removed_words``,
     ``removed`` (hashes of the lines removed) and ``kept``.
@@ -106,16 +108,18 @@ def quality_rules(
         ),
         "rules",
     )
+    same = lambda a, b: a.eqNullSafe(b)  # noqa: E731  a null host is a host
     texts = rows.groupBy("host", "text_hash").agg(F.first("lines").alias("lines"))
+    # how many documents hold a text: copies meet here as one row a task, not as their lines
+    held = rows.select("host", "text_hash", "key").distinct().groupBy("host", "text_hash").agg((F.lit(1) if copies_once else F.count(F.lit(1))).cast("long").alias("docs"))
+    x, y = texts.alias("x"), held.alias("y")
+    texts = x.join(y, same(F.col("x.host"), F.col("y.host")) & (F.col("x.text_hash") == F.col("y.text_hash"))).select("x.*", "docs")
     lines = texts.select(
-        "host", "text_hash", F.explode("lines").alias("l"), F.pmod(F.xxhash64("text_hash"), F.lit(SALTS)).alias("salt")
-    ).select("host", "text_hash", "salt", "l.h", "l.w")
+        "host", "text_hash", "docs", F.explode("lines").alias("l"), F.pmod(F.xxhash64("text_hash"), F.lit(SALTS)).alias("salt")
+    ).select("host", "text_hash", "docs", "salt", "l.h", "l.w")
     lines = stored(lines, "lines")
-    limits = rows.select("host", "text_hash").distinct().groupBy("host").agg(
-        F.greatest(F.lit(float(line_docs)), F.count(F.lit(1)) * F.lit(line_share)).alias("limit")
-    )
-    counts = lines.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > line_docs)
-    same = lambda a, b: a.eqNullSafe(b)  # noqa: E731  a null host is a host
+    limits = held.groupBy("host").agg(F.greatest(F.lit(float(line_docs)), F.sum("docs") * F.lit(line_share)).alias("limit"))
+    counts = lines.groupBy("host", "h").agg(F.sum("docs").alias("n")).where(F.col("n") > line_docs)
     c, m = counts.alias("c"), limits.alias("m")
     above = stored(
         c.join(m, same(F.col("c.host"), F.col("m.host"))).where("n > limit").select("c.host", "h", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")),
@@ -155,11 +159,11 @@ def _strip():
 def apply_quality_rules(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the rejected documents, and without the lines above the limits in the rest.
 
-    The verdict depends on host and text alone, so it is joined on those; every column of ``docs`` stays.
+    The verdict depends on host and text; every column of ``docs`` stays.
     """
     id_col, text_col, host_col = (options.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("host_col", "source")))
-    marks = quality_rules(docs, **options).where("kept").select(id_col, "removed", "text_hash")
-    marks = stored(marks.dropDuplicates([id_col, "text_hash"]).select(F.col(id_col).alias("__id"), F.col("removed").alias("__removed"), F.col("text_hash").alias("__text_hash")), "marks")
+    marks = quality_rules(docs, **options).where("kept").select(F.col(id_col).alias("__id"), F.col("removed").alias("__removed"), F.col("text_hash").alias("__text_hash"), F.col("host").alias("__host"))
+    marks = stored(marks.dropDuplicates(["__id", "__text_hash", "__host"]), "marks")
 
     @pandas_udf("string")
     def strip(text: pd.Series, removed: pd.Series) -> pd.Series:
@@ -167,7 +171,8 @@ def apply_quality_rules(docs: DataFrame, **options) -> DataFrame:
         return pd.Series([None if t is None else f(t, r) for t, r in zip(text, removed)], dtype=object)
 
     d = docs.withColumn("__hash", text_digest(text_col))
-    j = d.join(marks.hint("merge"), (F.col(id_col).eqNullSafe(F.col("__id"))) & (F.col("__hash") == F.col("__text_hash")))
+    own = (F.col(id_col).eqNullSafe(F.col("__id"))) & (F.col("__hash") == F.col("__text_hash")) & F.col(host_col).cast("string").eqNullSafe(F.col("__host"))
+    j = d.join(marks.hint("merge"), own)
     j = j.withColumn("__new", strip(F.when(F.col("__removed").isNotNull(), F.col(text_col)), F.col("__removed")))  # only those texts leave the JVM
     new = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(F.col("__new"))
     cols = [new.alias(c) if c == text_col else F.when(F.col("__removed").isNull(), F.col(c)).otherwise(F.length(new)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
