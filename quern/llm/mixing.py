@@ -17,34 +17,21 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import ranked
 from quern.session import discard, stored
 
 WEIGHTS = (1.0, 2.0, 3.0)
 CAP = 3
 #: Newton ends when every source is within this share of its target.
-TOLERANCE = 1e-7
+TOLERANCE = 1e-11
 ROUNDS = 60
 #: Multipliers before rounding are multiples of this.
 GRID = 1e-6
 POINTS = 16
-PASSES = 5
-
-
-def ranked(df: DataFrame, col: str) -> DataFrame:
-    """``df`` (one row a value) with ``rank`` from 0 by code point, null last, without a single-task sort."""
-    null = F.col(col).isNull()
-    dealt = stored(df.repartitionByRange(null, F.col(col)).withColumn("__pid", F.spark_partition_id()), "ranked")
-    within = dealt.withColumn("__at", F.row_number().over(Window.partitionBy("__pid").orderBy(null, F.col(col))))
-    # as many rows as the exchange had partitions
-    before = dealt.groupBy("__pid").count().withColumn(
-        "__before", F.sum("count").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1))
-    )
-    return within.join(before, "__pid").select(
-        *df.columns, (F.coalesce("__before", F.lit(0)) + F.col("__at") - 1).cast("long").alias("rank")
-    )
+PASSES = 7
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, share: float = 1.0) -> DataFrame:
@@ -62,30 +49,45 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float =
     return s.withColumn("target", F.least((cap * F.col("source_size")).cast("double"), F.col("w") * F.lit(float(level))))
 
 
-def mix(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: tuple[float, ...] = WEIGHTS, cap: int = CAP,
-) -> DataFrame:
-    """One row a document: id, size, source_size, target, copies, taken."""
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    table = stored(docs.select(F.col(id_col).alias("key"), F.col(source_col).alias("source"), size.alias("size")), "sizes")
+def size_of(text_col: str):
+    """Words of a text, 0 for null."""
+    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def uniform(id_col: str):
+    """A document's uniform: 52 bits of a digest of its id."""
+    text = F.concat(F.lit("mix"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
+def copies(lam, size, mean, u, cap: int = CAP):
+    """Whole copies of a document: its rate under a multiplier, rounded by its uniform."""
+    return F.least(F.lit(cap), F.floor(rate(lam, size / mean, cap) + u).cast("int"))
+
+
+def rate(lam, x, cap: int = CAP):
+    """The tilted rate: 1 at multiplier 0, below ``cap``."""
+    return cap / (1 + F.exp(-(F.lit(math.log(1 / (cap - 1))) + lam * x)))
+
+
+def taken_copies(m: str, size, u, cap: int = CAP):
+    """Copies under a source's row ``m`` of :func:`multipliers`: those at their cap have no multiplier."""
+    lam = F.col(f"{m}.lam")
+    return F.when(lam.isNotNull(), copies(lam, size, F.col(f"{m}.mean"), u, cap)).when(F.col(f"{m}.target") > 0, F.lit(cap)).otherwise(F.lit(0))
+
+
+def multipliers(table: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """(source, source_size, mean, target, lam), a row a source, of stored documents ``table(source, size, u)``."""
     per = table.groupBy("source").agg(F.sum("size").alias("source_size"), F.avg("size").alias("mean"))
     sources = stored(targets(stored(ranked(per, "source").withColumnRenamed("rank", "sid").withColumn("rank", F.col("sid")), "sources"), weights, cap), "targets")
     t, s = table.alias("t"), sources.alias("s")
-    # A document's uniform: 52 bits of a hash of its id.
-    u = F.pmod(F.xxhash64(F.lit("mix"), F.col("t.key")), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    rows = stored(
-        t.join(s, F.col("t.source").eqNullSafe(F.col("s.source"))).select("t.key", "sid", "size", u.alias("u")), "rows"
-    )
-    hist = stored(rows.where("size > 0").groupBy("sid", "size").agg(F.count(F.lit(1)).alias("n")), "hist")
-    base = math.log(1 / (cap - 1))  # the rate is 1 at lambda 0
-    rate = lambda lam, x: cap / (1 + F.exp(-(F.lit(base) + lam * x)))
-
+    rows = stored(t.join(s, F.col("t.source").eqNullSafe(F.col("s.source"))).where("size > 0").select("sid", "size", "u"), "rows")
+    hist = stored(rows.groupBy("sid", "size").agg(F.count(F.lit(1)).alias("n")), "hist")
     # sources at their cap take every document cap times; those of size 0 take nothing
     open_ = sources.where((F.col("target") > 0) & (F.col("target") < cap * F.col("source_size")))
     duals = stored(open_.select("sid", "mean", "target", F.lit(0.0).alias("lam"), F.lit(-1e6).alias("lo"), F.lit(1e6).alias("hi")), "duals")
     for _ in range(ROUNDS):
-        x, r = F.col("size") / F.col("mean"), rate(F.col("lam"), F.col("size") / F.col("mean"))
+        x, r = F.col("size") / F.col("mean"), rate(F.col("lam"), F.col("size") / F.col("mean"), cap)
         sums = hist.join(duals.select("sid", "mean", "lam"), "sid").groupBy("sid").agg(
             F.sum(F.col("n") * F.col("size") * r).alias("g"), F.sum(F.col("n") * F.col("size") * x * r * (1 - r / cap)).alias("h")
         )
@@ -105,14 +107,11 @@ def mix(
         if (duals.agg(F.max("off")).first()[0] or 0) <= TOLERANCE:
             break
     lam = F.round(F.col("lam") / GRID) * GRID
-    width = F.greatest(F.lit(0.05), F.abs(lam) * 0.25)
+    width = F.greatest(F.lit(4.0), F.abs(lam) * 2.0)  # wide enough for sources of a few documents, whose rounded total may be far off
     spans = stored(duals.select("sid", "mean", "target", (lam - width).alias("a"), (lam + width).alias("b")), "spans")
 
-    def copies(at):
-        return F.least(F.lit(cap), F.floor(rate(at, F.col("size") / F.col("mean")) + F.col("u")).cast("int"))
-
     points = lambda k: F.col("a") + (F.col("b") - F.col("a")) * F.lit(k / POINTS)
-    taken = [F.sum(F.col("size") * copies(points(k))).alias(f"t{k}") for k in range(POINTS + 1)]
+    taken = [F.sum(F.col("size") * copies(points(k), F.col("size"), F.col("mean"), F.col("u"), cap)).alias(f"t{k}") for k in range(POINTS + 1)]
     for _ in range(PASSES):
         sums = rows.join(spans.select("sid", "mean", "a", "b"), "sid").groupBy("sid").agg(*taken)
         joined = spans.join(sums, "sid")
@@ -130,18 +129,37 @@ def mix(
         spans = new
     best = F.when(F.abs(F.col("ta") - F.col("target")) <= F.abs(F.col("tb") - F.col("target")), F.col("a")).otherwise(F.col("b"))
     final = sources.join(spans.select("sid", best.alias("lam")), "sid", "left")
-    final = stored(final.select("sid", "source_size", "mean", "target", "lam"), "final")
-    n = F.when(F.col("lam").isNotNull(), copies(F.col("lam"))).when(F.col("target") > 0, F.lit(cap)).otherwise(F.lit(0))
-    return rows.join(final, "sid").select(
-        F.col("key").alias(id_col), "size", "source_size", "target", n.alias("copies"), (n * F.col("size")).alias("taken")
-    )
-
-
-def apply_mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it (empty documents once, as they cost nothing)."""
-    plan = mix(docs, id_col, **options).select(F.col(id_col).alias("__id"), "copies", "size")
-    plan = stored(plan.groupBy("__id").agg(F.max(F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))).alias("__n")), "plan")
-    out = docs.join(plan.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")))
+    final = stored(final.select("source", "source_size", "mean", "target", "lam"), "final")
+    for old in (rows, hist, duals, spans):
+        discard(old)
+    return final
+
+
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple[float, ...] = WEIGHTS, cap: int = CAP,
+) -> DataFrame:
+    """One row a document: id, size, source_size, target, copies, taken."""
+    table = stored(docs.select(F.col(id_col).alias("key"), F.col(source_col).alias("source"), size_of(text_col).alias("size"), uniform(id_col).alias("u")), "sizes")
+    t, s = table.alias("t"), multipliers(table, weights, cap).alias("s")
+    out = t.join(s, F.col("t.source").eqNullSafe(F.col("s.source"))).withColumn("copies", taken_copies("s", F.col("size"), F.col("u"), cap))
+    return out.select(F.col("key").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def apply_mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple[float, ...] = WEIGHTS, cap: int = CAP,
+) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it (empty documents once, as they cost nothing).
+
+    A row's copies follow from its own size, source and id, so texts meet one row a source and are not exchanged by id.
+    """
+    table = stored(docs.select(F.col(source_col).alias("source"), size_of(text_col).alias("size"), uniform(id_col).alias("u")), "sizes")
+    final = multipliers(table, weights, cap).select(F.col("source").alias("__source"), F.struct("mean", "target", "lam").alias("__m"))
+    own = docs.withColumns({"__size": size_of(text_col), "__u": uniform(id_col)})
+    out = own.join(final, F.col(source_col).eqNullSafe(F.col("__source")))
+    n = taken_copies("__m", F.col("__size"), F.col("__u"), cap)
+    out = out.withColumn("__n", F.when(F.col("__size") == 0, 1).otherwise(n))
     return out.where("__n > 0").withColumn("__c", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
 
 
