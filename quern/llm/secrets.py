@@ -130,7 +130,7 @@ def scan(text: str | None, a) -> list[tuple[str, int, int]]:
         else:
             m = PEM.match(text, at)
             ok = m and pem_ok(m[2])
-        if kind == "jwt" and not m:
+        if kind == "jwt" and not m and text.startswith("eyJ", at):
             last[kind] = JWT_RUN.match(text, at).end()  # what follows the run is the same for its later hits
         if m:
             last[kind] = m.end()
