@@ -7,8 +7,8 @@ computed again from the vectors in double precision. A tile pair returns link co
 forest of its links, never the links themselves.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and
-vectors with a null label or id, link with nothing and are components of their own; so do vectors of other
-dimension. Equal vectors of a label enter the products once, with their count. Repeated rows are
+vectors with a null label or id, link with nothing and are components of their own (without an id: null, not
+kept); so do vectors of other dimension. Equal vectors of a label enter the products once, with their count. Repeated rows are
 vectors of their own. An empty table gives an empty result.
 """
 
@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import components
-from quern.session import stored
+from quern.session import discard, stored
 
 THRESHOLD = 0.98
-#: Vectors in a tile, about: they are dealt by hash.
-TILE = 1024
+#: Vectors in a tile, about: they are dealt by hash. A tile is sent once for each tile of its label.
+TILE = 4096
+#: Rows and columns of one product.
+BLOCK = 1024
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -34,23 +36,33 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q, scale, np.linalg.norm(x - q * scale[:, None], axis=1)
 
 
-def links(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows in double precision, each times a power of two that brings its largest component near 1: squares neither overflow nor vanish."""
+    x = x.astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
+def links(x: np.ndarray, y: np.ndarray, threshold: float, same: bool, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) of rows of ``x`` and ``y`` with cosine at or above ``threshold``; i < j if they are the ``same``."""
-    x, y = x.astype(np.float64), y.astype(np.float64)
+    x, y = scaled(x), scaled(y)
     nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
     (qx, sx, ex), (qy, sy, ey) = quantised(x / nx[:, None]), quantised(y / ny[:, None])
     kind = np.float32 if x.shape[1] <= 1040 else np.float64
-    products = (qx.astype(kind) @ qy.astype(kind).T).astype(np.float64)
-    most = products * sx[:, None] * sy[None] + (ex[:, None] + ey[None] + ex[:, None] * ey[None])
-    maybe = most >= threshold - 1e-9
-    if same:
-        maybe = np.triu(maybe, 1)
-    i, j = np.nonzero(maybe)
-    keep = np.empty(len(i), dtype=bool)
-    for at in range(0, len(i), 1 << 16):
-        a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-        keep[at : at + (1 << 16)] = np.einsum("ij,ij->i", x[a], y[b]) / (nx[a] * ny[b]) >= threshold
-    return i[keep], j[keep]
+    found = []
+    for p in range(0, len(x), block):
+        for q in range(p if same else 0, len(y), block):
+            a, b = slice(p, p + block), slice(q, q + block)
+            most = (qx[a].astype(kind) @ qy[b].astype(kind).T).astype(np.float64) * sx[a, None] * sy[None, b]
+            most += ex[a, None] + ey[None, b] + ex[a, None] * ey[None, b]
+            maybe = most >= threshold - 1e-9
+            i, j = np.nonzero(np.triu(maybe, 1) if same and p == q else maybe)
+            for at in range(0, len(i), 1 << 16):
+                u, v = i[at : at + (1 << 16)] + p, j[at : at + (1 << 16)] + q
+                keep = np.einsum("ij,ij->i", x[u], y[v]) / (nx[u] * ny[v]) >= threshold
+                found.append((u[keep], v[keep]))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
 def _tile_pair(threshold: float):
@@ -114,6 +126,7 @@ def embedding_dedup(
     found = stored(
         pairs.groupBy("label", "dim", "a", "b").applyInPandas(_tile_pair(threshold), f"rep {kind}, links long, root {kind}"), "links"
     )
+    discard(packed)
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")), "veccc")
     of = stored(
@@ -126,7 +139,7 @@ def embedding_dedup(
     done = good.join(of, (F.col("label") == F.col("l")) & (F.col("v") == F.col("w"))).select("id", "n", "c")
     rest = rows.where("not fine").select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("c"))
     return done.unionByName(rest).select(
-        F.col("id").alias(id_col), F.col("n").alias("n_links"), F.col("c").alias("component_id"), (F.col("id") == F.col("c")).alias("kept")
+        F.col("id").alias(id_col), F.col("n").alias("n_links"), F.col("c").alias("component_id"), F.coalesce(F.col("id") == F.col("c"), F.lit(False)).alias("kept")
     )
 
 
