@@ -27,7 +27,7 @@ from quern.session import stored
 CAPACITY = 2048
 END_ID = 0
 #: Pieces that one packing group holds about; a bound on what one task sorts, not on the input.
-GROUP = 4096
+GROUP = 32_768
 
 
 def pack(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int]]:
