@@ -15,7 +15,8 @@ into buckets of bounded size and cut down to starts whose ends have an equal. An
 the place of the start, where grouping the strings themselves is exact.
 
 Defined results: a null or empty text has no bytes. Documents are ordered by id; rows that repeat
-an id and text are one document and have equal results. A copy of an earlier text of ``LENGTH``
+an id and text are one document and have equal results; other texts under one id are documents of their
+own, ordered by digest. A copy of an earlier text of ``LENGTH``
 bytes or more is removed whole. Rows without an id are kept whole
 and stand before no other. An empty table gives an empty result.
 """
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import map_rows
+from quern.llm.common import map_rows, ranked
 from quern.session import discard, release, stored
 
 LENGTH = 100
@@ -353,6 +354,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     anchors = stored(texts.mapInArrow(run, schema), "anchors")
     meta = stored(anchors.where("h is null").select("key", "n_bytes", "digest"), "meta")
     each = anchors.where("h is not null").select("h", "key", "p", "n")
+    several = meta.where("key is not null").groupBy("key").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b")
+    if not several.isEmpty():  # ids are no keys here: documents are numbered in order, and looked up by text afterwards
+        discard(anchors)
+        return _numbered(docs, id_col, text_col, length, gram, hot)
     firsts = stored(meta.groupBy("digest").agg(F.min("key").alias("first"), F.count_distinct("key").alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first"), "copies")
     copies = stored(meta.join(firsts, (F.col("digest") == F.col("d")) & (F.col("key") > F.col("first")), "left_semi").distinct(), "later")
     # anchors in two texts, or at two places of one; copies of a text count once
@@ -413,6 +418,20 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def _numbered(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, hot: int) -> DataFrame:
+    """:func:`suffix_dedup` where ids repeat with other texts: over numbers of the distinct (id, text) in order."""
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), digest.alias("t"), F.col(text_col).alias("text"))
+    order = F.concat(F.lpad((F.col("id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0"), F.col("t"))
+    named = ranked(rows.select("id", "t").distinct().withColumn("order", order), "order").select("id", "t", F.col("rank").alias("number"))
+    named = stored(named, "numbers")
+    one = stored(rows.dropDuplicates(["id", "t"]).join(named, ["id", "t"]).select("number", "text").unionByName(docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("number"), F.col(text_col).alias("text"))), "numbered")
+    out = suffix_dedup(one, "number", "text", length, gram, hot)
+    cols = [c for c in out.columns if c != "number"]
+    known = rows.select("id", "t").join(named, ["id", "t"]).join(out, "number").select(F.col("id").alias(id_col), *cols)
+    return known.unionByName(out.where("number is null").select(F.lit(None).cast("long").alias(id_col), *cols))
+
+
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     out = suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
