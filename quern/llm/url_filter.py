@@ -3,8 +3,9 @@
 Method: per host, the segments of each path are typed, and variable ones (numbers, hashes, dates,
 long ids, and the children of nodes with too many of them) become wildcards; sibling branches whose
 labelled shares do not differ statistically from the median share of all siblings are merged into a
-wildcard, deepest position first; a template is rejected if its smoothed share of good labels is below the
-minimum. A rule that fits decides before the tree; of several the longest.
+wildcard, deepest position first; a template is rejected if its smoothed share of good labels is below
+``min_purity`` times the corpus's share, so that the limit means the same however clean the labels are.
+A rule that fits decides before the tree; of several the longest.
 
 Defined results: a null url, or one without ``://``, has empty host and path and template ``""``.
 Unlabelled templates have the corpus's share of good labels. Labels repeated for a page are
@@ -34,7 +35,8 @@ FANOUT = 50
 Z = 1.96
 #: Weight of the corpus's share in a template's, in labels.
 PRIOR = 10.0
-MIN_PURITY = 0.5
+#: Least smoothed share of good labels, as a part of the corpus's: 3 bad of 3 reject, 2 of 2 don't, at a share of 0.75.
+MIN_PURITY = 0.8
 
 
 def host_path(url):
@@ -140,7 +142,7 @@ def url_filter(
     verdicts = stored(nodes.select("host", "t", "g").join(judged, ["host", "g"]).select(F.col("host").alias("h"), F.col("t").alias("t0"), "g", "purity"), "verdicts")
     out = rows.join(verdicts, (F.col("host") == F.col("h")) & (F.col("t") == F.col("t0")))
     rule, said = rule_for(F.col("host"), F.col("path"), rules)
-    method = F.when(F.col("purity") < min_purity, "block").otherwise("allow")
+    method = F.when(F.col("purity") < F.lit(min_purity * good_share), "block").otherwise("allow")
     template = F.when(F.col("path") == "", "").otherwise(F.concat(F.lit("/"), F.array_join("g", "/")))
     return out.select(F.col("id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(said, method).alias("verdict"), template.alias("template"), "purity")
 
