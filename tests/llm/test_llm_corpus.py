@@ -132,6 +132,19 @@ def test_suffix_dedup(spark, hot):
         assert (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) == want, i
 
 
+def test_suffix_dedup_with_other_texts_under_one_id(spark):
+    r = random.Random(19)
+    shared = words(r, 60)
+    texts = [words(r, 40) + shared, words(r, 50), words(r, 30) + shared, shared + words(r, 20), None, shared]
+    ids = [7, 7, 3, -5, 7, None]
+    df = frame(spark, texts, ids=ids)
+    out = suffix_dedup.suffix_dedup(df.unionByName(df.where("doc_id = 7")))
+    order = sorted((i for i in range(5)), key=lambda i: (ids[i], hashlib.sha256((texts[i] or "").encode()).hexdigest()))
+    want = sorted((ids[i], len(b), int(g.sum())) for i, (b, g) in zip(order, brute_removed([texts[i] for i in order])))
+    got = sorted((x.doc_id, x.n_bytes, x.n_removed) for x in out.collect() if x.doc_id is not None)
+    assert got == sorted(want + [w for w in want if w[0] == 7]) and sum(w[2] for w in want) > 400
+
+
 def test_suffix_dedup_on_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = docs.orderBy("doc_id").collect()
@@ -294,12 +307,29 @@ def test_embedding_dedup(spark):
     for a, b in links:
         n[a] += 1
         n[b] += 1
-    for tile in (16, 1024):
+    for tile in (16, 4096):
         out = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in embedding_dedup.embedding_dedup(df, tile=tile).collect()}
         assert out == {i: (n[i], comp[i], comp[i] == i) for i in range(len(vecs))}
     assert len(links) > 30 and embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
 
 
+def test_embedding_extremes_repeats_and_null_ids(spark):
+    v = [1.0, 2.0, 3.0]
+    rows = [(0, [x * 1e300 for x in v], 1), (1, [x * 1e-300 for x in v], 1), (2, [5e-324, 1e-323, 1.5e-323], 1), (3, v, 1), (3, v, 1), (None, v, 1), (None, None, 1), (4, [1e308, -1e308, 0.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    out = sorted((-1 if x.vec_id is None else x.vec_id, x.n_links, -1 if x.component_id is None else x.component_id, x.kept) for x in embedding_dedup.embedding_dedup(df).collect())
+    assert out == [(-1, 0, -1, False)] * 2 + [(0, 4, 0, True), (1, 4, 0, False), (2, 4, 0, False), (3, 4, 0, False), (3, 4, 0, False), (4, 0, 4, True)]
+
+
+def test_blocks_do_not_change_links():
+    x = np.random.default_rng(18).normal(size=(70, 5))
+    want = {tuple(p) for p in np.argwhere(np.triu((lambda u: u @ u.T)(x / np.linalg.norm(x, axis=1)[:, None]) >= 0.9, 1))}
+    for block in (1, 7, 70, 1024):
+        assert set(zip(*embedding_dedup.links(x, x, 0.9, True, block))) == want
+        i, j = embedding_dedup.links(x[:30], x[30:], 0.9, False, block)
+        assert set(zip(i, j + 30)) == {(a, b) for a, b in want if a < 30 <= b}
+
+
 def test_quantisation_bound_holds():
     r = np.random.default_rng(14)
     x = r.normal(size=(200, 64)) * np.exp(r.normal(size=(1, 64)))

@@ -3,20 +3,21 @@
 from collections import Counter, defaultdict
 
 import corpus_pipeline as p
-from quern.llm import line_dedup, packing, quality_rules
+from quern.llm import packing, quality_rules
 from tests.llm.test_llm_corpus import plain_targets
+from tests.llm.test_llm_lines import own_dedup
 from tests.llm.test_llm_near_copies import plain_groups
 from tests.llm.test_llm_rows import plain_rules
 
 
 def plain_quality(rows):
-    texts = defaultdict(set)
+    own = defaultdict(dict)
     for r in rows:
-        texts[r["source"]].add(r["text"] or "")
+        own[r["source"]][r["doc_id"]] = r["text"] or ""
     often = {}
-    for s, own in texts.items():
-        c = Counter(k for t in own for k in {quality_rules.line_key(x) for x in t.split("\n")} if k)
-        often[s] = {k for k, n in c.items() if n > max(quality_rules.LINE_DOCS, quality_rules.LINE_SHARE * len(own))}
+    for s, held in own.items():
+        c = Counter(k for t in held.values() for k in {quality_rules.line_key(x) for x in t.split("\n")} if k)
+        often[s] = {k for k, n in c.items() if n > max(quality_rules.LINE_DOCS, quality_rules.LINE_SHARE * len(held))}
     out = []
     for r in rows:
         n, _, _, _, rep = plain_rules(r["text"])
@@ -32,16 +33,8 @@ def plain_quality(rows):
 
 
 def plain_lines(rows):
-    seen, out = set(), []
-    for r in sorted(rows, key=lambda r: r["doc_id"]):
-        gone = set()
-        for c, s in line_dedup.multi_line(r["text"]):
-            if s in seen:
-                gone.add(c)
-            seen.add(s)
-        t = line_dedup.without(r["text"], gone)
-        out.append(r | ({"text": t, "n_chars": len(t)} if gone else {}))
-    return out
+    rows = sorted(rows, key=lambda r: r["doc_id"])
+    return [r | ({"text": t, "n_chars": len(t)} if t != r["text"] else {}) for r, t in zip(rows, own_dedup([r["text"] for r in rows]))]
 
 
 def plain_near(rows):
