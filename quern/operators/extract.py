@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.grid import Grid, grid_x, grid_y, rid_of
+from quern.functions.grid import Grid, dbl, grid_x, grid_y, rid_of
 
 
 def join_pixels(cells: DataFrame, pixels: DataFrame, on: tuple[str, ...] = ("col", "row"), how: str = "inner") -> DataFrame:
@@ -28,11 +28,14 @@ def band_values(cells: DataFrame, pixels: DataFrame, band: str, on: tuple[str, .
     return cells.join(pixels.select(*on, F.col(band).alias("value")), list(on), "left").withColumn("value", F.coalesce(F.col("value"), F.lit(0)))
 
 
+def check_same_grid(a: Grid, b: Grid) -> None:
+    if any(getattr(a, k) != getattr(b, k) for k in ("width", "height", "x0", "y0", "px", "py")):
+        raise ValueError("rasters of different size, corner or pixel size cannot be stacked")
+
+
 def stack(first: DataFrame, second: DataFrame, first_grid: Grid, second_grid: Grid) -> DataFrame:
     """Bands of two rasters of exactly the same grid side by side; the second's are renumbered."""
-    same = ("width", "height", "x0", "y0", "px", "py")
-    if any(getattr(first_grid, k) != getattr(second_grid, k) for k in same):
-        raise ValueError("rasters of different size, corner or pixel size cannot be stacked")
+    check_same_grid(first_grid, second_grid)
     bands = [c for c in first.columns if c.startswith("band")]
     more = [c for c in second.columns if c.startswith("band")]
     renamed = second.select("col", "row", *(F.col(c).alias(f"band{len(bands) + k + 1}") for k, c in enumerate(more)))
@@ -51,16 +54,17 @@ def select_fields(features: DataFrame, fields: list[str] | str | None) -> list[s
 
 
 def pixel_table(
-    extracted: DataFrame, g: Grid, attrs: list[str], bands: list[str], rid: str = "file", path: str = "path", col_row: bool = True, xy: bool = True,
+    extracted: DataFrame, g: Grid | None, attrs: list[str], bands: list[str], rid: str = "file", path: str = "path", col_row: bool = True, xy: bool = True,
 ) -> DataFrame:
-    """FID, attributes, RID, col, row (from 1), x, y (pixel corner), bands."""
+    """FID, attributes, RID, col, row (from 1), x, y (pixel corner), bands. Without a grid, x0, y0, px, py are columns."""
     out = [F.col("fid").alias("FID"), *attrs]
     if (r := rid_of(path, rid)) is not None:
         out.append(r.alias("RID"))
     if col_row:
         out += [(F.col("col") + 1).alias("col"), (F.col("row") + 1).alias("row")]
     if xy:
-        out += [grid_x("col", g).alias("x"), grid_y("row", g).alias("y")]
+        x, y = (grid_x("col", g), grid_y("row", g)) if g else (dbl("x0") + dbl("col") * dbl("px"), dbl("y0") + dbl("row") * dbl("py"))
+        out += [x.alias("x"), y.alias("y")]
     return extracted.select(*out, *bands)
 
 
@@ -91,9 +95,30 @@ def touching(features: DataFrame, g: Grid, edge_mode: str = "reference") -> Data
 
 def touching_any(features: DataFrame, rasters: DataFrame) -> DataFrame:
     """Features whose bounding box meets any raster's. ``rasters`` is the list of rasters, one row each."""
-    f, r = features.alias("f"), raster_bounds(rasters).alias("r")
-    meets = (F.col("f.maxx") >= F.col("r.rminx")) & (F.col("f.minx") <= F.col("r.rmaxx")) & (F.col("f.maxy") >= F.col("r.rminy")) & (F.col("f.miny") <= F.col("r.rmaxy"))
-    return f.join(r, meets, "left_semi")
+    near = paired(features.select("fid", "minx", "miny", "maxx", "maxy"), rasters).select("fid").distinct()
+    return features.join(near, "fid", "left_semi")
+
+
+def paired(features: DataFrame, rasters: DataFrame, edge_mode: str = "reference", holds: bool = False) -> DataFrame:
+    """``features`` with each raster whose bounding box meets theirs (or ``holds`` it): an equi-join on coarse tiles.
+
+    Tiles are as large as the largest raster, so a raster lies in four at most. A pair is made in one tile only,
+    the first that both touch. Features without bounds have no pairs.
+    """
+    r = raster_bounds(rasters, edge_mode)
+    size = r.agg(F.max(F.greatest(F.col("rmaxx") - F.col("rminx"), F.col("rmaxy") - F.col("rminy")))).first()[0] or 1.0
+    tile = lambda c: F.floor(F.col(c) / F.lit(float(size))).cast("long")
+    spread = lambda df, a, b, name: df.withColumn(name, F.explode(F.sequence(tile(a), tile(b))))
+    f = spread(spread(features.where("minx is not null and miny is not null"), "minx", "maxx", "__tx"), "miny", "maxy", "__ty")
+    own = [c for c in r.columns if c not in features.columns]
+    r = spread(spread(r.select(*own), "rminx", "rmaxx", "__tx"), "rminy", "rmaxy", "__ty")
+    c = F.col
+    if holds:
+        meets = (c("rminx") <= c("minx")) & (c("maxx") <= c("rmaxx")) & (c("rminy") <= c("miny")) & (c("maxy") <= c("rmaxy"))
+    else:
+        meets = (c("maxx") >= c("rminx")) & (c("minx") <= c("rmaxx")) & (c("maxy") >= c("rminy")) & (c("miny") <= c("rmaxy"))
+    once = (c("__tx") == F.greatest(tile("minx"), tile("rminx"))) & (c("__ty") == F.greatest(tile("miny"), tile("rminy")))
+    return f.join(r, ["__tx", "__ty"]).where(meets & once).drop("__tx", "__ty")
 
 
 def raster_bounds(rasters: DataFrame, edge_mode: str = "reference") -> DataFrame:

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.geom import buffered, clipped, envelope, leaves, line_cells, parse_wkt, polygon_is_valid, polygon_spans, repaired, to_wkt
+from quern.functions.geom import EPS, buffered, clipped, envelope, leaves, line_cells, parse_wkt, polygon_is_valid, polygon_spans, repaired, to_wkt
 from quern.functions.grid import Grid, col_of, dbl, in_envelope, on_grid, row_of
 
 
@@ -22,11 +22,11 @@ def points_to_cells(features: DataFrame, g: Grid, x: str = "x", y: str = "y", ed
     return out.where(on_grid("col", "row", g))
 
 
-def box_columns(features: DataFrame, width: float, height: float | None = None) -> DataFrame:
-    """Bounding box columns replaced by a box of the given size about their centre."""
-    w, h = abs(width), abs(width if height is None else height)
+def box_columns(features: DataFrame, width, height=None) -> DataFrame:
+    """Bounding box columns replaced by a box of the given size (numbers or columns) about their centre."""
+    w, h = (F.abs(x if isinstance(x, Column) else F.lit(float(x))) for x in (width, width if height is None else height))
     cx, cy = (dbl("minx") + dbl("maxx")) / F.lit(2.0), (dbl("miny") + dbl("maxy")) / F.lit(2.0)
-    return features.withColumns({"minx": cx - F.lit(w / 2), "maxx": cx + F.lit(w / 2), "miny": cy - F.lit(h / 2), "maxy": cy + F.lit(h / 2)})
+    return features.withColumns({"minx": cx - w / 2, "maxx": cx + w / 2, "miny": cy - h / 2, "maxy": cy + h / 2})
 
 
 def boxes_to_cells(features: DataFrame, g: Grid, pixprop: float = 0.5, edge_mode: str = "reference") -> DataFrame:
@@ -51,7 +51,7 @@ def boxes_to_cells(features: DataFrame, g: Grid, pixprop: float = 0.5, edge_mode
     f = f.withColumn("row", cells(F.col("__v0"), F.col("__v1"))).withColumn("col", cells(F.col("__u0"), F.col("__u1")))
     share = lambda lo, hi, k: F.least(F.col(hi), dbl(k) + F.lit(1.0)) - F.greatest(F.col(lo), dbl(k))
     f = f.withColumn("coverage", share("__u0", "__u1", "col") * share("__v0", "__v1", "row"))
-    f = f.where(F.col("coverage") > 0.0 if pixprop == 0 else F.col("coverage") >= F.lit(float(pixprop)))
+    f = f.where(F.col("coverage") > EPS if pixprop == 0 else F.col("coverage") >= F.lit(float(pixprop) - EPS))
     return f.where(on_grid("col", "row", g)).drop(*(f"__{n}" for n in ("x0", "x1", "y0", "y1", "u0", "u1", "v0", "v1")))
 
 
@@ -91,28 +91,33 @@ def check_pixprop(p: float) -> None:
         raise ValueError("pixprop must be in [0, 1]")
 
 
-SPANS = "fid long, part int, kind string, row int, col_from int, col_to int"
+#: What the span function reads of a raster, and what it returns.
+GRID = ("width", "height", "x0", "y0", "px", "py")
+SPANS = "fid long, rid string, part int, kind string, row int, col_from int, col_to int"
 
 
 def _spans(g: Grid, pixprop: float, edge_mode: str, skip_invalid: bool):
+    """WKT -> (part, kind, row, first col, last col). Points and lines give a cell once; parts of polygons may share cells."""
     box = g.envelope(edge_mode)
 
     def unit(p):
         return (p[0] - g.x0) / g.px, (p[1] - g.y0) / g.py
 
-    def of(wkt: str) -> list[tuple[int, str, int, int, int]]:
-        geometry, out = parse_wkt(wkt), []
-        for part, (kind, (shape,)) in enumerate(leaves(clipped(repairable(geometry, skip_invalid), box))):
-            if kind == "POINT":
-                u, v = unit(shape)
-                c, r = int(u // 1), int(v // 1)
-                cells = [(r, c, c)]
-            elif kind == "LINESTRING":
-                rel, cells = [(x - g.x0, y - g.y0) for x, y in shape], []
-                for k, (p, q) in enumerate(zip(rel, rel[1:])):
-                    cells += [(r, c, c) for c, r in line_cells(p, q, g.px, g.py, k == len(rel) - 2)]
-            else:
+    def of(geometry) -> list[tuple[int, str, int, int, int]]:
+        out, seen = [], set()
+        for part, (kind, (shape,)) in enumerate(leaves(clipped(geometry, box))):
+            if kind == "POLYGON":
                 cells = polygon_spans([[unit(p) for p in ring] for ring in shape], pixprop, g.width, g.height)
+            else:
+                if kind == "POINT":
+                    u, v = unit(shape)
+                    hit = [(int(u // 1), int(v // 1))]
+                else:
+                    rel, hit = [(x - g.x0, y - g.y0) for x, y in shape], []
+                    for k, (p, q) in enumerate(zip(rel, rel[1:])):
+                        hit += line_cells(p, q, g.px, g.py, k == len(rel) - 2)
+                cells = [(r, c, c) for c, r in dict.fromkeys(hit) if (c, r) not in seen]
+                seen.update(hit)
             out += [(part, kind, r, max(a, 0), min(b, g.width - 1)) for r, a, b in cells if 0 <= r < g.height and b >= 0 and a < g.width]
         return out
 
@@ -132,38 +137,62 @@ def repairable(geometry, skip_invalid: bool = False):
     return ("GEOMETRYCOLLECTION", out)
 
 
-def geometries_to_spans(features: DataFrame, g: Grid, pixprop: float = 0.5, edge_mode: str = "reference", skip_invalid_polys: bool = False) -> DataFrame:
-    """(fid, part, kind, row, col_from, col_to) of ``features(fid, wkt)`` of any kind."""
+def pairs_to_spans(pairs: DataFrame, pixprop: float = 0.5, edge_mode: str = "reference", skip_invalid_polys: bool = False) -> DataFrame:
+    """(fid, rid, part, kind, row, col_from, col_to) of ``pairs(fid, rid, wkt, width..py)``: each geometry is read once in one pass, whatever its kind."""
     check_pixprop(pixprop)
+    kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32())
+    names = [x.split()[0] for x in SPANS.split(", ")]
 
     def run(batches):
-        of = _spans(g, pixprop, edge_mode, skip_invalid_polys)
+        grids: dict = {}
+        last = geometry = None
         for batch in batches:
-            out = [(fid, *s) for fid, wkt in zip(*(c.to_pylist() for c in batch.columns)) if wkt for s in of(wkt)]
-            if out:
-                cols = list(zip(*out))
-                kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds)], names=["fid", "part", "kind", "row", "col_from", "col_to"])
+            for at in range(0, batch.num_rows, 256):  # results leave in slices
+                out = []
+                for fid, rid, wkt, *grid in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                    if not wkt:
+                        continue
+                    if (of := grids.get((*grid,))) is None:
+                        of = grids[(*grid,)] = _spans(Grid(*grid), pixprop, edge_mode, skip_invalid_polys)
+                    if wkt != last:  # a feature's pairs follow each other
+                        last, geometry = wkt, repairable(parse_wkt(wkt), skip_invalid_polys)
+                    out += [(fid, rid, *x) for x in of(geometry)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out), kinds)], names=names)
 
-    return features.select(F.col("fid").cast("long"), "wkt").mapInArrow(run, SPANS)
+    return pairs.select(F.col("fid").cast("long"), "rid", "wkt", *GRID).mapInArrow(run, SPANS)
 
 
-def geometries_to_cells(features: DataFrame, g: Grid, pixprop: float = 0.5, edge_mode: str = "reference", skip_invalid_polys: bool = False, spread: bool = False) -> DataFrame:
-    """(fid, part, kind, col, row). Points and lines have each cell once a feature; polygon parts may share cells.
+def pairs_to_cells(pairs: DataFrame, pixprop: float = 0.5, edge_mode: str = "reference", skip_invalid_polys: bool = False, spread: bool = True) -> DataFrame:
+    """(fid, rid, part, kind, col, row).
 
     ``spread`` deals the spans by feature and row before they become cells, so that a polygon over a
     whole raster is not one task's work; the exchange carries spans, not cells.
     """
-    spans = geometries_to_spans(features, g, pixprop, edge_mode, skip_invalid_polys)
+    spans = pairs_to_spans(pairs, pixprop, edge_mode, skip_invalid_polys)
     if spread:
         spans = spans.repartition("fid", "row")
-    cells = spans.select("fid", "part", "kind", F.explode(F.sequence("col_from", "col_to")).alias("col"), "row")
-    polygons = cells.where("kind = 'POLYGON'")
-    return cells.where("kind <> 'POLYGON'").dropDuplicates(["fid", "col", "row"]).unionByName(polygons)
+    return spans.select("fid", "rid", "part", "kind", F.explode(F.sequence("col_from", "col_to")).alias("col"), "row")
 
 
-def buffer_wkt(features: DataFrame, amount: float | str, segments: int | str = 1) -> DataFrame:
-    """``features`` with the geometry buffered; ``@field`` takes the whole-number distance from a column."""
+def on_one(features: DataFrame, g: Grid) -> DataFrame:
+    """``features`` paired with one raster."""
+    kind = {"width": "int", "height": "int"}
+    return features.drop("rid", *GRID).withColumns({"rid": F.lit(g.rid)} | {n: F.lit(getattr(g, n)).cast(kind.get(n, "double")) for n in GRID})
+
+
+def geometries_to_spans(features: DataFrame, g: Grid, pixprop: float = 0.5, edge_mode: str = "reference", skip_invalid_polys: bool = False) -> DataFrame:
+    """(fid, part, kind, row, col_from, col_to) of ``features(fid, wkt)`` of any kind on one raster."""
+    return pairs_to_spans(on_one(features, g), pixprop, edge_mode, skip_invalid_polys).drop("rid")
+
+
+def geometries_to_cells(features: DataFrame, g: Grid, pixprop: float = 0.5, edge_mode: str = "reference", skip_invalid_polys: bool = False, spread: bool = False) -> DataFrame:
+    """(fid, part, kind, col, row). Points and lines have each cell once a feature; polygon parts may share cells."""
+    return pairs_to_cells(on_one(features, g), pixprop, edge_mode, skip_invalid_polys, spread).drop("rid")
+
+
+def buffer_wkt(features: DataFrame, amount: float | str, segments: int | str = 1, bounds: bool = True) -> DataFrame:
+    """``features`` with the geometry buffered; ``@field`` takes the whole-number distance from a column. ``bounds``: its box follows."""
     field = lambda v, default: F.col(v[1:]).cast("long") if isinstance(v, str) and v.startswith("@") else F.lit(int(float(v if v is not None else default)))
     kept = features.withColumns({"__d": field(amount, 0), "__s": field(segments, 1)})
 
@@ -171,17 +200,8 @@ def buffer_wkt(features: DataFrame, amount: float | str, segments: int | str = 1
     def grow(wkt: pd.Series, d: pd.Series, s: pd.Series) -> pd.Series:
         return pd.Series([None if w is None else to_wkt(buffered(parse_wkt(w), int(a), max(1, int(b)))) for w, a, b in zip(wkt, d, s)], dtype=object)
 
-    return with_bounds(kept.withColumn("wkt", grow("wkt", "__d", "__s")).drop("__d", "__s"))
-
-
-def point_disc_wkt(x, y, d, segments: int = 1):
-    """WKT of a point's buffer as an expression: a ring of 4 * segments vertices."""
-    n = 4 * segments
-    ring = F.transform(
-        F.sequence(F.lit(0), F.lit(n)),
-        lambda k: F.concat_ws(" ", dbl(x) + dbl(d) * F.cos(F.lit(2 * 3.141592653589793 / n) * (k % n)), dbl(y) + dbl(d) * F.sin(F.lit(2 * 3.141592653589793 / n) * (k % n))),
-    )
-    return F.concat(F.lit("POLYGON (("), F.array_join(ring, ","), F.lit("))"))
+    out = kept.withColumn("wkt", grow("wkt", "__d", "__s")).drop("__d", "__s")
+    return with_bounds(out) if bounds else out
 
 
 def box_wkt(minx="minx", miny="miny", maxx="maxx", maxy="maxy"):

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.grid import angle, centre, distance
-from quern.operators.extract import raster_bounds
+from quern.operators.extract import paired
 
 DISTANCE_EPS = 1e-4
 NODATA_EPS = 1e-3
@@ -15,24 +15,22 @@ ANGLE_TIE = 5.0
 DISTANCE_TIE = 6.0
 
 
-def candidates(features: DataFrame, rasters: DataFrame) -> DataFrame:
-    """(fid, idx, rid, dx, dy) of rasters whose bounding box holds the feature's.
-
-    ``rasters`` is the list of rasters (a row each); Spark broadcasts it while its own threshold allows.
-    """
-    f, r = features.alias("f"), raster_bounds(rasters).alias("r")
-    holds = (F.col("r.rminx") <= F.col("f.minx")) & (F.col("f.maxx") <= F.col("r.rmaxx")) & (F.col("r.rminy") <= F.col("f.miny")) & (F.col("f.maxy") <= F.col("r.rmaxy"))
+def candidates(features: DataFrame, rasters: DataFrame, edge_mode: str = "reference") -> DataFrame:
+    """(fid, idx, rid, dx, dy) of rasters whose bounding box holds the feature's."""
     cx, cy = centre()
     rx, ry = (F.col("rminx") + F.col("rmaxx")) / F.lit(2.0), (F.col("rminy") + F.col("rmaxy")) / F.lit(2.0)
-    return f.join(r, holds).select("fid", "idx", "rid", (cx - rx).alias("dx"), (cy - ry).alias("dy"))
+    held = paired(features.select("fid", "minx", "miny", "maxx", "maxy"), rasters, edge_mode, holds=True)
+    return held.select("fid", "idx", "rid", (cx - rx).alias("dx"), (cy - ry).alias("dy"))
 
 
-def screen_nodata(cands: DataFrame, pixels: DataFrame, bands: list[str], nodata: float, mode: str = "all_bands") -> DataFrame:
+def screen_nodata(cands: DataFrame, pixels: DataFrame, bands: list[str], nodata, mode: str = "all_bands") -> DataFrame:
     """Without rasters that have a pixel of nodata under the feature. ``pixels``: (fid, rid, bands).
 
+    ``nodata``: a number, or a column of ``pixels``, where null means that the raster has none.
     ``mode``: ``all_bands``, ``any_band`` or ``band <n>`` (from 1).
     """
-    hit = lambda b: F.abs(F.col(b) - F.lit(float(nodata))) <= NODATA_EPS
+    value = nodata if isinstance(nodata, Column) else F.lit(float(nodata))
+    hit = lambda b: F.coalesce(F.abs(F.col(b) - value) <= NODATA_EPS, F.lit(False))
     if mode.startswith("band "):
         bad = hit(bands[int(mode.split()[1]) - 1])
     else:

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.grid import centre, closest_col, closest_row
+from quern.functions.geom import EPS
+from quern.functions.grid import Grid, centre, closest_col, closest_row
 from quern.operators import cutout, extract, legacy, rasterize, report, select, stats
+from quern.plans import extraction as x
+from quern.session import stored
 from quern.sources import fixtures as fx
 from quern.sources import tables
 from quern.sources.fixtures import BANDS, GRIDS, MAIN, with_
@@ -198,9 +203,16 @@ def spatial_filter_any(s, sf):
     return extract.touching_any(fx.boxes(s, sf), tables.raster_list(s, GRIDS, 3)).select("fid")
 
 
-@query("SELECT true AS same_srs, true AS same_pixel_size, true AS ok")
+ODD = Grid(64, 64, 0.0, 64.0, 2.0, -2.0, "dir/odd.img", "other")
+CHECKED = "FROM (SELECT srs, px, py FROM rasters UNION ALL SELECT 'other', CAST(2 AS DOUBLE), CAST(-2 AS DOUBLE))"
+
+
+@query(with_("rasters", f"""SELECT 'same' AS run, count(DISTINCT srs) = 1 AND min(srs) = 'local' AS same_srs, count(DISTINCT (px, py)) = 1 AS same_pixel_size, count(DISTINCT srs) = 1 AND min(srs) = 'local' AND count(DISTINCT (px, py)) = 1 AS ok FROM rasters
+  UNION ALL SELECT 'odd', count(DISTINCT srs) = 1 AND min(srs) = 'local', count(DISTINCT (px, py)) = 1, count(DISTINCT srs) = 1 AND min(srs) = 'local' AND count(DISTINCT (px, py)) = 1 {CHECKED}
+  UNION ALL SELECT 'vector', count(DISTINCT srs) = 1 AND min(srs) = 'elsewhere', count(DISTINCT (px, py)) = 1, false FROM rasters"""))
 def validate_inputs(s, sf):
-    return extract.validate_inputs(tables.raster_list(s, GRIDS, 3), "local")
+    runs = {"same": (GRIDS, "local"), "odd": ([*GRIDS, ODD], "local"), "vector": (GRIDS, "elsewhere")}
+    return reduce(DataFrame.unionByName, (extract.validate_inputs(tables.raster_list(s, g, 3), srs).select(F.lit(n).alias("run"), "*") for n, (g, srs) in runs.items()))
 
 
 @query(with_("boxes", "SELECT fid, (minx + maxx) / CAST(2 AS DOUBLE) AS cx, (miny + maxy) / CAST(2 AS DOUBLE) AS cy FROM boxes WHERE fid % 3 <> 0"))
@@ -227,8 +239,7 @@ def select_direction_then_distance(s, sf):
     return select.choose(select.candidates(fx.boxes(s, sf), tables.raster_list(s, GRIDS, 3)), [("direction", 45), ("distance",)])
 
 
-def _screened(s, sf):
-    px = got3(s, sf)
+def _screened(s, sf, px):
     c = select.candidates(fx.boxes(s, sf), tables.raster_list(s, GRIDS, 3))
     c = select.screen_nodata(c, px, ["band1", "band2"], 50, "band 1")
     # the mask of a raster: 0 where its second band is 7
@@ -241,13 +252,14 @@ SCREEN = """, good AS (SELECT * FROM cands c WHERE NOT EXISTS (SELECT 1 FROM got
 
 @query(with_("cands got3", SCREEN + " SELECT * FROM best").replace(") , good", "), good"))
 def select_screened(s, sf):
-    return select.choose(_screened(s, sf), [("distance",)])
+    return select.choose(_screened(s, sf, got3(s, sf)), [("distance",)])
 
 
 @query(with_("cands got3", SCREEN + ' SELECT g.fid, g.rid, col, "row", band1 FROM got3 g JOIN best USING (fid, rid)').replace(") , good", "), good"))
 def duplicate_pixel_table(s, sf):
-    best = select.choose(_screened(s, sf), [("distance",)]).select("fid", "rid")
-    return got3(s, sf).join(best, ["fid", "rid"], "left_semi").select("fid", "rid", "col", "row", "band1")
+    px = stored(got3(s, sf).select("fid", "rid", "col", "row", "band1", "band2"), "cells")
+    best = select.choose(_screened(s, sf, px), [("distance",)]).select("fid", "rid")
+    return px.join(best, ["fid", "rid"], "left_semi").select("fid", "rid", "col", "row", "band1")
 
 
 # lines, polygons, burning
@@ -272,7 +284,28 @@ def triangles(s, sf):
     return b.withColumn("wkt", F.concat(F.lit("POLYGON (("), ring, F.lit("))")))
 
 
-@query()
+def _rectangles(source: str, columns: str, bounds: tuple[str, str, str, str]) -> str:
+    """Cells of the main raster under bounds, as rectangles (a, b) to (c, d) cut by bounds and envelope."""
+    e, (x0, y0, x1, y1) = MAIN.envelope(), bounds
+    return f"""(SELECT *, greatest(CAST(col AS DOUBLE), {x0}, {e[0]}) AS a, least(CAST(col + 1 AS DOUBLE), {x1}, {e[2]}) AS c, greatest(CAST(63 - "row" AS DOUBLE), {y0}, {e[1]}) AS b, least(CAST(64 - "row" AS DOUBLE), {y1}, {e[3]}) AS d
+  FROM (SELECT {columns}, col, CAST(unnest(range(greatest(0, CAST(floor(64 - {y1}) AS BIGINT)), least(64, CAST(ceil(64 - {y0}) AS BIGINT)))) AS INTEGER) AS "row" FROM (SELECT *, CAST(unnest(range(greatest(0, CAST(floor({x0}) AS BIGINT)), least(64, CAST(ceil({x1}) AS BIGINT)))) AS INTEGER) AS col FROM {source})))"""
+
+
+def _below(u: str, v: str, d: str) -> str:
+    """Area of u' >= u, v' >= v, u' + v' <= d."""
+    return f"power(greatest(0, {d} - ({u}) - ({v})), 2) / 2"
+
+
+def _corner(u0: str, u1: str, v0: str, v1: str, d: str) -> str:
+    """Area of a rectangle below the diagonal u + v = d, all of its sides at 0 or above."""
+    return f"(CASE WHEN {u1} > {u0} AND {v1} > {v0} THEN {_below(u0, v0, d)} - {_below(u1, v0, d)} - {_below(u0, v1, d)} + {_below(u1, v1, d)} ELSE 0 END)"
+
+
+LEGS = ("(maxx - minx)", "(maxy - miny)")
+TRIANGLE = f"{LEGS[0]} * {LEGS[1]} * " + _corner(f"((a - minx) / {LEGS[0]})", f"((c - minx) / {LEGS[0]})", f"((b - miny) / {LEGS[1]})", f"((d - miny) / {LEGS[1]})", "1")
+
+
+@query(with_("boxes", f"""SELECT fid, 0 AS part, 'POLYGON' AS kind, col, "row" FROM {_rectangles("boxes", "fid, minx, miny, maxx, maxy", ("minx", "miny", "maxx", "maxy"))} WHERE c > a AND d > b AND {TRIANGLE} >= {0.4 - EPS!r}"""))
 def polygon_cells(s, sf):
     return rasterize.geometries_to_cells(triangles(s, sf), MAIN, 0.4)
 
@@ -290,15 +323,28 @@ def wkt_line_cells(s, sf):
     return rasterize.geometries_to_cells(f, MAIN).select("fid", "col", "row")
 
 
-@query()
+def _diamond(d: float) -> str:
+    """Area of a rectangle within ``d`` of (x, y) by the sum of the distances along the axes: a disc of four vertices."""
+    sides = (("(a - x)", "(c - x)"), ("(x - c)", "(x - a)")), (("(b - y)", "(d - y)"), ("(y - d)", "(y - b)"))
+    return " + ".join(_corner(f"greatest(0, {u0})", f"greatest(0, {u1})", f"greatest(0, {v0})", f"greatest(0, {v1})", str(d)) for u0, u1 in sides[0] for v0, v1 in sides[1])
+
+
+BUFFERED = f"""SELECT fid, col, "row" FROM {_rectangles("pts", "fid, x, y", ("(x - 3)", "(y - 3)", "(x + 3)", "(y + 3)"))} WHERE c > a AND d > b AND {_diamond(3)} >= {0.5 - EPS!r}"""
+
+
+@query(with_("pts", BUFFERED))
 def buffered_points(s, sf):
-    f = fx.points(s, sf).withColumn("wkt", F.concat_ws("", F.lit("POINT ("), F.concat_ws(" ", "x", "y"), F.lit(")")))
-    return rasterize.geometries_to_cells(rasterize.buffer_wkt(f, 3), MAIN).select("fid", "col", "row")
+    return rasterize.geometries_to_cells(rasterize.buffer_wkt(point_layer(s, sf), 3), MAIN).select("fid", "col", "row")
+
+
+def point_layer(s, sf):
+    """Points as a layer in WKT."""
+    return fx.points(s, sf).withColumn("wkt", F.concat_ws("", F.lit("POINT ("), F.concat_ws(" ", "x", "y"), F.lit(")")))
 
 
-@query(with_("cells", 'SELECT c AS col, r AS "row", CAST(CASE WHEN k.col IS NULL THEN 0 ELSE 1 END AS SMALLINT) AS value FROM (SELECT CAST(range AS INTEGER) AS c FROM range(64)) a CROSS JOIN (SELECT CAST(range AS INTEGER) AS r FROM range(64)) b LEFT JOIN (SELECT DISTINCT col, "row" FROM cells WHERE fid % 7 = 0) k ON k.col = c AND k."row" = r'))
+@query(with_("cells", 'SELECT c AS col, r AS "row", CAST(CASE WHEN k.col IS NULL THEN 0 ELSE 1 END AS SMALLINT) AS value FROM (SELECT CAST(range AS INTEGER) AS c FROM range(64)) a CROSS JOIN (SELECT CAST(range AS INTEGER) AS r FROM range(64)) b LEFT JOIN (SELECT DISTINCT col, "row" FROM cells) k ON k.col = c AND k."row" = r'))
 def burned_raster(s, sf):
-    return cutout.burn(fx.box_cells(s, sf).where("fid % 7 = 0"), MAIN)
+    return cutout.burn(fx.box_cells(s, sf), MAIN)
 
 
 # cut-outs and strips
@@ -334,7 +380,7 @@ def cutouts_inside(s, sf):
     return cutout.cutouts(fx.box_cells(s, sf), fx.main_pixels(s, sf), MAIN, ["band1"], only_inside=True, nodata=-1)
 
 
-LAYOUT = ", lay AS (SELECT *, CAST(coalesce(sum(height + 2) OVER (ORDER BY fid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS strip_row FROM win)"
+LAYOUT = ", lay AS (SELECT *, CAST(coalesce(sum(height + 2) OVER (ORDER BY fid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS strip_row FROM win)"
 
 
 def _layout(s, sf):
@@ -359,7 +405,7 @@ def strip_pixels(s, sf):
     return cutout.strip_pixels(_layout(s, sf), fx.main_pixels(s, sf), MAIN, ["band1"])
 
 
-@query(_win(STRIP + """, size AS (SELECT max(width) AS sw, max(strip_row + height) AS sh FROM lay), rows_ AS (SELECT sw, CAST(unnest(range(sh)) AS INTEGER) AS strip_row FROM size), grid AS (SELECT strip_row, CAST(unnest(range(sw)) AS INTEGER) AS strip_col FROM rows_)
+@query(_win(STRIP + """, size AS (SELECT max(width) AS sw, max(strip_row + height) AS sh FROM lay), rows_ AS (SELECT sw, CAST(unnest(range(sh)) AS BIGINT) AS strip_row FROM size), grid AS (SELECT strip_row, CAST(unnest(range(sw)) AS INTEGER) AS strip_col FROM rows_)
   SELECT strip_col, strip_row, coalesce(band1, 0) AS band1, coalesce(fid, -1) AS fid, coalesce(x, CAST(0 AS FLOAT)) AS x, coalesce(y, CAST(0 AS FLOAT)) AS y FROM grid LEFT JOIN cov USING (strip_col, strip_row)""", "cells pix"))
 def strip_full(s, sf):
     lay = _layout(s, sf)
@@ -421,9 +467,132 @@ def dump_grid(s, sf):
     return report.dump_grid(MAIN, s)
 
 
-@query()
+@query(with_("cells", """, one AS (SELECT fid, "row" // 32 * 65536 + col // 32 AS block, "row", col, printf('%.6f %.6f', CAST(col AS DOUBLE), CAST(64 - "row" AS DOUBLE)) AS p FROM cells)
+  SELECT fid, CAST(block AS INTEGER) AS block, '<case><a>' || any_value(printf('feature %d', fid)) || '</a><b>MULTIPOINT (' || string_agg(p, ',' ORDER BY "row", col) || ')</b><test><op name="intersects" arg1="A" arg2="B">true</op></test></case>' AS xml FROM one GROUP BY fid, block""").replace(") , one AS", "), one AS"))
 def intersect_cases(s, sf):
-    return report.intersect_cases(fx.box_cells(s, sf), fx.boxes(s, sf).withColumn("wkt", rasterize.box_wkt()), MAIN)
+    f = fx.boxes(s, sf).withColumn("wkt", F.concat(F.lit("feature "), F.col("fid").cast("string")))  # the text of a geometry is copied as it is
+    return report.intersect_cases(fx.box_cells(s, sf), f, MAIN)
+
+
+# runs of the plan builder: what the command line does, over layers in WKT and several rasters
+
+
+def flags(s, sf, nodata=None) -> x.Rasters:
+    grids = [replace(g, nodata=nodata) for g in GRIDS]
+    return x.Rasters(tables.raster_list(s, grids, 3), fx.flag_pixels(s, sf))
+
+
+def main(s, sf) -> list:
+    return [(MAIN, fx.main_pixels(s, sf))]
+
+
+PLACED = "got3 JOIN (SELECT rid, x0, y0, px, py FROM rasters) USING (rid)"
+SHORT = "regexp_replace(rid, '^.*[/:\\\\]', '')"
+
+
+@query(with_("got3 rasters", f"""SELECT fid AS "FID", c_mktsegment, {SHORT} AS "RID", col + 1 AS col, "row" + 1 AS "row", x0 + col * px AS x, y0 + "row" * py AS y, band1, band2, band3 FROM {PLACED}"""))
+def run_table(s, sf):
+    return x.table(fx.box_layer(s, sf), flags(s, sf), x.Options(fields=["c_mktsegment"]))
+
+
+def _run_stats_sql(nodata: int) -> str:
+    """Statistics by feature and raster: the key of the helper is both."""
+    mode, body = _int_stats_sql("k", nodata, False)
+    both = "k AS (SELECT fid * 3 + idx AS fid, band1, c_nationkey FROM got3)"
+    names = "split AS (SELECT fid AS key, fid // 3 AS fid, list_extract(['dir/A.img', 'dir/N.img', 'dir/R.img'], CAST(fid % 3 + 1 AS INTEGER)) AS rid FROM k)"
+    out = f"SELECT DISTINCT split.fid, c_nationkey, rid, b.* EXCLUDE (fid) FROM b JOIN split ON key = b.fid JOIN boxes ON boxes.fid = split.fid"
+    return with_("got3 boxes", "").rstrip() + f", {both}, {names}, {mode}, b AS ({body}) {out}"
+
+
+@query(_run_stats_sql(50))
+def run_statistics(s, sf):
+    """Each raster's own nodata is left out."""
+    return _rounded(x.statistics(fx.box_layer(s, sf), flags(s, sf, 50.0).of_bands("band1"), x.Options(fields=["c_nationkey"], stats=INT_STATS)))
+
+
+@query(with_("got", 'SELECT fid, \'dir/main.img\' AS rid, count(*) AS "numPixels", CAST(min(band1) AS DOUBLE) AS min_band1, CAST(min(band2) AS DOUBLE) AS min_band2, min(band3) AS min_band3, count(*) - count(*) FILTER (band1 <> 0) AS nulls_band1, count(*) - count(*) FILTER (band2 <> 0) AS nulls_band2, count(*) - count(*) FILTER (band3 <> 0) AS nulls_band3 FROM got GROUP BY fid'))
+def run_statistics_given_nodata(s, sf):
+    """A given value wins over the raster's, 0 too."""
+    r = [(replace(MAIN, nodata=1.0), fx.main_pixels(s, sf))]
+    return x.statistics(fx.box_layer(s, sf), r, x.Options(fields="none", stats=["min", "nulls"], nodata=0.0))
+
+
+@query(with_("got3", "SELECT fid, rid, band2 AS class, count(*) AS count FROM got3 GROUP BY fid, rid, band2"))
+def run_classes(s, sf):
+    return x.classes(fx.box_layer(s, sf), flags(s, sf), band="band2")
+
+
+@query(with_("got3 cands", SCREEN + f""" SELECT g.fid AS "FID", {SHORT} AS "RID", col + 1 AS col, "row" + 1 AS "row", band1 FROM got3 g JOIN best USING (fid, rid)""").replace(") , good", "), good"))
+def run_duplicates(s, sf):
+    """Nodata of the first band and masks screen the rasters; the nearest of the rest gives the pixels."""
+    px = fx.flag_pixels(s, sf)
+    masks = [(g, px.where(F.col("rid") == g.rid).select("col", "row", F.when(F.col("band2") == 7, 0).otherwise(1).alias("band1"))) for g in GRIDS]
+    o = x.Options(fields="none", xy=False, duplicate=[("distance",)], ignore_nodata="band 1")
+    return x.table(fx.box_layer(s, sf), x.Rasters(tables.raster_list(s, [replace(g, nodata=50.0) for g in GRIDS], 3), px.select("rid", "col", "row", "band1")), o, masks)
+
+
+@query(with_("pts pix", f"""SELECT fid, 'dir/main.img' AS rid, count(*) AS "numPixels", CAST(sum(band1) AS DOUBLE) AS sum_band1 FROM ({BUFFERED}) JOIN pix USING (col, "row") WHERE fid IN (SELECT fid FROM pts WHERE x BETWEEN 0 AND 63 AND y BETWEEN 1 AND 64) GROUP BY fid"""))
+def run_buffers(s, sf):
+    """Buffers are tested against rasters that the features themselves meet."""
+    r = [(MAIN, fx.main_pixels(s, sf).select("col", "row", "band1"))]
+    return x.statistics(point_layer(s, sf), r, x.Options(fields="none", buffer=(3,), stats=["sum"]))
+
+
+@query(_win("SELECT fid, 'dir/main.img' AS rid, name, col0, row0, width + width % 2 AS width, height + height % 2 AS height, ulx, uly FROM win"))
+def run_windows(s, sf):
+    return x.mini_rasters(fx.box_layer(s, sf), main(s, sf), x.Options(parity="even"), "cut_")[0]
+
+
+@query(_win(CUT + """ SELECT w.fid, 'dir/main.img' AS rid, c, r, CASE WHEN k.fid IS NULL THEN -7 ELSE coalesce(band1, -7) END AS band1, CASE WHEN k.fid IS NULL THEN -7 ELSE coalesce(band3, -7) END AS band2, CASE WHEN k.fid IS NULL THEN -7 ELSE coalesce(band2, -7) END AS band3
+  FROM w LEFT JOIN pix USING (col, "row") LEFT JOIN (SELECT DISTINCT fid, col, "row" FROM cells) k ON k.fid = w.fid AND k.col = w.col AND k."row" = w."row\"""", "cells pix"))
+def run_mini_rasters(s, sf):
+    """Two rasters of one grid add their bands up; what is outside a feature reads the raster's own nodata."""
+    px = fx.main_pixels(s, sf)
+    g = replace(MAIN, nodata=-7.0)
+    return x.mini_rasters(fx.box_layer(s, sf), [(g, px.select("col", "row", "band1", F.col("band3").alias("band2"))), (replace(g, rid="dir/second.img"), px.select("col", "row", F.col("band2").alias("band1")))], x.Options(only_inside=True))[1]
+
+
+CHOSEN = """, best AS (SELECT fid, idx, rid FROM (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY CASE WHEN n > 1 THEN d ELSE 0 END, idx) AS k FROM (SELECT *, sqrt(dx * dx + dy * dy) AS d, count(*) OVER (PARTITION BY fid) AS n FROM cands)) WHERE k = 1),
+  own AS (SELECT fid, rid, col, "row" FROM cells3 JOIN best USING (fid, rid)), e AS (SELECT fid, rid, min(col) AS col0, max(col) - min(col) + 1 AS width, min("row") AS row0, max("row") - min("row") + 1 AS height FROM own GROUP BY fid, rid),
+  lay AS (SELECT *, CAST(coalesce(sum(height + 1) OVER (ORDER BY fid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS strip_row FROM e),
+  a1 AS (SELECT *, CAST(unnest(range(height)) AS INTEGER) AS r FROM lay), b1 AS (SELECT *, CAST(unnest(range(width)) AS INTEGER) AS c FROM a1), w AS (SELECT fid, rid, col0 + c AS col, row0 + r AS "row", c, strip_row + r AS strip_row FROM b1),
+  cov AS (SELECT w.c AS strip_col, w.strip_row, CASE WHEN k.fid IS NULL THEN 0 ELSE coalesce(band1, 0) END AS band1, w.fid, CAST(x0 + w.col * px AS FLOAT) AS x, CAST(y0 + w."row" * py AS FLOAT) AS y FROM w JOIN rasters USING (rid)
+    LEFT JOIN pix3 ON pix3.rid = w.rid AND pix3.col = w.col AND pix3."row" = w."row" LEFT JOIN own k ON k.fid = w.fid AND k.col = w.col AND k."row" = w."row"),
+  size AS (SELECT max(width) AS sw, max(strip_row + height) AS sh FROM lay), rows_ AS (SELECT sw, CAST(unnest(range(sh)) AS BIGINT) AS strip_row FROM size), grid AS (SELECT strip_row, CAST(unnest(range(sw)) AS INTEGER) AS strip_col FROM rows_)
+  SELECT strip_col, strip_row, coalesce(band1, 0) AS band1, coalesce(fid, -1) AS fid, coalesce(x, CAST(0 AS FLOAT)) AS x, coalesce(y, CAST(0 AS FLOAT)) AS y FROM grid LEFT JOIN cov USING (strip_col, strip_row)"""
+
+
+@query(with_("cands cells3 rasters pix3", CHOSEN).replace(") , best AS", "), best AS"))
+def run_strip(s, sf):
+    """A strip of the nearest raster's pixels of each feature, those outside the features empty."""
+    r = x.Rasters(tables.raster_list(s, GRIDS, 1), fx.flag_pixels(s, sf).select("rid", "col", "row", "band1"))
+    return x.strip(fx.box_layer(s, sf), r, x.Options(duplicate=[("distance",)], separation=1, only_inside=True))[1]
+
+
+@query(with_("linecells", 'SELECT c AS col, r AS "row", CAST(CASE WHEN k.col IS NULL THEN 0 ELSE 300 END AS SMALLINT) AS value FROM (SELECT CAST(range AS INTEGER) AS c FROM range(64)) a CROSS JOIN (SELECT CAST(range AS INTEGER) AS r FROM range(64)) b LEFT JOIN (SELECT DISTINCT col, "row" FROM linecells) k ON k.col = c AND k."row" = r'))
+def run_rasterized(s, sf):
+    at = lambda a, b: F.concat_ws(" ", a, b)
+    f = fx.segments(s, sf).withColumn("wkt", F.concat(F.lit("LINESTRING ("), at("x1", "y1"), F.lit(","), at("x2", "y2"), F.lit(")")))
+    f = f.withColumns({"minx": F.least("x1", "x2"), "maxx": F.greatest("x1", "x2"), "miny": F.least("y1", "y2"), "maxy": F.greatest("y1", "y2")})
+    return x.rasterized(f, MAIN, value=300)
+
+
+WIDE = """WITH size AS (SELECT 64 * greatest(1, CAST(floor(sqrt(count(*) / 1500)) AS BIGINT)) AS n FROM lineitem),
+  pix AS (SELECT CAST((l_orderkey * 7 + l_linenumber * 13) % n AS INTEGER) AS col, CAST((l_partkey * 11 + l_suppkey * 3 + l_orderkey) % n AS INTEGER) AS "row", max(CAST(floor(l_quantity) AS INTEGER)) AS band1 FROM lineitem CROSS JOIN size GROUP BY ALL),
+  b AS (SELECT c_custkey AS fid, n, CAST((c_custkey * 37) % 7000 AS DOUBLE) / CAST(7000 AS DOUBLE) * n AS x, CAST((c_custkey * 53) % 7000 AS DOUBLE) / CAST(7000 AS DOUBLE) * n AS y FROM customer CROSS JOIN size),
+  e AS (SELECT fid, n, greatest(x - 6.5::DOUBLE, 0) AS u0, least(x + 6.5::DOUBLE, n - 1) AS u1, n - least(y + 4.5::DOUBLE, n) AS v0, n - greatest(y - 4.5::DOUBLE, 1) AS v1 FROM b),
+  k AS (SELECT *, CAST(unnest(range(CAST(floor(v0) AS BIGINT), CAST(ceil(v1) AS BIGINT))) AS INTEGER) AS "row" FROM (SELECT *, CAST(unnest(range(CAST(floor(u0) AS BIGINT), CAST(ceil(u1) AS BIGINT))) AS INTEGER) AS col FROM e WHERE u0 < u1 AND v0 < v1))
+  SELECT fid, count(*) AS "numPixels", CAST(sum(band1) AS DOUBLE) AS sum_band1, CAST(max(band1) AS DOUBLE) AS max_band1 FROM k JOIN pix USING (col, "row")
+  WHERE (least(u1, col + 1) - greatest(u0, col)) * (least(v1, "row" + 1) - greatest(v0, "row")) >= """ + repr(0.5 - EPS) + " GROUP BY fid"
+
+
+@query(WIDE)
+def wide_zonal_stats(s, sf):
+    """A raster whose size follows the tables."""
+    n = fx.wide_size(s, sf)
+    g = Grid(n, n, 0.0, float(n), rid="dir/wide.img")
+    px = extract.join_pixels(rasterize.boxes_to_cells(fx.wide_boxes(s, sf, n), g), fx.wide_pixels(s, sf, n))
+    return stats.zonal_stats(px, ["band1"], ["sum", "max"])
 
 
 # lookups over several rasters

@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions.geom import EPS
 from quern.functions.grid import Grid, dbl
-from quern.operators.rasterize import box_columns, boxes_to_cells, points_to_cells
+from quern.operators.rasterize import box_columns, box_wkt, boxes_to_cells, points_to_cells
 
 SIZE = 64
 MAIN = Grid(SIZE, SIZE, 0.0, 64.0, 1.0, -1.0, "dir/main.img", "local")
@@ -53,7 +54,7 @@ def boxes(spark: SparkSession, sf: str) -> DataFrame:
 def segments(spark: SparkSession, sf: str) -> DataFrame:
     """Line features inside the raster, one segment each."""
     at = lambda a, b: ((F.col("o_orderkey") * a + F.col("o_custkey") * b) % 6200).cast("double") / dbl(100)
-    o = table(spark, sf, "orders").where("o_orderkey % 5 = 0")
+    o = table(spark, sf, "orders")
     return o.select(F.col("o_orderkey").alias("fid"), (at(3, 17) + dbl(0.5)).alias("x1"), (at(11, 5) + dbl(1.5)).alias("y1"), (at(29, 7) + dbl(0.5)).alias("x2"), (at(13, 23) + dbl(1.5)).alias("y2"))
 
 
@@ -70,6 +71,29 @@ def flag_box_cells(spark: SparkSession, sf: str, pixprop: float = 0.5) -> DataFr
     return reduce(DataFrame.unionByName, [boxes_to_cells(b, g, pixprop).withColumns({"rid": F.lit(g.rid), "idx": F.lit(k)}) for k, g in enumerate(GRIDS)])
 
 
+def box_layer(spark: SparkSession, sf: str) -> DataFrame:
+    """Boxes as a layer of polygons in WKT."""
+    return boxes(spark, sf).drop("x", "y").withColumn("wkt", box_wkt())
+
+
+def wide_size(spark: SparkSession, sf: str) -> int:
+    """Columns and rows of the wide raster: they grow with the tables, as its pixels do."""
+    return 64 * max(1, int((table(spark, sf, "lineitem").count() / 1500) ** 0.5))
+
+
+def wide_pixels(spark: SparkSession, sf: str, size: int) -> DataFrame:
+    lines = table(spark, sf, "lineitem")
+    col, row = (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 13) % size, (F.col("l_partkey") * 11 + F.col("l_suppkey") * 3 + F.col("l_orderkey")) % size
+    return lines.groupBy(col.cast("int").alias("col"), row.cast("int").alias("row")).agg(F.max(F.floor("l_quantity").cast("int")).alias("band1"))
+
+
+def wide_boxes(spark: SparkSession, sf: str, size: int) -> DataFrame:
+    """Boxes of 13 by 9 cells all over the wide raster."""
+    at = lambda k: ((F.col("c_custkey") * k) % 7000).cast("double") / dbl(7000) * dbl(size)
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("fid"), at(37).alias("x"), at(53).alias("y"))
+    return box_columns(c.withColumns({"minx": F.col("x"), "maxx": F.col("x"), "miny": F.col("y"), "maxy": F.col("y")}), 13.0, 9.0)
+
+
 # The same relations for the oracle.
 
 PIX = """SELECT {k} CAST((l_orderkey * 7 + l_linenumber * 13) % 64 AS INTEGER) AS col, CAST((l_partkey * 11 + l_suppkey) % 64 AS INTEGER) AS "row",
@@ -82,7 +106,7 @@ def box_cells_sql(g: Grid, p: float = 0.5) -> str:
   FROM (SELECT *, CAST(unnest(range(CAST(floor(u0) AS BIGINT), CAST(ceil(u1) AS BIGINT))) AS INTEGER) AS col FROM (SELECT *, CAST(unnest(range(CAST(floor(v0) AS BIGINT), CAST(ceil(v1) AS BIGINT))) AS INTEGER) AS "row" FROM (
   SELECT *, (bx0 - CAST({g.x0} AS DOUBLE)) / CAST({g.px} AS DOUBLE) AS u0, (bx1 - CAST({g.x0} AS DOUBLE)) / CAST({g.px} AS DOUBLE) AS u1, (by1 - CAST({g.y0} AS DOUBLE)) / CAST({g.py} AS DOUBLE) AS v0, (by0 - CAST({g.y0} AS DOUBLE)) / CAST({g.py} AS DOUBLE) AS v1
   FROM (SELECT *, greatest(minx, CAST({a} AS DOUBLE)) AS bx0, least(maxx, CAST({c} AS DOUBLE)) AS bx1, greatest(miny, CAST({b} AS DOUBLE)) AS by0, least(maxy, CAST({d} AS DOUBLE)) AS by1 FROM boxes) WHERE bx0 < bx1 AND by0 < by1)))) k
-  WHERE coverage >= CAST({p} AS DOUBLE) AND col BETWEEN 0 AND {g.width - 1} AND "row" BETWEEN 0 AND {g.height - 1}"""
+  WHERE coverage >= CAST({p - EPS!r} AS DOUBLE) AND col BETWEEN 0 AND {g.width - 1} AND "row" BETWEEN 0 AND {g.height - 1}"""
 
 
 CTES = {
@@ -104,7 +128,7 @@ CTES = {
     "cands": """SELECT fid, idx, rid, (minx + maxx) / CAST(2 AS DOUBLE) - (rminx + rmaxx) / CAST(2 AS DOUBLE) AS dx, (miny + maxy) / CAST(2 AS DOUBLE) - (rminy + rmaxy) / CAST(2 AS DOUBLE) AS dy
   FROM boxes JOIN rasters ON rminx <= minx AND maxx <= rmaxx AND rminy <= miny AND maxy <= rmaxy""",
     "segs": """SELECT o_orderkey AS fid, CAST((o_orderkey * 3 + o_custkey * 17) % 6200 AS DOUBLE) / CAST(100 AS DOUBLE) + CAST(0.5 AS DOUBLE) AS x1, CAST((o_orderkey * 11 + o_custkey * 5) % 6200 AS DOUBLE) / CAST(100 AS DOUBLE) + CAST(1.5 AS DOUBLE) AS y1,
-  CAST((o_orderkey * 29 + o_custkey * 7) % 6200 AS DOUBLE) / CAST(100 AS DOUBLE) + CAST(0.5 AS DOUBLE) AS x2, CAST((o_orderkey * 13 + o_custkey * 23) % 6200 AS DOUBLE) / CAST(100 AS DOUBLE) + CAST(1.5 AS DOUBLE) AS y2 FROM orders WHERE o_orderkey % 5 = 0""",
+  CAST((o_orderkey * 29 + o_custkey * 7) % 6200 AS DOUBLE) / CAST(100 AS DOUBLE) + CAST(0.5 AS DOUBLE) AS x2, CAST((o_orderkey * 13 + o_custkey * 23) % 6200 AS DOUBLE) / CAST(100 AS DOUBLE) + CAST(1.5 AS DOUBLE) AS y2 FROM orders""",
     "fixed": """SELECT fid, CAST(round_even(256 * (x1 / CAST(1 AS DOUBLE)), 0) AS BIGINT) AS ax, CAST(round_even(256 * ((y1 - 64) / CAST(-1 AS DOUBLE)), 0) AS BIGINT) AS ay,
   CAST(round_even(256 * (x2 / CAST(1 AS DOUBLE)), 0) AS BIGINT) AS bx, CAST(round_even(256 * ((y2 - 64) / CAST(-1 AS DOUBLE)), 0) AS BIGINT) AS by_ FROM segs""",
     "dda": """SELECT *, greatest(abs((bx >> 8) - (ax >> 8)), abs((by_ >> 8) - (ay >> 8))) AS n, abs((bx >> 8) - (ax >> 8)) < abs((by_ >> 8) - (ay >> 8)) AS steep FROM fixed""",

@@ -1,5 +1,6 @@
 """Sources, sinks, options, plans and streaming."""
 
+import math
 import os
 import subprocess
 import sys
@@ -72,13 +73,67 @@ def test_statistics_of_ties_and_nodata(spark):
     assert c[2].avg_a == 0 and c[2].nulls_a == 0
     f = {r.fid: r for r in stats.zonal_stats(px, ["b"], ["mode", "nulls"], nodata=float("nan")).collect()}
     assert f[3].mode_b == 10.0 and f[2].nulls_b == 1  # "10.000" comes before "9.000"
-    assert spark.range(1).select(stats.three_decimals(F.lit(1.0005))).first()[0] == "1.000"
     with pytest.raises(ValueError):
         stats.zonal_stats(px, ["a"], ["nope"])
     with pytest.raises(ValueError):
         stats.count_by_class(px, "b")
 
 
+def test_three_decimals_round_as_c_does(spark):
+    import random
+
+    r = random.Random(4)
+    values = [1.0005, 1.0015, 2.0005, 0.0625, 0.1875, -0.0625, -1.0005, 0.0005, -0.0005, 0.0004999, 1e-9, -1e-9, 123456.7895, 987654321.0625, 0.0, -0.0, 5e-324, 3.0, 1e10 + 0.0005, 8.5]
+    values += [round(r.uniform(-1000, 1000), 4) for _ in range(3000)] + [r.uniform(-1e6, 1e6) for _ in range(500)] + [k / 16 for k in range(-200, 200)] + [math.nextafter(k / 2000, 9) for k in range(1, 400, 2)]
+    got = [x.s for x in spark.createDataFrame([(v,) for v in values], "v double").select(stats.three_decimals(F.col("v")).alias("s")).collect()]
+    assert [(v, g) for v, g in zip(values, got) if g != "%.3f" % v] == []
+
+
+def test_statistics_from_counts(spark):
+    import random
+
+    r = random.Random(6)
+    rows = [(f, k, r.randint(0, 6), r.choice([1.0005, 1.0006, 2.5, -3.25, float("nan"), None])) for f in range(12) for k in range(f)]
+    px = spark.createDataFrame(rows, "fid long, col int, a int, b double").withColumn("row", F.lit(0))
+    names = list(stats.STATS)
+    for bands, nodata in ((["a"], 3), (["b"], float("nan")), (["a", "b"], 1)):
+        for compat in (False, True):
+            one, two = (f(px, bands, names, ["fid"], nodata=nodata, compat=compat) for f in (stats.zonal_stats, stats.two_step_stats))
+            assert sorted(map(str, one.select(two.columns).collect())) == sorted(map(str, two.collect()))
+
+
+def test_nodata_of_rasters(spark, layer):
+    """Each raster's own nodata, unless a value is given, which may be 0; class counts are a raster's own."""
+    def grid(name, nodata):
+        return Grid(12, 8, 0.0, 8.0, 1.0, -1.0, name, "s", nodata)
+
+    flat = lambda v: spark.createDataFrame([(c, r, v) for c in range(12) for r in range(8)], "col int, row int, band1 int")
+    rasters = [(grid("a", -9.0), flat(-9)), (grid("b", None), flat(0)), (grid("c", -9.0), flat(5))]
+    got = {(r.fid, r.rid): (r.avg_band1, r.nulls_band1, r.numPixels) for r in x.statistics(layer, rasters, x.Options(stats=["avg", "nulls"])).collect()}
+    assert got[1, "a"] == (None, 9, 9) and got[1, "b"] == (0, 0, 9) and got[1, "c"] == (5, 0, 9) and len(got) == 9
+    got = {(r.fid, r.rid): r.avg_band1 for r in x.statistics(layer, rasters, x.Options(nodata=0.0)).collect()}
+    assert got[1, "a"] == -9 and got[1, "b"] is None
+    counts = {(r.fid, r.rid, r["class"]): r["count"] for r in x.classes(layer, rasters).collect()}
+    assert counts[1, "a", -9] == counts[1, "b", 0] == counts[1, "c", 5] == 9
+    with pytest.raises(ValueError):
+        x.statistics(layer, [rasters[0], rasters[0]])
+
+
+def test_pairs_of_tiles(spark):
+    """Features and rasters by tiles are those of plain comparison, each pair once."""
+    import random
+
+    r = random.Random(8)
+    grids = [Grid(r.randint(3, 40), r.randint(3, 40), r.uniform(-50, 50), r.uniform(-50, 50), 1.0, -1.0, f"r{k}") for k in range(15)]
+    boxes = [(k, a, b, a + r.uniform(0, 60), b + r.uniform(0, 60)) for k in range(80) for a, b in [(r.uniform(-90, 90), r.uniform(-90, 90))]] + [(100, None, None, None, None), (101, 0.0, 0.0, 0.0, 0.0)]
+    f = spark.createDataFrame(boxes, "fid long, minx double, miny double, maxx double, maxy double")
+    table = tables.raster_list(spark, grids)
+    for holds in (False, True):
+        got = sorted((p.fid, p.rid) for p in extract.paired(f, table, holds=holds).select("fid", "rid").collect())
+        meets = lambda b, e: e[0] <= b[1] and b[3] <= e[2] and e[1] <= b[2] and b[4] <= e[3] if holds else b[3] >= e[0] and b[1] <= e[2] and b[4] >= e[1] and b[2] <= e[3]  # noqa: B023, E731
+        assert got == sorted((b[0], g.rid) for b in boxes if b[1] is not None for g in grids if meets(b, g.envelope()))
+
+
 def test_choice(spark):
     c = spark.createDataFrame([(1, 0, "a", 3.0, 4.0), (1, 1, "b", 3.0, 4.0), (1, 2, "c", 60.0, 0.0), (2, 1, "b", 9.0, 9.0)], "fid long, idx int, rid string, dx double, dy double")
     got = lambda m, **k: {r.fid: r.rid for r in select.choose(c, m, **k).collect()}
@@ -91,13 +146,42 @@ def test_envi_round_trip(spark, raster, tmp_path):
     sinks.write_envi(px, g, ["band1", "band2"], str(tmp_path / "one.img"), 4)
     back, g2 = tables.read_envi(spark, str(tmp_path / "one.img"), str(tmp_path / "one.hdr"))
     assert (g2.width, g2.height, g2.x0, g2.y0, g2.px, g2.py) == (12, 8, 0, 8, 1, -1)
-    assert sorted((r.col, r.row, r.band1, r.band2) for r in back.collect()) == sorted((r.col, r.row, r.band1, r.band2) for r in px.collect())
+    pixels = lambda df: sorted((r.col, r.row, float(r.band1), r.band2) for r in df.collect())
+    assert pixels(back) == pixels(px)
     data = np.fromfile(tmp_path / "one.img", "<f4").reshape(2, 8, 12)
-    for name, order in (("bil", (1, 0, 2)), ("bip", (1, 2, 0))):
-        data.transpose(order).tofile(tmp_path / f"{name}.img")
-        (tmp_path / f"{name}.hdr").write_text((tmp_path / "one.hdr").read_text().replace("bsq", name))
-        again, _ = tables.read_envi(spark, str(tmp_path / f"{name}.img"), str(tmp_path / f"{name}.hdr"))
-        assert sorted((r.col, r.row, r.band1, r.band2) for r in again.collect()) == sorted((r.col, r.row, float(r.band1), r.band2) for r in px.collect())
+    for name, order in (("bil", (1, 0, 2)), ("bip", (1, 2, 0)), ("bsq", (0, 1, 2))):
+        own = np.ascontiguousarray(data.transpose(order))
+        line = own[0].nbytes if name != "bsq" else 12 * 4
+        for skip in (0, 2 * line):
+            (tmp_path / f"{name}.img").write_bytes(b"h" * skip + own.tobytes())
+            (tmp_path / f"{name}.hdr").write_text((tmp_path / "one.hdr").read_text().replace("bsq", name).replace("offset = 0", f"offset = {skip}"))
+            again, _ = tables.read_envi(spark, str(tmp_path / f"{name}.img"), str(tmp_path / f"{name}.hdr"))
+            assert pixels(again) == pixels(px)
+    (tmp_path / "big.img").write_bytes(data.astype(">f4").tobytes())
+    (tmp_path / "big.hdr").write_text((tmp_path / "one.hdr").read_text().replace("byte order = 0", "byte order = 1"))
+    assert pixels(tables.read_envi(spark, str(tmp_path / "big.img"), str(tmp_path / "big.hdr"))[0]) == pixels(px)
+    turned = tables.envi_grid({"samples": "4", "lines": "4", "map info": "{UTM, 1, 1, 10, 20, 2, 2, 10, North, rotation=90}"})
+    assert np.allclose(turned.corner(1, 0), (10, 22)) and np.allclose(turned.corner(0, 1), (12, 20))
+    with pytest.raises(ValueError):
+        x.Rasters.of([(turned, px)])
+
+
+def test_headers_of_the_survey(spark, tmp_path):
+    """Sizes and corners that the survey's cut-outs and strip have, as this writes them."""
+    g = Grid(157, 131, 743009.826, 4334940.54, 1.0, -1.0, srs="UTM,10,North")
+    text = sinks.envi_header(g, 4, 2)
+    for line in ("samples = 157", "lines   = 131", "bands   = 4", "data type = 2", "interleave = bsq", "map info = {UTM, 1, 1, 743009.826000, 4334940.540000, 1.000000, 1.000000, 10, North}"):
+        assert line in text.splitlines()
+    assert tables.envi_grid(tables.parse_envi_header(text)).x0 == 743009.826
+    big = Grid(400, 400, 742901.826, 4335165.54, 1.0, -1.0, "one", "UTM,10,North")
+    table = tables.raster_list(spark, [big])
+    corners = {0: (108, 225, 157, 131), 3: (0, 92, 31, 101), 4: (260, 74, 48, 26), 5: (356, 134, 43, 81)}
+    cells = spark.createDataFrame([(f, "one", c, r) for f, (c, r, w, h) in corners.items() for c, r in ((c, r), (c + w - 1, r + h - 1))], "fid long, rid string, col int, row int")
+    from quern.operators import cutout
+
+    windows = cutout.cutout_windows(cells, table, "p_", keys=["fid", "rid"])
+    assert {(r.fid, r["name"], r.col0, r.row0, r.width, r.height) for r in windows.collect()} == {(f, f"p_{f:04d}.img", *v) for f, v in corners.items()}
+    assert tuple(cutout.strip_size(cutout.strip_layout(windows)).first()) == (157, 339)
 
 
 def test_delimited_files(spark, tmp_path):
@@ -110,6 +194,8 @@ def test_delimited_files(spark, tmp_path):
     assert open(path).read() == 'i,s\n1,"a,b"\n2,q"q\n1,"a,b"\n'
     (tmp_path / "m.txt").write_text("a b;c\n1;2 3\n")
     assert [tuple(r) for r in tables.read_delimited(spark, str(tmp_path / "m.txt"), " ;").collect()] == [("1", "2", "3")]
+    (tmp_path / "q.txt").write_text('a;b\n"x;y";2\na;b\n3\n4 "5 ""6""";7\n')
+    assert sorted((tuple(r) for r in tables.read_delimited(spark, str(tmp_path / "q.txt"), "; ").collect()), key=str) == [("3", None), ("4", '5 "6"'), ("a", "b"), ("x;y", "2")]
     sinks.write_table(df, str(tmp_path / "d"))
     sinks.write_table(df, str(tmp_path / "d"))
     assert spark.read.csv(str(tmp_path / "d"), header=True).count() == 4
@@ -151,6 +237,14 @@ def test_layers(spark, tmp_path, layer):
 def test_plans_have_no_nested_loops(spark, sf):
     plan = extract.join_pixels(fx.box_cells(spark, sf), fx.main_pixels(spark, sf))._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan
+    rasters = x.Rasters(tables.raster_list(spark, fx.GRIDS, 3), fx.flag_pixels(spark, sf))
+    for out in (x.table(fx.box_layer(spark, sf), rasters), x.statistics(fx.box_layer(spark, sf), rasters, x.Options(stats=["mode", "avg"]))):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+    cells = x.cells_of(fx.box_layer(spark, sf), rasters, x.Options())._jdf.queryExecution().executedPlan().toString()
+    assert cells.count("MapInArrow") == 1 and cells.count("FileScan") == 1
+    narrow = x.statistics(fx.box_layer(spark, sf), rasters.of_bands("band1"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "band3" not in narrow.split("Relation")[0]
     read = fx.main_pixels(spark, sf).select("col", "row", "band1")._jdf.queryExecution().executedPlan().toString()
     assert "l_extendedprice" not in read.split("ReadSchema")[-1]
 
@@ -171,18 +265,113 @@ def test_streamed_points(spark, sf, tmp_path):
     assert 0 < spark.table("windows").agg(F.sum("pixels")).first()[0] <= want.count()
 
 
-def test_command_line(raster, layer, tmp_path, spark):
-    from quern.__main__ import duplicate_modes, parser, run
+@pytest.fixture(scope="module")
+def files(raster, layer, tmp_path_factory):
+    """A layer as Parquet and shapefile, and two rasters as ENVI files."""
+    d = tmp_path_factory.mktemp("files")
+    g, px = raster
+    sinks.write_envi(px, g, ["band1"], str(d / "one.img"), 2)
+    sinks.write_envi(px.withColumn("band1", -F.col("band1")), g, ["band1"], str(d / "two.img"), 2)
+    layer.drop("minx", "miny", "maxx", "maxy").write.parquet(str(d / "l.parquet"))
+    os.makedirs(d / "layers")
+    sinks.write_shapefile(layer.where("fid = 1"), str(d / "layers" / "ply.shp"))
+    sinks.write_shapefile(layer.where("fid in (2, 4)"), str(d / "layers" / "pt.shp"))
+    return d
+
+
+def cli(spark, *words):
+    from quern.__main__ import arguments, run
+
+    run(arguments([str(w) for w in words]), spark)
+
+
+def test_command_line(files, tmp_path, spark):
+    from quern.__main__ import command, duplicate_modes
 
     assert duplicate_modes("ignore_nodata band 2 direction 45 distance".split()) == ([("direction", 45.0), ("distance",)], "band 2")
-    g, px = raster
-    sinks.write_envi(px, g, ["band1"], str(tmp_path / "one.img"), 2)
-    layer.drop("minx", "miny", "maxx", "maxy").write.parquet(str(tmp_path / "l.parquet"))
-    base = ["--vector", str(tmp_path / "l.parquet"), "--raster", str(tmp_path / "one.img")]
+    base = ["--vector", files / "l.parquet", "--raster", files / "one.img"]
     for kind in ("table", "stats", "classes", "mini_rasters", "mini_raster_strip", "rasterize", "report"):
-        run(parser().parse_args([*base, "--out-type", kind, "--out", str(tmp_path / kind)]), spark)
+        cli(spark, *base, "--out-type", kind, "--out", tmp_path / kind)
         assert os.listdir(tmp_path / kind)
     assert spark.read.csv(str(tmp_path / "table"), header=True).count() == 17
+    assert command(["csv", "vector=v", "rasters=a,b", "output=o.csv", "masks=c,d", "duplicate_pixel=distance,direction 45"])[2:] == ["--vector", "v", "--raster", "a", "b", "--table-suffix", "o.csv", "--mask", "c", "d", "--duplicate", "distance", "direction", "45"]
+    for bad in (["csv", "vector=v", "rasters=a"], ["report"], ["csv", "vector=v", "rasters=a", "output=o", "masks=c,d"], ["rasterize", "vector=v", "rasters=a", "output=o", "x=1"]):
+        with pytest.raises(ValueError):
+            command(bad)
+
+
+def test_outputs_of_one_run(files, tmp_path, spark):
+    """Table, summary and class counts by suffixes of one prefix, in order; both rasters are used."""
+    cli(spark, "--vector", files / "l.parquet", "--raster", files / "one.img", files / "two.img", "--validate_inputs", "--out-prefix", f"{tmp_path}/p", "--table-suffix", "_t.csv", "--summary-suffix", "_s.csv", "--class-summary-suffix", "_c.csv", "--stats", "avg", "min")
+    rows = [x.split(",") for x in open(tmp_path / "p_t.csv").read().splitlines()]
+    assert rows[0] == ["FID", "name", "RID", "col", "row", "x", "y", "band1"] and len(rows) == 1 + 34
+    assert [r[2] for r in rows[1:]] == ["one.img"] * 17 + ["two.img"] * 17 and [r[0] for r in rows[1:18]] == ["1"] * 9 + ["2"] + ["3"] * 7
+    assert [(r[3], r[4]) for r in rows[1:10]] == [(str(c), str(r)) for c in (2, 3, 4) for r in (5, 6, 7)]
+    summary = open(tmp_path / "p_s.csv").read().splitlines()
+    assert summary[0] == "fid,name,rid,numPixels,avg_band1,min_band1" and len(summary) == 7 and "52.000000" in summary[2]
+    assert open(tmp_path / "p_c.csv").readline() == "fid,rid,class,count\n"
+    before = len(open(tmp_path / "p_t.csv").read().splitlines())
+    cli(spark, "csv", f"vector={files}/l.parquet", f"rasters={files}/one.img", f"output={tmp_path}/p_t.csv", "fields=name")
+    assert len(open(tmp_path / "p_t.csv").read().splitlines()) == before + 17
+
+
+def test_image_outputs(files, tmp_path, spark):
+    """Cut-outs and strips as files: bands of both rasters, inside only, and the moved features."""
+    two = ["--vector", files / "l.parquet", "--raster", files / "one.img", files / "two.img", "--in", "--nodata", "-99"]
+    cli(spark, *two, "--out-type", "mini_rasters", "--out-prefix", f"{tmp_path}/m", "--srs", "here")
+    h = tables.parse_envi_header(open(tmp_path / "m0001.hdr").read())
+    assert (h["samples"], h["lines"], h["bands"], h["data type"]) == ("3", "3", "2", "2") and h["map info"].startswith("{here, 1, 1, 1.000000, 4.000000")
+    image = np.fromfile(tmp_path / "m0001.img", "<i2").reshape(2, 3, 3)
+    assert (image[0] == [[c * 10 + r for c in (1, 2, 3)] for r in (4, 5, 6)]).all() and (image[1] == -image[0]).all()
+    cli(spark, *two, "--out-type", "mini_raster_strip", "--out-prefix", f"{tmp_path}/s", "--mrst-img-suffix", "_mr.img", "--separation", "1")
+    h = tables.parse_envi_header(open(tmp_path / "s_mr.hdr").read())
+    assert (h["samples"], h["lines"], h["bands"]) == ("7", "7", "2")
+    fids = np.fromfile(tmp_path / "s_mrid.img", "<i4").reshape(7, 7)
+    assert fids[0, 0] == 1 and fids[0, 3] == -1 and fids[3, 0] == -1 and fids[4, 0] == 2 and (fids[6] == 3).all()
+    assert np.fromfile(tmp_path / "s_mrloc.glt", "<f4").reshape(2, 7, 7)[:, 0, 0].tolist() == [1, 4]
+    strip = np.fromfile(tmp_path / "s_mr.img", "<i2").reshape(2, 7, 7)
+    assert strip[0, 0, 0] == 14 and strip[0, 3, 0] == -99
+    cli(spark, "--vector", files / "layers", "--layer", "ply", "--raster", files / "one.img", "--out-type", "mini_raster_strip", "--out-prefix", f"{tmp_path}/v", "--mrst-shp-suffix", "_mv.shp")
+    assert tables.layer(spark, f"{tmp_path}/v_mv.shp").select("RID", "minx").first()[0] == "one.img"
+    cli(spark, "rasterize", f"vector={files}/layers", "layer=pt", f"rasters={files}/one.img", f"output={tmp_path}/burnt.img", "value=7")
+    assert np.fromfile(tmp_path / "burnt.img", "u1").reshape(8, 12)[2, 5] == 7 and np.fromfile(tmp_path / "burnt.img", "u1").sum() == 7
+
+
+def test_text_outputs(files, tmp_path, spark, capsys):
+    base = ["--vector", files / "l.parquet", "--raster", files / "one.img"]
+    cli(spark, *base, "--dump_geometries", tmp_path / "d.txt", "--jtstest", tmp_path / "j.txt", "--show-fields")
+    lines = open(tmp_path / "d.txt").read().splitlines()
+    assert len(lines) == 1 + 13 + 9 + 5 + 5 + 1 + 2 + 1 + 17 and "name" in capsys.readouterr().out
+    assert open(tmp_path / "j.txt").read().count("<case>") == 3
+    (tmp_path / "lib.csv").write_text("name,v1\na,3\nb,4\n")
+    cli(spark, *base, "--calibrate", tmp_path / "lib.csv", "name", "--out-prefix", f"{tmp_path}/k", "--stats", "avg")
+    rows = open(tmp_path / "k_calibration.csv").read().splitlines()
+    assert rows[0] == "FID,name,RID,BandNumber,FieldBandValue,avg_ImageBandValue" and len(rows) == 4
+
+
+def test_layers_of_shapefiles(files, spark):
+    one, first, unknown = (tables.layer(spark, str(files / "layers"), name=n) for n in ("pt", None, "zzz"))
+    assert [(r.fid, r.wkt, r.name) for r in one.orderBy("fid").collect()] == [(0, "POINT (5.5 5.5)", "b"), (1, "POINT (50 50)", "c")]
+    assert first.first().wkt.startswith("POLYGON") and unknown.count() == 1
+    as_wkb = spark.createDataFrame([(1, bytes.fromhex("0101000000000000000000f03f0000000000000040"))], "fid long, wkb binary")
+    assert tables.as_layer(as_wkb).select("wkt", "maxy").first() == ("POINT (1 2)", 2.0)
+
+
+def test_geometry_counters(spark):
+    from quern.operators import report
+
+    ring = "(0 0,10 10,10 0,0 10,0 0)"
+    f = spark.createDataFrame([(1, f"POLYGON ({ring})"), (2, f"POLYGON ({ring},(1 1,2 1,2 2,1 1))"), (3, "POINT (1 1)"), (4, "POLYGON ((0 0,1 0,1 1,0 0))"), (5, None)], "fid long, wkt string")
+    got = {r.counter: r.value for r in report.geometry_counters(f).collect()}
+    assert got == {"POLYGON": 3, "POINT": 1, "NONE": 1, "invalid": 2, "with interior ring": 1, "exploded": 1, "sub polygons": 2}
+
+
+def test_observers(spark):
+    px = spark.createDataFrame([(1, 0, 0, 5), (1, 1, 0, 7), (2, 0, 0, 1)], "fid long, col int, row int, band1 int")
+    import pandas as pd
+
+    out = sinks.each_group(px, ["fid"], lambda key, part: pd.DataFrame({"fid": [key[0]], "spread": [int(part.band1.max() - part.band1.min())]}), "fid long, spread long")
+    assert sorted(map(tuple, out.collect())) == [(1, 2), (2, 0)]
 
 
 def test_entry_without_the_subpackage(tmp_path):

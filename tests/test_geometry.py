@@ -2,16 +2,22 @@
 
 import math
 import random
+import struct
 
+import numpy as np
 import pytest
 
-from quern.functions import geom
+from quern.functions import geom, wkb
 from quern.functions.grid import Grid, parse_size
 from quern.operators import rasterize
 
 
+def spans(wkt, g, p=0.5, edge_mode="full", skip=False):
+    return rasterize._spans(g, p, edge_mode, skip)(rasterize.repairable(geom.parse_wkt(wkt), skip))
+
+
 def cells(wkt, g, p=0.5, **k):
-    return {(c, r) for _, _, row, a, b in rasterize._spans(g, p, k.get("edge_mode", "full"), k.get("skip", False))(wkt) for c in range(a, b + 1) for r in [row]}
+    return {(c, row) for _, _, row, a, b in spans(wkt, g, p, **k) for c in range(a, b + 1)}
 
 
 def test_line_example():
@@ -94,8 +100,10 @@ def test_hole_bow_tie_and_parts():
     assert cells("POLYGON ((0 0,10 10,10 0,0 10,0 0))", g, skip=True) == set()
     assert cells(f"POLYGON ((0 0,10 10,10 0,0 10,0 0),{ring(1, 2)})", g) == set()
     both = f"MULTIPOLYGON (({ring(1, 3)}),({ring(2, 5)}))"
-    spans = rasterize._spans(g, 0.5, "full", False)(both)
-    assert {s[0] for s in spans} == {0, 1} and sum(s[4] - s[3] + 1 for s in spans) == 4 + 9
+    found = spans(both, g)
+    assert {s[0] for s in found} == {0, 1} and sum(s[4] - s[3] + 1 for s in found) == 4 + 9
+    twice = spans("MULTIPOINT (0.5 0.5,0.6 0.6,3.5 0.5)", g) + spans("MULTILINESTRING ((0.5 0.5,4.5 0.5),(4.5 0.5,0.5 0.5))", g)
+    assert len(twice) == 2 + 5
     mixed = f"GEOMETRYCOLLECTION (POINT (0.5 0.5),LINESTRING (1.5 1.5,3.5 1.5),POLYGON ({ring(6, 8)}))"
     assert len(cells(mixed, g)) == 1 + 3 + 4
 
@@ -126,15 +134,78 @@ def test_wkt_round_trip_and_clip():
     assert geom.envelope(geom.translated(geom.parse_wkt("POLYGON ((0 0,4 0,4 4,0 0))"), 1, 2)) == (1, 2, 5, 6)
 
 
-def test_buffer():
-    disc = geom.buffered(("POINT", [(0.0, 0.0)]), 2, 8)
-    assert abs(geom.ring_area(disc[1][0][0][:-1]) - math.pi * 4) < 0.2
-    g = Grid(40, 40, 0, 40)
-    line = geom.to_wkt(geom.buffered(geom.parse_wkt("LINESTRING (10 20,30 20)"), 3, 8))
-    assert abs(len(cells(line, g)) - (20 * 6 + math.pi * 9)) < 12
+def near(px, py, segments):
+    out = np.full(px.shape, np.inf)
+    for (x1, y1), (x2, y2) in segments:
+        t = np.clip(((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / max((x2 - x1) ** 2 + (y2 - y1) ** 2, 1e-18), 0, 1)
+        out = np.minimum(out, np.hypot(px - x1 - t * (x2 - x1), py - y1 - t * (y2 - y1)))
+    return out
+
+
+SQUARE, HOLED = "POLYGON ((10 10,20 10,20 20,10 20,10 10))", "POLYGON ((5 5,30 5,30 30,5 30,5 5),(12 12,22 12,22 22,12 22,12 12))"
+BUFFERS = [
+    ("LINESTRING (10 20,30 20)", 3), ("LINESTRING (10 10,20 10,20 25)", 2), (SQUARE, 2), (SQUARE, -2), (SQUARE, -6), (HOLED, 2), (HOLED, -3), ("LINESTRING (5 5,15 5,25 5,25 15,5 15,5 5)", 2),
+    ("MULTIPOINT (10 10,12 10,30 30)", 3), ("POLYGON ((5 5,30 5,30 30,20 30,20 12,15 12,15 30,5 30,5 5))", 2), ("POLYGON ((5 5,30 5,30 30,20 30,20 12,15 12,15 30,5 30,5 5))", -2), ("MULTIPOLYGON (((5 5,10 5,10 10,5 10,5 5)),((12 5,17 5,17 10,12 10,12 5)))", 2),
+]
+
+
+@pytest.mark.parametrize(("wkt", "d"), BUFFERS + [("random", k) for k in range(8)])
+def test_buffers_are_unions(wkt, d):
+    """Cells of a buffer against a fine grid of distances, each once."""
+    if wkt == "random":
+        r = random.Random(d)
+        wkt, d = "LINESTRING (" + ",".join(f"{r.uniform(5, 35):.3f} {r.uniform(5, 35):.3f}" for _ in range(r.randint(2, 7))) + ")", r.randint(1, 4)
+    n, sub, g = 40, 12, Grid(40, 40, 0, 40)
+    shape = geom.parse_wkt(wkt)
+    found = [(c, row) for _, _, row, a, b in spans(geom.to_wkt(geom.buffered(shape, d, 16)), g) for c in range(a, b + 1)]
+    gx, gy = np.meshgrid((np.arange(n * sub) + 0.5) / sub, (np.arange(n * sub) + 0.5) / sub)
+    polygons, segments = [p for k, (p,) in geom.leaves(shape) if k == "POLYGON"], []
+    for kind, (part,) in geom.leaves(shape):
+        lines = [[part, part]] if kind == "POINT" else [part] if kind == "LINESTRING" else part
+        segments += [s for ln in lines for s in zip(ln, ln[1:])]
+    inside = geom.within(np.stack((gx.ravel(), gy.ravel()), 1), polygons).reshape(gx.shape)
+    away = near(gx, gy, segments)
+    share = ((inside | (away <= d)) if d > 0 else (inside & (away > -d))).reshape(n, sub, n, sub).mean((1, 3))
+    want, unsure = ({(x, n - 1 - y) for y in range(n) for x in range(n) if ok(share[y, x])} for ok in (lambda s: s >= 0.5, lambda s: abs(s - 0.5) < 0.06))
+    assert len(found) == len(set(found)) and not (set(found) ^ want) - unsure
+
+
+def test_buffers_of_one_step_and_nothing():
+    diamond = geom.buffered(("POINT", [(3.0, 4.0)]), 2)
+    assert abs(geom.ring_area(diamond[1][0][0][:-1]) - 8) < 1e-9
+    assert geom.buffered(("POINT", [(3.0, 4.0)]), -1) == ("MULTIPOLYGON", []) and geom.buffered(("LINESTRING", []), 2) == ("MULTIPOLYGON", [])
 
 
 def test_sizes():
     assert parse_size("3") == 3 and parse_size("2.5px", -2) == -5
     with pytest.raises(ValueError):
         parse_size("x")
+
+
+def test_well_known_binary():
+    pack = lambda kind, body, end="<": struct.pack(end + "bI", end == "<", kind) + body
+    point, line = struct.pack("<2d", 1, 2), struct.pack("<I4d", 2, 0, 0, 3, 4)
+    assert wkb.wkb_to_wkt(pack(1, point)) == "POINT (1 2)" and wkb.wkb_to_wkt(pack(1, struct.pack(">2d", 1, 2), ">")) == "POINT (1 2)"
+    assert wkb.wkb_to_wkt(pack(1001, struct.pack("<3d", 1, 2, 9))) == "POINT (1 2)" and wkb.wkb_to_wkt(pack(1 | 0xA0000000, struct.pack("<I3d", 4326, 1, 2, 9))) == "POINT (1 2)"
+    assert wkb.wkb_to_wkt(pack(2, line)) == "LINESTRING (0 0,3 4)" and wkb.wkb_to_wkt(None) is None
+    ring = struct.pack("<II8d", 1, 4, 0, 0, 4, 0, 4, 4, 0, 0)
+    assert wkb.wkb_to_wkt(pack(3, ring)) == "POLYGON ((0 0,4 0,4 4,0 0))"
+    assert wkb.wkb_to_wkt(pack(6, struct.pack("<I", 2) + pack(3, ring) * 2)) == "MULTIPOLYGON (((0 0,4 0,4 4,0 0)),((0 0,4 0,4 4,0 0)))"
+    assert wkb.wkb_to_wkt(pack(7, struct.pack("<I", 2) + pack(1, point) + pack(2, line))) == "GEOMETRYCOLLECTION (POINT (1 2),LINESTRING (0 0,3 4))"
+    assert wkb.wkb_to_wkt(pack(1, struct.pack("<2d", math.nan, math.nan))) == "POINT EMPTY"
+
+
+@pytest.mark.parametrize(("kind", "wkts"), [(1, ["POINT (1 2)", "POINT (-3.5 4)"]), (3, ["LINESTRING (0 0,1 1,2 0)", "MULTILINESTRING ((0 0,1 1),(5 5,6 6))"]), (5, ["POLYGON ((0 0,9 0,9 9,0 9,0 0),(2 2,2 4,4 4,4 2,2 2))", "MULTIPOLYGON (((0 0,1 0,1 1,0 0)),((5 5,7 5,7 8,5 5)))"])])
+def test_shapefile_records(kind, wkts):
+    shp, shx = wkb.shape_file([(k, geom.parse_wkt(w)) for k, w in enumerate(wkts)], kind)
+    back = list(wkb.shape_records(shp))
+    assert [k for k, _ in back] == [0, 1] and len(shx) == 100 + 8 * 2 and struct.unpack(">i", shp[24:28])[0] * 2 == len(shp)
+    area = lambda g: sorted(round(abs(geom.ring_area(geom.open_ring(r))), 9) for p in g[1] for r in p)
+    for (_, g), w in zip(back, wkts):
+        want = geom.parse_wkt(w)
+        assert sorted(geom.leaves(g)) == sorted(geom.leaves(want)) if kind != 5 else (g[0], area(g), sorted(map(len, g[1]))) == (want[0], area(want), sorted(map(len, want[1])))
+
+
+def test_table_file_round_trip():
+    data = wkb.table_file([("n", "bigint"), ("x", "double"), ("s", "string")], [(1, 2.5, "a b"), (None, None, "é")])
+    assert wkb.table_records(data) == ([("n", "bigint"), ("x", "double"), ("s", "string")], [(1, 2.5, "a b"), (None, None, "é")])
