@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.grid import Grid, closest_col, closest_row, col_of, row_of
+from quern.functions.grid import Grid, col_of, row_of
+from quern.operators.extract import paired
 from quern.operators.select import first_nonzero
 
 
@@ -31,14 +30,20 @@ def per_feature_raster(features: DataFrame, field: str, rasters: DataFrame, pixe
     return f.join(pixels, ["rid", "col", "row"]).select("fid", "path", "col", "row", *bands)
 
 
-def extract_points(features: DataFrame, rasters: list[tuple[int, Grid, DataFrame]], bands: list[str], skip=()) -> DataFrame:
-    """(fid, idx, col, row, bands): nearest cell in the first raster whose pixel is not zero there."""
+def extract_points(features: DataFrame, rasters: DataFrame, pixels: DataFrame, bands: list[str], skip=()) -> DataFrame:
+    """(fid, idx, col, row, bands): nearest cell in the first raster (by ``idx``) whose pixel is not zero there.
+
+    ``rasters``: the list of rasters, ``pixels`` (rid, col, row, bands) of all. Points meet rasters by tiles, half a
+    pixel beyond their edges, where the nearest cell may still be one of theirs.
+    """
     f = features if not skip else features.where(~F.col("fid").isin(list(skip)))
-    parts = [
-        f.select("fid", F.lit(idx).alias("idx"), closest_col("x", g).alias("col"), closest_row("y", g).alias("row")).join(px.select("col", "row", *bands), ["col", "row"])
-        for idx, g, px in rasters
-    ]
-    return first_nonzero(reduce(DataFrame.unionByName, parts), bands).select("fid", "idx", "col", "row", *bands)
+    half = rasters.agg(F.max(F.greatest(F.abs("px"), F.abs("py")))).first()[0] or 0.0
+    f = f.select("fid", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    f = f.withColumns({"minx": F.col("x") - half, "maxx": F.col("x") + half, "miny": F.col("y") - half, "maxy": F.col("y") + half})
+    near = paired(f, rasters.select("idx", "rid", "width", "height", "x0", "y0", "px", "py"), "full")
+    cell = lambda v, o, s: F.round((F.col(v) - F.col(o)) / F.col(s)).cast("int")  # noqa: E731  halves away from zero
+    near = near.select("fid", "idx", "rid", cell("x", "x0", "px").alias("col"), cell("y", "y0", "py").alias("row"))
+    return first_nonzero(near.join(pixels.select("rid", "col", "row", *bands), ["rid", "col", "row"]), bands).select("fid", "idx", "col", "row", *bands)
 
 
 def check_speclib(columns: list[str], link: str, n_bands: int) -> None:

@@ -628,8 +628,7 @@ def raster_named_by_field(s, sf):
   """ + " UNION ALL ".join(f"""SELECT fid, {k} AS idx, CAST(CASE WHEN x - {g.x0} < 0 THEN -floor({g.x0} - x + 0.5) ELSE floor(x - {g.x0} + 0.5) END AS INTEGER) AS col, CAST(CASE WHEN {g.y0} - y < 0 THEN -floor(y - {g.y0} + 0.5) ELSE floor({g.y0} - y + 0.5) END AS INTEGER) AS "row", '{g.rid}' AS rid FROM pts""" for k, g in enumerate(GRIDS)) + """)
   SELECT fid, idx, col, "row", band1, band2 FROM (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY idx) AS k FROM h JOIN pix3 USING (rid, col, "row") WHERE band1 <> 0 OR band2 <> 0) WHERE k = 1""").replace(") , n AS", "), n AS"))
 def extract_points(s, sf):
-    px = fx.flag_pixels(s, sf)
-    return legacy.extract_points(fx.points(s, sf), [(k, g, px.where(F.col("rid") == g.rid)) for k, g in enumerate(GRIDS)], ["band1", "band2"])
+    return legacy.extract_points(fx.points(s, sf), tables.raster_list(s, GRIDS, 3), fx.flag_pixels(s, sf), ["band1", "band2"])
 
 
 @query(with_("got3", """, st AS (SELECT fid, rid, c_nationkey, CAST(max(band1) AS DOUBLE) AS m1, CAST(max(band2) AS DOUBLE) AS m2 FROM got3 GROUP BY ALL)
@@ -647,5 +646,21 @@ def spectral_library(s, sf):
     return out.select("name", F.col("spectrum")[0].alias("v1"), F.col("spectrum")[1].alias("v2"), "c_mktsegment")
 
 
+MANY = """WITH pix AS (SELECT l_partkey % 64 AS k, CAST((l_orderkey * 7 + l_linenumber * 13) % 64 AS INTEGER) AS col, CAST((l_partkey * 11 + l_suppkey) % 64 AS INTEGER) AS "row", max(CAST(floor(l_quantity) AS INTEGER)) AS band1 FROM lineitem GROUP BY ALL),
+  g AS (SELECT range AS k, CAST(64 * (range % 8) AS DOUBLE) AS gx, CAST(64 * (range // 8) + 64 AS DOUBLE) AS gy FROM range(64)),
+  b AS (SELECT c_custkey AS fid, CAST((c_custkey * 37) % 7000 AS DOUBLE) / CAST(7000 AS DOUBLE) * 512::DOUBLE AS x, CAST((c_custkey * 53) % 7000 AS DOUBLE) / CAST(7000 AS DOUBLE) * 384::DOUBLE AS y FROM customer),
+  e AS (SELECT fid, k, greatest(x - 6.5::DOUBLE, gx) - gx AS u0, least(x + 6.5::DOUBLE, gx + 63) - gx AS u1, gy - least(y + 4.5::DOUBLE, gy) AS v0, gy - greatest(y - 4.5::DOUBLE, gy - 63) AS v1 FROM b JOIN g ON x + 6.5::DOUBLE >= gx AND x - 6.5::DOUBLE <= gx + 63 AND y + 4.5::DOUBLE >= gy - 63 AND y - 4.5::DOUBLE <= gy),
+  c AS (SELECT *, CAST(unnest(range(CAST(floor(v0) AS BIGINT), CAST(ceil(v1) AS BIGINT))) AS INTEGER) AS "row" FROM (SELECT *, CAST(unnest(range(CAST(floor(u0) AS BIGINT), CAST(ceil(u1) AS BIGINT))) AS INTEGER) AS col FROM e WHERE u0 < u1 AND v0 < v1))
+  SELECT fid, 'dir/t' || k || '.img' AS rid, count(*) AS "numPixels", CAST(sum(band1) FILTER (band1 <> 50) AS DOUBLE) AS sum_band1, median(CAST(CASE WHEN band1 <> 50 THEN band1 END AS DOUBLE)) AS median_band1, count(*) FILTER (band1 = 50) AS nulls_band1 FROM c JOIN pix USING (k, col, "row")
+  WHERE (least(u1, col + 1) - greatest(u0, col)) * (least(v1, "row" + 1) - greatest(v0, "row")) >= """ + repr(0.5 - EPS) + " GROUP BY fid, k"
+
+
+@query(MANY)
+def many_rasters_stats(s, sf):
+    """Statistics over 64 rasters, a part of which features meet: one branch of a plan."""
+    r = x.Rasters(tables.raster_list(s, fx.MANY, 1), fx.many_pixels(s, sf))
+    return x.statistics(fx.many_boxes(s, sf), r, x.Options(fields="none", stats=["sum", "median", "nulls"]))
+
+
 #: The flagship query.
 entry = zonal_avg_points

@@ -94,6 +94,23 @@ def wide_boxes(spark: SparkSession, sf: str, size: int) -> DataFrame:
     return box_columns(c.withColumns({"minx": F.col("x"), "maxx": F.col("x"), "miny": F.col("y"), "maxy": F.col("y")}), 13.0, 9.0)
 
 
+#: Rasters side by side, eight a row from below; features meet the lower six rows of them.
+MANY = [Grid(SIZE, SIZE, 64.0 * (k % 8), 64.0 * (k // 8) + 64.0, 1.0, -1.0, f"dir/t{k}.img", "local", 50.0) for k in range(64)]
+
+
+def many_pixels(spark: SparkSession, sf: str) -> DataFrame:
+    p = _pixels(table(spark, sf, "lineitem").withColumn("k", F.col("l_partkey") % 64), "k")
+    return p.select(F.concat(F.lit("dir/t"), F.col("k").cast("string"), F.lit(".img")).alias("rid"), "col", "row", "band1")
+
+
+def many_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """Boxes of 13 by 9 cells over the lower rows of those rasters, as WKT."""
+    at = lambda k, size: ((F.col("c_custkey") * k) % 7000).cast("double") / dbl(7000) * dbl(size)
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("fid"), at(37, 512).alias("x"), at(53, 384).alias("y"))
+    b = box_columns(c.withColumns({"minx": F.col("x"), "maxx": F.col("x"), "miny": F.col("y"), "maxy": F.col("y")}), 13.0, 9.0)
+    return b.drop("x", "y").withColumn("wkt", box_wkt())
+
+
 # The same relations for the oracle.
 
 PIX = """SELECT {k} CAST((l_orderkey * 7 + l_linenumber * 13) % 64 AS INTEGER) AS col, CAST((l_partkey * 11 + l_suppkey) % 64 AS INTEGER) AS "row",

@@ -178,6 +178,38 @@ def write_shapefile(features: DataFrame, path: str) -> int:
     return len(rows)
 
 
+def write_spectra(spectra: DataFrame, path: str, fields: list[str] = (), data_type: int = 5, library: bool = True) -> int:
+    """A local ENVI spectral library (or an image of one column) of ``spectra(name, spectrum, fields)`` in order of name, and a ``.ser`` file a field.
+
+    Spectra stream, so size is bounded by disk; names go to the header of a library, fields to files of a line a spectrum.
+    """
+    kind, stem = "<" + ENVI_TYPES[data_type][0], os.path.splitext(path)[0]
+    n, width, names = 0, 0, f"{stem}.names"
+    series = {f: open(f"{stem}_{f}.ser", "w", encoding="utf-8") for f in fields}
+    try:
+        with open(path, "wb") as out, open(names, "w", encoding="utf-8") as own:
+            for r in spectra.orderBy("name").toLocalIterator(prefetchPartitions=True):
+                out.write(np.asarray(r.spectrum, dtype=kind).tobytes())
+                own.write(r.name + "\n")
+                n, width = n + 1, len(r.spectrum)
+                for f, file in series.items():
+                    file.write(("" if r[f] is None else str(r[f])) + "\n")
+    finally:
+        for file in series.values():
+            file.close()
+    with open(f"{stem}.hdr", "w", encoding="utf-8") as head, open(names, encoding="utf-8") as own:
+        size = (width, n, 1) if library else (1, n, width)
+        head.write("ENVI\n" + "".join(f"{k} = {v}\n" for k, v in zip(("samples", "lines  ", "bands  "), size)))
+        head.write(f"header offset = 0\nfile type = ENVI {'Spectral Library' if library else 'Standard'}\ndata type = {data_type}\ninterleave = {'bsq' if library else 'bip'}\nbyte order = 0\n")
+        if library:
+            head.write("spectra names = {\n")
+            for k, line in enumerate(own):
+                head.write((",\n" if k else "") + line.rstrip("\n"))
+            head.write("}\n")
+    os.remove(names)
+    return n
+
+
 def write_pixels(pixels: DataFrame, path: str, tile: int | None = None) -> None:
     """The pixel table, by raster and, if ``tile`` is given, by square of that many cells: reads of some prune the rest."""
     keys = ["rid"] if tile is None else ["rid", "tile"]

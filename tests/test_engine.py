@@ -366,6 +366,16 @@ def test_geometry_counters(spark):
     assert got == {"POLYGON": 3, "POINT": 1, "NONE": 1, "invalid": 2, "with interior ring": 1, "exploded": 1, "sub polygons": 2}
 
 
+def test_spectra_files(spark, tmp_path):
+    sp = spark.createDataFrame([("2:1:1", [1.5, 2.5, 3.5], "b"), ("1:1:1", [4.0, 5.0, 6.0], None)], "name string, spectrum array<double>, kind string")
+    assert sinks.write_spectra(sp, str(tmp_path / "lib.sli"), ["kind"]) == 2
+    assert np.fromfile(tmp_path / "lib.sli", "<f8").tolist() == [4, 5, 6, 1.5, 2.5, 3.5] and open(tmp_path / "lib_kind.ser").read() == "\nb\n"
+    h = tables.parse_envi_header(open(tmp_path / "lib.hdr").read())
+    assert (h["samples"], h["lines"], h["spectra names"]) == ("3", "2", "{1:1:1, 2:1:1}")
+    sinks.write_spectra(sp, str(tmp_path / "im.img"), library=False)
+    assert tables.parse_envi_header(open(tmp_path / "im.hdr").read())["bands"] == "3"
+
+
 def test_observers(spark):
     px = spark.createDataFrame([(1, 0, 0, 5), (1, 1, 0, 7), (2, 0, 0, 1)], "fid long, col int, row int, band1 int")
     import pandas as pd
