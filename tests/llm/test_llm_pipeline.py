@@ -2,6 +2,8 @@
 
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as p
 from quern.llm import packing, quality_rules
 from tests.llm.test_llm_corpus import plain_targets
@@ -67,3 +69,18 @@ def test_stages(spark, sf):
     encode = packing.encoder()
     packed = p.packing(spark, spark.createDataFrame(p.mixing(spark, cur, sf).rdd, docs.schema), sf).collect()
     assert sum(r.length for r in packed) == sum(len(encode(r["text"] or "")) + 1 for r in mixed)
+
+
+def test_stages_of_nothing_and_of_rows_without_ids(spark, sf):
+    """An empty table goes through; rows without id are kept by every stage but where their text fails the rules."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    cur = docs.limit(0)
+    for _, stage in p.STAGES:
+        cur = stage(spark, cur, sf)
+    assert cur.count() == 0
+    nameless = docs.orderBy("doc_id").limit(30).withColumn("doc_id", F.lit(None).cast("long"))
+    cur, n = nameless, []
+    for _, stage in p.STAGES[:3]:
+        cur = stage(spark, cur, sf).cache()
+        n.append(cur.count())
+    assert n[0] == n[1] == n[2] > 20 and p.packing(spark, p.mixing(spark, cur, sf), sf).count() > 0
