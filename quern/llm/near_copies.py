@@ -1,11 +1,16 @@
 """Near copies at a stated similarity of word shingles: how the SimHash stage completes its links.
 
-Fingerprints of texts that share 0.8 of their five-word shingles differ in up to 18 of 64 bits; balls
-that wide cannot be enumerated, so candidates come from an index over shingles instead. In one order
-of all shingles (those frequent in a sample last, else by hash) two texts whose Jaccard similarity
+Each shingle set has a SimHash fingerprint of four words of 64 bits. Each word enters the segment tables
+of :mod:`quern.llm.multi_index`: the balls of its segments are enumerated, the tables' matches are
+fetched, and the distance of the complete fingerprints is verified. So the tables find sets that are
+within 11 of 256 bits, and others that are that close in one word only.
+
+Sets that share 0.8 of their shingles differ in 39 bits of 256 on average (up to 18 of 64); balls that wide
+cannot be enumerated. What the tables do not reach is found by an index over shingles. In one order of all
+shingles (those frequent in a sample last, else by hash) two texts whose Jaccard similarity
 reaches the threshold share one of the first ``n - ceil(threshold * n) + 1`` shingles of each, so the
-texts that hold a shingle among their first are the candidates, and none is missed. Wide SimHash
-fingerprints discard those candidates that are far apart, and complete shingle sets decide the rest.
+texts that hold a shingle among their first are candidates too, and none is missed. The fingerprints
+discard candidates that are far apart, and complete shingle sets decide the rest.
 Where many texts hold one shingle, they are first held against one of them, and of the rest only pairs
 that these links leave apart are looked at.
 
@@ -20,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import components, map_rows
+from quern.llm.multi_index import DISTANCE, SEGMENTS, close_pairs
 from quern.session import discard, stored
 
 WORDS = 5
@@ -127,6 +133,23 @@ def possible(n, m, a: str, b: str, percent: int):
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ~far
 
 
+def by_fingerprints(uniq: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
+    """(u, v): sets of ``uniq(d, *PRINTS)`` with a word of their fingerprints ``distance`` bits apart or fewer, from the words' segment tables.
+
+    Where several sets hold one value of a word, the least stands for them and is paired with each.
+    """
+    out = None
+    for f in PRINTS:
+        word = stored(uniq.groupBy(F.col(f).alias("fp")).agg(F.min("d").alias("first")), "word")
+        end = lambda fp, d: word.select(F.col("fp").alias(fp), F.col("first").alias(d))  # noqa: B023, E731
+        met = close_pairs(word.select("fp"), distance, segments).withColumnsRenamed({"u": "p", "v": "q"}).join(end("p", "u"), "p").join(end("q", "v"), "q")
+        same = uniq.select(F.col("d").alias("v"), F.col(f).alias("p")).join(end("p", "u"), "p").where("u <> v")
+        part = stored(met.select("u", "v").unionByName(same.select("u", "v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "met")
+        discard(word)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def similar(pairs: DataFrame, texts: DataFrame, uniq: DataFrame, words: int, percent: int) -> DataFrame:
     """Of ``pairs(u, v)`` of sets those as similar as asked, by their complete sets."""
     ends = pairs.select(F.col("u").alias("d")).unionByName(pairs.select(F.col("v").alias("d"))).distinct()
@@ -168,7 +191,7 @@ def near_copy_groups(texts: DataFrame, words: int = WORDS, percent: int = PERCEN
     few = held.where(F.col("size") <= chained).select("s", "d")
     pairs = few.select("s", F.col("d").alias("u")).join(few.select("s", F.col("d").alias("v")), "s").where("u < v").select("u", "v")
     stars = held.where((F.col("size") > chained) & (F.col("d") != F.col("hub"))).select(F.col("hub").alias("u"), F.col("d").alias("v"))
-    known = stored(checked(pairs.unionByName(stars)), "known")
+    known = stored(checked(by_fingerprints(uniq).unionByName(pairs).unionByName(stars)), "known")
     links = similar(known, texts, uniq, words, percent)
     groups = stored(components(links, "nearcc"), "groups")
     many = held.where(F.col("size") > chained).select("s", "d").join(groups, F.col("d") == F.col("node"), "left").select("s", "d", F.coalesce("component", "d").alias("g"))

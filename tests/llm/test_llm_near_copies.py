@@ -71,6 +71,32 @@ def jaccard(a, b):
     return len(a & b) / len(a | b)
 
 
+def test_segment_tables_find_close_fingerprints(spark):
+    r = random.Random(25)
+    prints = {}
+    for _ in range(6):
+        base = words(r, 900).split()
+        for n in range(12):
+            t = list(base)
+            for k in r.sample(range(len(t)), n):
+                t[k] = "edited"
+            sh = near_copies.shingles(" ".join(t))
+            prints[len(prints)] = near_copies.wide_print(sh).tolist()
+    uniq = spark.createDataFrame([(d, *f) for d, f in prints.items()], ", ".join(["d long", *(f"{f} long" for f in near_copies.PRINTS)]))
+    found = {(x.u, x.v) for x in near_copies.by_fingerprints(uniq).collect()}
+    bits = lambda x, y: int((x ^ y) & (1 << 64) - 1).bit_count()
+    want = set()
+    for k in range(near_copies.WIDE):
+        first = {}
+        for d in sorted(prints):
+            first.setdefault(prints[d][k], d)
+        want |= {(first[p], first[q]) for p in first for q in first if first[p] < first[q] and bits(p, q) <= 2}
+        want |= {(first[f[k]], d) for d, f in prints.items() if first[f[k]] != d}
+    near = {(a, b) for a in prints for b in prints if a < b and sum(map(bits, prints[a], prints[b])) <= 11}
+    assert found == want and len(near & want) > 10
+    assert near_copies.by_fingerprints(uniq.limit(0)).count() == 0
+
+
 def test_pipeline_leaves_no_near_copies(spark, sf):
     cur = spark.read.parquet(f"{sf}/documents.parquet")
     for _, stage in p.STAGES[:3]:
