@@ -11,8 +11,10 @@ shingles (those frequent in a sample last, else by hash) two texts whose Jaccard
 reaches the threshold share one of the first ``n - ceil(threshold * n) + 1`` shingles of each, so the
 texts that hold a shingle among their first are candidates too, and none is missed. The fingerprints
 discard candidates that are far apart, and complete shingle sets decide the rest.
-Where many texts hold one shingle, they are first held against one of them, and of the rest only pairs
-that these links leave apart are looked at.
+
+Where many texts hold one shingle, they are first held against one of them. What these links leave apart is
+compared in tiles: a task gets the complete sets of two tiles, looks at the pairs whose groups differ, skips
+those that a link found before has joined, and returns a spanning forest of its links, never pairs.
 
 Defined results: white space and letter case of ASCII do not count. A text of fewer words than a
 shingle is one shingle; texts without words equal each other. A group is what links reach. An empty
@@ -44,6 +46,10 @@ SURE = 64
 #: Wide fingerprints of sets at 0.8 differ in 39 bits of 256 on average, with a deviation of 6: more than this is six deviations off.
 FAR = 75
 PRINTS = [f"f{k}" for k in range(WIDE)]
+#: Shingles in a tile, about: sets are dealt by hash. A tile is sent once for each tile of its block.
+TILE = 1 << 19
+#: Shingles that a task gathers at once.
+STEP = 1 << 18
 
 
 def shingles(text: str | None, words: int = WORDS):
@@ -150,21 +156,103 @@ def by_fingerprints(uniq: DataFrame, distance: int = DISTANCE, segments: int = S
     return out
 
 
-def similar(pairs: DataFrame, texts: DataFrame, uniq: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of ``pairs(u, v)`` of sets those as similar as asked, by their complete sets."""
-    ends = pairs.select(F.col("u").alias("d")).unionByName(pairs.select(F.col("v").alias("d"))).distinct()
-    wanted = stored(uniq.join(ends, "d").select(F.col("least.key").alias("k"), F.col("least.t").alias("t2"), "d"), "ends")
+def sets_of(wanted: DataFrame, texts: DataFrame, uniq: DataFrame, words: int) -> DataFrame:
+    """(d, sh): the complete sets of ``wanted(d)``, made from one text each."""
+    wanted = stored(uniq.join(wanted.distinct(), "d").select(F.col("least.key").alias("k"), F.col("least.t").alias("t2"), "d"), "ends")
     held = texts.join(wanted.hint("merge"), (F.col("key") == F.col("k")) & (F.col("t") == F.col("t2"))).dropDuplicates(["d"]).select("d", "text")
     sets = stored(map_rows(held, "d long, sh array<long>", _sets(words)), "sets")
+    discard(wanted)
+    return sets
+
+
+def similar(pairs: DataFrame, texts: DataFrame, uniq: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of ``pairs(u, v)`` of sets those as similar as asked, by their complete sets."""
+    sets = sets_of(pairs.select(F.col("u").alias("d")).unionByName(pairs.select(F.col("v").alias("d"))), texts, uniq, words)
     both = pairs.join(sets.select(F.col("d").alias("u"), F.col("sh").alias("a")), "u").join(sets.select(F.col("d").alias("v"), F.col("sh").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
     links = stored(both.where(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select("u", "v"), "links")
     discard(sets)
-    discard(wanted)
     return links
 
 
-def near_copy_groups(texts: DataFrame, words: int = WORDS, percent: int = PERCENT, chained: int = CHAINED) -> tuple[DataFrame, DataFrame]:
+def forest(d, g, tile, prints, sets, percent: int, step: int = STEP) -> list[tuple[int, int]]:
+    """Links as similar as asked that join groups ``g`` of the sets ``d``: a spanning forest of them.
+
+    Of two tiles only pairs across are looked at, of one all. Sets are held against larger ones, so that
+    sizes bound the partners.
+    """
+    import numpy as np
+
+    n = np.array([len(x) for x in sets])
+    order = np.argsort(n, kind="stable")
+    n, d, tile, prints = n[order], d[order], tile[order], prints[order]
+    root = np.unique(g[order], return_inverse=True)[1]
+    flat = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)[1]
+    start = np.cumsum(n) - n
+    held = np.zeros(len(flat), bool)
+    across = (tile != tile[0]).any()
+    out = []
+    for u in range(len(d)):
+        v = np.arange(u + 1, np.searchsorted(n, 100 * n[u] // percent, side="right"))
+        v = v[(root[v] != root[u]) & ((tile[v] != tile[u]) | (not across))]
+        if percent >= PERCENT and n[u] >= SURE:
+            v = v[np.bitwise_count(prints[v] ^ prints[u]).sum(1) <= FAR]
+        own = flat[start[u] : start[u] + n[u]]
+        held[own] = True
+        while len(v):
+            most = max(1, step // int(n[v[-1]]))
+            now, v = v[:most], v[most:]
+            ends = np.cumsum(n[now])
+            at = np.arange(ends[-1]) + np.repeat(start[now] - ends + n[now], n[now])
+            shared = np.add.reduceat(held[flat[at]], ends - n[now], dtype=np.int64)
+            for w in now[100 * shared >= percent * (n[u] + n[now] - shared)]:
+                if root[w] != root[u]:
+                    out.append((int(d[u]), int(d[w])))
+                    root[root == root[w]] = root[u]
+            v = v[root[v] != root[u]]
+        held[own] = False
+    return out
+
+
+def _tile_pair(percent: int):
+    def run(part):
+        import numpy as np
+        import pandas as pd
+
+        prints = np.ascontiguousarray(part[PRINTS].to_numpy(np.int64)).view(np.uint64)
+        links = forest(*(part[c].to_numpy() for c in ("d", "g", "tile")), prints, list(part["sh"]), percent)
+        return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
+
+    return run
+
+
+def joined(many: DataFrame, texts: DataFrame, uniq: DataFrame, words: int, percent: int, tile: int = TILE) -> DataFrame:
+    """(u, v): links that join groups, of all sets in ``many(s, d, g)`` that share ``s`` and are of different groups ``g``.
+
+    A block is what buckets that share sets make up, or a single bucket where that is fewer pairs.
+    """
+    low = many.groupBy("s").agg(F.min("d").alias("u"))
+    chain = stored(components(many.join(low, "s").select("u", F.col("d").alias("v")), "chaincc"), "chain")
+    many = stored(many.join(chain, F.col("d") == F.col("node")).select("s", "d", "g", F.col("component").alias("c")), "chained")
+    buckets = many.groupBy("c", "s").agg(F.count(F.lit(1)).cast("double").alias("k")).groupBy("c").agg(F.sum(F.col("k") * F.col("k")).alias("apart"))
+    whole = many.select("c", "d").distinct().groupBy("c").agg(F.count(F.lit(1)).cast("double").alias("k")).join(buckets, "c")
+    whole = whole.select("c", (F.col("k") * F.col("k") <= F.col("apart")).alias("whole"))
+    block = F.when(F.col("whole"), F.lit(0).cast("long")).otherwise(F.col("s")).alias("b")
+    dealt = stored(many.join(whole, "c").select("c", block, "d", "g").distinct().join(uniq.select("d", "n", *PRINTS), "d"), "dealt")
+    tiles = dealt.groupBy("c", "b").agg(F.ceil(F.sum("n") / tile).alias("tiles"))
+    rows = dealt.join(tiles, ["c", "b"]).withColumn("tile", F.pmod(F.xxhash64("d"), F.col("tiles")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    rows = rows.withColumns({"lo": F.least("tile", "other"), "hi": F.greatest("tile", "other")}).drop("other", "tiles", "n")
+    sets = sets_of(dealt.select("d"), texts, uniq, words)
+    links = stored(rows.join(sets, "d").groupBy("c", "b", "lo", "hi").applyInPandas(_tile_pair(percent), "u long, v long"), "forest")
+    for old in (chain, many, dealt, sets):
+        discard(old)
+    return links
+
+
+def near_copy_groups(
+    texts: DataFrame, words: int = WORDS, percent: int = PERCENT, chained: int = CHAINED, tile: int = TILE,
+) -> tuple[DataFrame, DataFrame]:
     """Of ``texts(key, t, text)`` (t: digest of the text): (key, t, d) of each row, and (d, group, least) of each shingle set.
 
     ``group`` is the least set that links reach, ``least`` the least (key, t) that holds the set.
@@ -195,18 +283,14 @@ def near_copy_groups(texts: DataFrame, words: int = WORDS, percent: int = PERCEN
     links = similar(known, texts, uniq, words, percent)
     groups = stored(components(links, "nearcc"), "groups")
     many = held.where(F.col("size") > chained).select("s", "d").join(groups, F.col("d") == F.col("node"), "left").select("s", "d", F.coalesce("component", "d").alias("g"))
-    many = many.join(prints_of("a", "d2").withColumnRenamed("d2", "d"), "d")
     apart = many.groupBy("s").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("s")
     many = stored(many.join(apart, "s", "left_semi"), "many")
-    other = many.select("s", F.col("d").alias("v"), F.col("g").alias("h"), F.col("a").alias("b"))
-    rest = many.join(other, "s").where((F.col("d") < F.col("v")) & (F.col("g") != F.col("h")) & possible(F.col("a.n"), F.col("b.n"), "a", "b", percent))
-    rest = stored(rest.select(F.col("d").alias("u"), "v").distinct().join(known, ["u", "v"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        links = links.unionByName(similar(rest, texts, uniq, words, percent))
+    if not many.isEmpty():
+        links = links.unionByName(joined(many, texts, uniq, words, percent, tile))
         groups = stored(components(links, "nearcc"), "groups")
     out = uniq.join(groups, F.col("d") == F.col("node"), "left").select("d", F.coalesce("component", "d").alias("group"), "least")
     out = stored(out, "of")
-    for old in (uniq, held, known, many, rest):
+    for old in (uniq, held, known, many):
         discard(old)
     return rows, out
 

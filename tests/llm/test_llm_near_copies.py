@@ -52,6 +52,58 @@ def test_groups_are_those_of_brute_force(spark, chained):
     assert got == want and len(set(want.values())) < len(texts) - 60
 
 
+def family(n=160):
+    """Texts about 0.8 alike: copies of one with edits of their own, each a few words."""
+    r = random.Random(26)
+    base = words(r, 150).split()
+    out = []
+    for i in range(n):
+        t = list(base)
+        for k in r.sample(range(len(t)), r.randint(2, 5)):
+            t[k] = f"own{i}"
+        out.append(" ".join(t))
+    return out
+
+
+@pytest.mark.parametrize("tiles", [1, 3])
+def test_tiles_return_a_forest_of_the_links_of_brute_force(tiles):
+    import numpy as np
+
+    texts = family()
+    sets = [near_copies.shingles(t).view(np.int64) for t in texts]
+    prints = np.stack([near_copies.wide_print(s.view(np.uint64)).view(np.uint64) for s in sets])
+    d, tile = np.arange(len(sets)), np.arange(len(sets)) % tiles
+    found = []
+    for lo in range(tiles):
+        for hi in range(lo, tiles):
+            k = np.flatnonzero((tile == lo) | (tile == hi))
+            links = near_copies.forest(d[k], d[k], tile[k], prints[k], [sets[i] for i in k], 80, step=1000)
+            assert len(links) < len(k)
+            found += links
+    want = plain_groups(dict(enumerate(texts)))
+    assert closure(range(len(texts)), found) == want and 2 < len(set(want.values())) < len(texts) - 20
+
+
+def test_families_are_compared_in_tiles(spark, monkeypatch):
+    texts = dict(enumerate(family()))
+    made = {}
+    kept = near_copies.stored
+
+    def spied(df, label="t"):
+        made[label] = kept(df, label)
+        return made[label]
+
+    monkeypatch.setattr(near_copies, "stored", spied)
+    monkeypatch.setattr(near_copies, "discard", lambda df: None)
+    _, of = near_copies.near_copy_groups(frame(spark, list(texts.values())).selectExpr("doc_id as key", "unhex(md5(text)) as t", "text"), chained=8, tile=6000)
+    want = plain_groups(texts)
+    got = {}
+    for x in of.collect():
+        got.setdefault(x.group, []).append(x.least.key)
+    assert sorted(sorted(g) for g in got.values()) == sorted(sorted(k for k in want if want[k] == c) for c in set(want.values()))
+    assert "rest" not in made and 0 < made["forest"].count() < len(texts)
+
+
 def test_wide_prints_never_part_similar_sets():
     r = random.Random(24)
     most = 0
