@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import components, map_rows
 from quern.llm.multi_index import DISTANCE, SEGMENTS, close_pairs
-from quern.session import discard, stored
+from quern.session import discard, release, stored
 
 WORDS = 5
 #: Least similarity of near copies, in per cent.
@@ -50,6 +50,8 @@ PRINTS = [f"f{k}" for k in range(WIDE)]
 TILE = 1 << 19
 #: Shingles that a task gathers at once.
 STEP = 1 << 18
+#: Candidates that hang together are compared in tiles if those hold at most so many pairs for each candidate.
+DENSE = 1000
 
 
 def shingles(text: str | None, words: int = WORDS):
@@ -152,6 +154,7 @@ def by_fingerprints(uniq: DataFrame, distance: int = DISTANCE, segments: int = S
         same = uniq.select(F.col("d").alias("v"), F.col(f).alias("p")).join(end("p", "u"), "p").where("u <> v")
         part = stored(met.select("u", "v").unionByName(same.select("u", "v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "met")
         discard(word)
+        release(uniq.sparkSession)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -238,18 +241,45 @@ def joined(many: DataFrame, texts: DataFrame, uniq: DataFrame, words: int, perce
     whole = many.select("c", "d").distinct().groupBy("c").agg(F.count(F.lit(1)).cast("double").alias("k")).join(buckets, "c")
     whole = whole.select("c", (F.col("k") * F.col("k") <= F.col("apart")).alias("whole"))
     block = F.when(F.col("whole"), F.lit(0).cast("long")).otherwise(F.col("s")).alias("b")
-    dealt = stored(many.join(whole, "c").select("c", block, "d", "g").distinct().join(uniq.select("d", "n", *PRINTS), "d"), "dealt")
+    links = compared(many.join(whole, "c").select("c", block, "d", "g").distinct(), texts, uniq, words, percent, tile)
+    for old in (chain, many):
+        discard(old)
+    return links
+
+
+def compared(blocks: DataFrame, texts: DataFrame, uniq: DataFrame, words: int, percent: int, tile: int) -> DataFrame:
+    """(u, v): links that join groups ``g`` of the sets ``d`` within each block (c, b) of ``blocks(c, b, d, g)``."""
+    dealt = stored(blocks.join(uniq.select("d", "n", *PRINTS), "d"), "dealt")
     tiles = dealt.groupBy("c", "b").agg(F.ceil(F.sum("n") / tile).alias("tiles"))
-    rows = dealt.join(tiles, ["c", "b"]).withColumn("tile", F.pmod(F.xxhash64("d"), F.col("tiles")))
+    rows = dealt.where("n > 0").join(tiles, ["c", "b"]).withColumn("tile", F.pmod(F.xxhash64("d"), F.col("tiles")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     rows = rows.withColumns({"lo": F.least("tile", "other"), "hi": F.greatest("tile", "other")}).drop("other", "tiles", "n")
     sets = sets_of(dealt.select("d"), texts, uniq, words)
     links = stored(rows.join(sets, "d").groupBy("c", "b", "lo", "hi").applyInPandas(_tile_pair(percent), "u long, v long"), "forest")
-    for old in (chain, many, dealt, sets):
+    for old in (dealt, sets):
         discard(old)
     return links
 
 
+def decided(known: DataFrame, texts: DataFrame, uniq: DataFrame, words: int, percent: int, tile: int) -> DataFrame:
+    """(u, v): links that reach what those of the candidates ``known(u, v, sure)`` reach; more pairs may have been looked at.
+
+    Sets that candidates hold together are sent once a tile. Each candidate is joined only where they hang
+    together loosely: small sets, which fingerprints do not tell apart, chain through common lines.
+    """
+    chain = stored(components(known.where("sure"), "candcc"), "chain")
+    of = known.where("sure").join(chain, F.col("u") == F.col("node")).select("u", "v", F.col("component").alias("c"))
+    pairs = of.groupBy("c").agg(F.count(F.lit(1)).cast("double").alias("pairs"))
+    sizes = chain.groupBy(F.col("component").alias("c")).agg(F.count(F.lit(1)).cast("double").alias("k")).join(pairs, "c")
+    dense = stored(sizes.select("c", (F.col("k") * F.col("k") <= DENSE * F.col("pairs")).alias("dense")), "dense")
+    blocks = chain.select(F.col("component").alias("c"), F.col("node").alias("d")).join(dense.where("dense"), "c")
+    links = compared(blocks.select("c", F.lit(0).cast("long").alias("b"), "d", F.col("d").alias("g")), texts, uniq, words, percent, tile)
+    loose = of.join(dense.where("not dense"), "c", "left_semi").select("u", "v").unionByName(known.where("not sure").select("u", "v"))
+    links = links.unionByName(similar(stored(loose, "loose"), texts, uniq, words, percent))
+    discard(chain)
+    return links
+
+
 def near_copy_groups(
     texts: DataFrame, words: int = WORDS, percent: int = PERCENT, chained: int = CHAINED, tile: int = TILE,
 ) -> tuple[DataFrame, DataFrame]:
@@ -271,21 +301,23 @@ def near_copy_groups(
     prints_of = lambda name, key: uniq.select(F.col("d").alias(key), F.struct("n", *PRINTS).alias(name))
 
     def checked(pairs: DataFrame) -> DataFrame:
-        """Distinct (u, v) of ``pairs`` that can be similar."""
+        """Distinct (u, v, sure) of ``pairs`` that can be similar; ``sure`` if fingerprints had a say."""
         out = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         out = out.join(prints_of("a", "u"), "u").join(prints_of("b", "v"), "v")
-        return out.where(possible(F.col("a.n"), F.col("b.n"), "a", "b", percent)).select("u", "v")
+        return out.where(possible(F.col("a.n"), F.col("b.n"), "a", "b", percent)).select("u", "v", (F.least("a.n", "b.n") >= SURE).alias("sure"))
 
     few = held.where(F.col("size") <= chained).select("s", "d")
     pairs = few.select("s", F.col("d").alias("u")).join(few.select("s", F.col("d").alias("v")), "s").where("u < v").select("u", "v")
     stars = held.where((F.col("size") > chained) & (F.col("d") != F.col("hub"))).select(F.col("hub").alias("u"), F.col("d").alias("v"))
     known = stored(checked(by_fingerprints(uniq).unionByName(pairs).unionByName(stars)), "known")
-    links = similar(known, texts, uniq, words, percent)
+    release(known.sparkSession)
+    links = decided(known, texts, uniq, words, percent, tile)
     groups = stored(components(links, "nearcc"), "groups")
     many = held.where(F.col("size") > chained).select("s", "d").join(groups, F.col("d") == F.col("node"), "left").select("s", "d", F.coalesce("component", "d").alias("g"))
     apart = many.groupBy("s").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("s")
     many = stored(many.join(apart, "s", "left_semi"), "many")
     if not many.isEmpty():
+        release(many.sparkSession)
         links = links.unionByName(joined(many, texts, uniq, words, percent, tile))
         groups = stored(components(links, "nearcc"), "groups")
     out = uniq.join(groups, F.col("d") == F.col("node"), "left").select("d", F.coalesce("component", "d").alias("group"), "least")
