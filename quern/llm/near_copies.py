@@ -13,8 +13,10 @@ texts that hold a shingle among their first are candidates too, and none is miss
 discard candidates that are far apart, and complete shingle sets decide the rest.
 
 Where many texts hold one shingle, they are first held against one of them. What these links leave apart is
-compared in tiles: a task gets the complete sets of two tiles, looks at the pairs whose groups differ, skips
-those that a link found before has joined, and returns a spanning forest of its links, never pairs.
+compared in tiles, twice: first a task gets the sizes and fingerprints of two tiles' sets and returns those
+that have a partner of another group. Then a task gets the complete sets of two tiles of these, looks at the
+pairs whose groups differ, skips those that a link found before has joined, and returns a spanning forest of
+its links, never pairs.
 
 Defined results: white space and letter case of ASCII do not count. A text of fewer words than a
 shingle is one shingle; texts without words equal each other. A group is what links reach. An empty
@@ -47,6 +49,7 @@ SURE = 64
 FAR = 75
 PRINTS = [f"f{k}" for k in range(WIDE)]
 #: Shingles in a tile, about: sets are dealt by hash. A tile is sent once for each tile of its block.
+#: Where only fingerprints are sent, a set counts as ``SURE`` of them.
 TILE = 1 << 19
 #: Shingles that a task gathers at once.
 STEP = 1 << 18
@@ -165,24 +168,54 @@ def sets_of(wanted: DataFrame, texts: DataFrame, uniq: DataFrame, words: int) ->
     held = texts.join(wanted.hint("merge"), (F.col("key") == F.col("k")) & (F.col("t") == F.col("t2"))).dropDuplicates(["d"]).select("d", "text")
     sets = stored(map_rows(held, "d long, sh array<long>", _sets(words)), "sets")
     discard(wanted)
+    release(sets.sparkSession)
     return sets
 
 
-def similar(pairs: DataFrame, texts: DataFrame, uniq: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of ``pairs(u, v)`` of sets those as similar as asked, by their complete sets."""
-    sets = sets_of(pairs.select(F.col("u").alias("d")).unionByName(pairs.select(F.col("v").alias("d"))), texts, uniq, words)
+def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of ``pairs(u, v)`` of sets those as similar as asked, by their complete ``sets(d, sh)``."""
     both = pairs.join(sets.select(F.col("d").alias("u"), F.col("sh").alias("a")), "u").join(sets.select(F.col("d").alias("v"), F.col("sh").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
-    links = stored(both.where(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select("u", "v"), "links")
-    discard(sets)
-    return links
+    return stored(both.where(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select("u", "v"), "links")
+
+
+def partners(u: int, n, root, tile, prints, percent: int):
+    """Of sets by size ``n``, the places after ``u`` that can be as similar as asked and are of another group ``root``.
+
+    Of two tiles only pairs across are looked at, of one all.
+    """
+    import numpy as np
+
+    v = np.arange(u + 1, np.searchsorted(n, 100 * n[u] // percent, side="right"))
+    v = v[root[v] != root[u]]
+    if tile is not None:
+        v = v[tile[v] != tile[u]]
+    if percent >= PERCENT and n[u] >= SURE:
+        v = v[np.bitwise_count(prints[v] ^ prints[u]).sum(1) <= FAR]
+    return v
+
+
+def with_partners(n, g, tile, prints, percent: int):
+    """Whether each of the sets has a partner of another group, by sizes and fingerprints."""
+    import numpy as np
+
+    order = np.argsort(n, kind="stable")
+    n, g, prints = n[order], g[order], prints[order]
+    tile = tile[order] if (tile != tile[0]).any() else None
+    found = np.zeros(len(n), bool)
+    for u in range(len(n)):
+        v = partners(u, n, g, tile, prints, percent)
+        found[v] = True
+        found[u] |= len(v) > 0
+    out = np.empty(len(n), bool)
+    out[order] = found
+    return out
 
 
 def forest(d, g, tile, prints, sets, percent: int, step: int = STEP) -> list[tuple[int, int]]:
     """Links as similar as asked that join groups ``g`` of the sets ``d``: a spanning forest of them.
 
-    Of two tiles only pairs across are looked at, of one all. Sets are held against larger ones, so that
-    sizes bound the partners.
+    Sets are held against larger ones, so that sizes bound the partners.
     """
     import numpy as np
 
@@ -193,13 +226,10 @@ def forest(d, g, tile, prints, sets, percent: int, step: int = STEP) -> list[tup
     flat = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)[1]
     start = np.cumsum(n) - n
     held = np.zeros(len(flat), bool)
-    across = (tile != tile[0]).any()
+    tile = tile if (tile != tile[0]).any() else None
     out = []
     for u in range(len(d)):
-        v = np.arange(u + 1, np.searchsorted(n, 100 * n[u] // percent, side="right"))
-        v = v[(root[v] != root[u]) & ((tile[v] != tile[u]) | (not across))]
-        if percent >= PERCENT and n[u] >= SURE:
-            v = v[np.bitwise_count(prints[v] ^ prints[u]).sum(1) <= FAR]
+        v = partners(u, n, root, tile, prints, percent)
         own = flat[start[u] : start[u] + n[u]]
         held[own] = True
         while len(v):
@@ -217,13 +247,26 @@ def forest(d, g, tile, prints, sets, percent: int, step: int = STEP) -> list[tup
     return out
 
 
-def _tile_pair(percent: int):
+def _prints(part):
+    import numpy as np
+
+    return np.ascontiguousarray(part[PRINTS].to_numpy(np.int64)).view(np.uint64)
+
+
+def _with_partners(columns: list[str], percent: int):
     def run(part):
         import numpy as np
+
+        return part.loc[with_partners(part["n"].to_numpy(np.int64), part["g"].to_numpy(), part["tile"].to_numpy(), _prints(part), percent), columns]
+
+    return run
+
+
+def _tile_pair(percent: int):
+    def run(part):
         import pandas as pd
 
-        prints = np.ascontiguousarray(part[PRINTS].to_numpy(np.int64)).view(np.uint64)
-        links = forest(*(part[c].to_numpy() for c in ("d", "g", "tile")), prints, list(part["sh"]), percent)
+        links = forest(*(part[c].to_numpy() for c in ("d", "g", "tile")), _prints(part), list(part["sh"]), percent)
         return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
 
     return run
@@ -241,24 +284,36 @@ def joined(many: DataFrame, texts: DataFrame, uniq: DataFrame, words: int, perce
     whole = many.select("c", "d").distinct().groupBy("c").agg(F.count(F.lit(1)).cast("double").alias("k")).join(buckets, "c")
     whole = whole.select("c", (F.col("k") * F.col("k") <= F.col("apart")).alias("whole"))
     block = F.when(F.col("whole"), F.lit(0).cast("long")).otherwise(F.col("s")).alias("b")
-    links = compared(many.join(whole, "c").select("c", block, "d", "g").distinct(), texts, uniq, words, percent, tile)
-    for old in (chain, many):
+    blocks = sized(many.join(whole, "c").select("c", block, "d", "g").distinct(), uniq)
+    left = tiled(blocks, F.count(F.lit(1)), max(1, tile // SURE)).groupBy("c", "b", "lo", "hi").applyInPandas(_with_partners(blocks.columns, percent), blocks.schema)
+    left = stored(left.dropDuplicates(["c", "b", "d"]), "left")
+    for old in (chain, many, blocks):
+        discard(old)
+    release(left.sparkSession)
+    sets = sets_of(left.select("d"), texts, uniq, words)
+    links = compared(left, sets, percent, tile)
+    for old in (left, sets):
         discard(old)
     return links
 
 
-def compared(blocks: DataFrame, texts: DataFrame, uniq: DataFrame, words: int, percent: int, tile: int) -> DataFrame:
-    """(u, v): links that join groups ``g`` of the sets ``d`` within each block (c, b) of ``blocks(c, b, d, g)``."""
-    dealt = stored(blocks.join(uniq.select("d", "n", *PRINTS), "d"), "dealt")
-    tiles = dealt.groupBy("c", "b").agg(F.ceil(F.sum("n") / tile).alias("tiles"))
-    rows = dealt.where("n > 0").join(tiles, ["c", "b"]).withColumn("tile", F.pmod(F.xxhash64("d"), F.col("tiles")))
+def sized(blocks: DataFrame, uniq: DataFrame) -> DataFrame:
+    """``blocks(c, b, d, g)`` with sizes and fingerprints of the sets ``d``; without the empty set, which nothing equals."""
+    return stored(blocks.join(uniq.select("d", "n", *PRINTS), "d").where("n > 0"), "dealt")
+
+
+def tiled(blocks: DataFrame, size, tile: int) -> DataFrame:
+    """``blocks(c, b, d, ...)`` dealt to tiles of about ``tile`` of the aggregate ``size``: a row for each pair of tiles (lo, hi) that a set's is in."""
+    tiles = blocks.groupBy("c", "b").agg(F.ceil(size / tile).alias("tiles"))
+    rows = blocks.join(tiles, ["c", "b"]).withColumn("tile", F.pmod(F.xxhash64("d"), F.col("tiles")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    rows = rows.withColumns({"lo": F.least("tile", "other"), "hi": F.greatest("tile", "other")}).drop("other", "tiles", "n")
-    sets = sets_of(dealt.select("d"), texts, uniq, words)
-    links = stored(rows.join(sets, "d").groupBy("c", "b", "lo", "hi").applyInPandas(_tile_pair(percent), "u long, v long"), "forest")
-    for old in (dealt, sets):
-        discard(old)
-    return links
+    return rows.withColumns({"lo": F.least("tile", "other"), "hi": F.greatest("tile", "other")}).drop("other", "tiles")
+
+
+def compared(blocks: DataFrame, sets: DataFrame, percent: int, tile: int) -> DataFrame:
+    """(u, v): links that join groups ``g`` of the sets ``d`` within each block (c, b) of :func:`sized` ``blocks``."""
+    rows = tiled(blocks, F.sum("n"), tile).drop("n").join(sets, "d")
+    return stored(rows.groupBy("c", "b", "lo", "hi").applyInPandas(_tile_pair(percent), "u long, v long"), "forest")
 
 
 def decided(known: DataFrame, texts: DataFrame, uniq: DataFrame, words: int, percent: int, tile: int) -> DataFrame:
@@ -273,10 +328,14 @@ def decided(known: DataFrame, texts: DataFrame, uniq: DataFrame, words: int, per
     sizes = chain.groupBy(F.col("component").alias("c")).agg(F.count(F.lit(1)).cast("double").alias("k")).join(pairs, "c")
     dense = stored(sizes.select("c", (F.col("k") * F.col("k") <= DENSE * F.col("pairs")).alias("dense")), "dense")
     blocks = chain.select(F.col("component").alias("c"), F.col("node").alias("d")).join(dense.where("dense"), "c")
-    links = compared(blocks.select("c", F.lit(0).cast("long").alias("b"), "d", F.col("d").alias("g")), texts, uniq, words, percent, tile)
+    blocks = sized(blocks.select("c", F.lit(0).cast("long").alias("b"), "d", F.col("d").alias("g")), uniq)
     loose = of.join(dense.where("not dense"), "c", "left_semi").select("u", "v").unionByName(known.where("not sure").select("u", "v"))
-    links = links.unionByName(similar(stored(loose, "loose"), texts, uniq, words, percent))
-    discard(chain)
+    loose = stored(loose, "loose")
+    wanted = blocks.select("d").unionByName(loose.select(F.col("u").alias("d"))).unionByName(loose.select(F.col("v").alias("d")))
+    sets = sets_of(wanted, texts, uniq, words)
+    links = compared(blocks, sets, percent, tile).unionByName(similar(loose, sets, percent))
+    for old in (chain, blocks, loose, sets):
+        discard(old)
     return links
 
 
@@ -294,10 +353,13 @@ def near_copy_groups(
     uniq = stored(index.groupBy("d").agg(F.min(F.struct("key", "t")).alias("least"), *some), "uniq")
     rows = stored(index.select("key", "t", "d"), "rows")
     discard(index)
+    release(rows.sparkSession)
     first = uniq.select(F.explode("s").alias("s"), "d")
     sizes = stored(first.groupBy("s").agg(F.count(F.lit(1)).alias("size"), F.min("d").alias("hub")).where("size > 1"), "shared")
+    release(sizes.sparkSession)
     held = stored(first.join(sizes, "s").select("s", "d", "size", "hub"), "held")
     discard(sizes)
+    release(held.sparkSession)
     prints_of = lambda name, key: uniq.select(F.col("d").alias(key), F.struct("n", *PRINTS).alias(name))
 
     def checked(pairs: DataFrame) -> DataFrame:

@@ -104,6 +104,44 @@ def test_families_are_compared_in_tiles(spark, monkeypatch):
     assert "rest" not in made and all(x.count() < len(texts) for x in made["forest"]) and made["forest"][0].count() > 0
 
 
+@pytest.mark.parametrize("tile", [near_copies.TILE, 3000])
+def test_sets_without_partner_are_not_sent(spark, monkeypatch, tile):
+    """Texts of common lines share frequent shingles and little more: only those that fingerprints hold near are sent."""
+    r = random.Random(27)
+    lines = [words(r, 40) for _ in range(36)]
+    texts = [" ".join(r.sample(lines, 6)) for _ in range(120)]
+    texts += [t + " and own words" for t in texts[:6]]
+    made = {}
+    kept = near_copies.stored
+
+    def spied(df, label="t"):
+        made.setdefault(label, []).append(kept(df, label))
+        return made[label][-1]
+
+    monkeypatch.setattr(near_copies, "stored", spied)
+    monkeypatch.setattr(near_copies, "discard", lambda df: None)
+    _, of = near_copies.near_copy_groups(frame(spark, texts).selectExpr("doc_id as key", "unhex(md5(text)) as t", "text"), chained=8, tile=tile)
+    assert len({x.group for x in of.collect()}) == len(set(plain_groups(dict(enumerate(texts))).values())) == 120
+    assert made["many"][-1].select("d").distinct().count() > 100 and made["sets"][-1].count() < 60
+
+
+def test_partners_are_those_of_all_pairs():
+    import numpy as np
+
+    r = random.Random(28)
+    texts = family(60) + [t[: len(t) // k] for t in family(20) for k in (1, 2, 9)] + [words(r, 150 + k) for k in range(10)]
+    sets = [near_copies.shingles(t) for t in texts]
+    n = np.array([len(s) for s in sets])
+    prints = np.stack([near_copies.wide_print(s).view(np.uint64) for s in sets])
+    g = np.arange(len(sets)) // 2
+    bits = lambda u, v: int(np.bitwise_count(prints[u] ^ prints[v]).sum())
+    near = lambda u, v: g[u] != g[v] and 100 * min(n[u], n[v]) >= 80 * max(n[u], n[v]) and (min(n[u], n[v]) < near_copies.SURE or bits(u, v) <= near_copies.FAR)
+    for tile in (np.zeros(len(sets), int), np.arange(len(sets)) % 3 % 2):
+        across = len(set(tile)) > 1
+        want = [any(near(u, v) and (tile[u] != tile[v] or not across) for v in range(len(sets)) if v != u) for u in range(len(sets))]
+        assert near_copies.with_partners(n, g, tile, prints, 80).tolist() == want and 20 < sum(want) < len(want)
+
+
 def test_wide_prints_never_part_similar_sets():
     r = random.Random(24)
     most = 0
