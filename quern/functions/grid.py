@@ -32,6 +32,11 @@ class Grid:
     nodata: float | None = None
     rotation: tuple[float, float] = (0.0, 0.0)
 
+    @property
+    def area(self) -> int:
+        """How many cells it has."""
+        return self.width * self.height
+
     def envelope(self, edge_mode: str = "reference") -> tuple[float, float, float, float]:
         """(minx, miny, maxx, maxy); in ``reference`` mode the far corner is that of the last pixel."""
         k = {"reference": 1, "full": 0}[edge_mode]

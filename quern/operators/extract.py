@@ -8,9 +8,20 @@ from pyspark.sql import functions as F
 from quern.functions.grid import Grid, dbl, grid_x, grid_y, rid_of
 
 
-def join_pixels(cells: DataFrame, pixels: DataFrame, on: tuple[str, ...] = ("col", "row"), how: str = "inner") -> DataFrame:
-    """Bands of each cell: an equi-join, whatever the geometry was."""
-    return cells.join(pixels, list(on), how)
+#: Cells of all rasters up to which every task gets their pixels, so that no cells are exchanged.
+SMALL = 1 << 18
+
+
+def join_pixels(cells: DataFrame, pixels: DataFrame, on: tuple[str, ...] = ("col", "row"), how: str = "inner", area: int | None = None) -> DataFrame:
+    """Bands of each cell: an equi-join, whatever the geometry was.
+
+    ``area``: how many cells the rasters have, where it is known. Pixels of up to :data:`SMALL` cells go to
+    every task; with more of them both sides are exchanged. Without it the planner decides, which takes
+    cells for as few as the features that they were made from and may send all of them through the driver.
+    """
+    if area is None:
+        return cells.join(pixels, list(on), how)
+    return cells.join(F.broadcast(pixels), list(on), how) if area <= SMALL else cells.hint("merge").join(pixels, list(on), how)
 
 
 def tiled(df: DataFrame, size: int = 1024) -> DataFrame:

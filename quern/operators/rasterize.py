@@ -16,6 +16,14 @@ from quern.functions.geom import EPS, buffered, clipped, envelope, leaves, line_
 from quern.functions.grid import Grid, col_of, dbl, in_envelope, on_grid, row_of
 
 
+def dealt(features: DataFrame) -> DataFrame:
+    """``features`` dealt to tasks by fid, those of one fid to the same one.
+
+    Features are few bytes, read by few tasks, and many cells or much work: what follows would be the work of those tasks.
+    """
+    return features.repartition("fid")
+
+
 def points_to_cells(features: DataFrame, g: Grid, x: str = "x", y: str = "y", edge_mode: str = "reference") -> DataFrame:
     """``features`` with col and row, for points inside the raster."""
     out = features.where(in_envelope(x, y, g, edge_mode)).withColumn("col", col_of(x, g)).withColumn("row", row_of(y, g))

@@ -591,7 +591,8 @@ def wide_zonal_stats(s, sf):
     """A raster whose size follows the tables."""
     n = fx.wide_size(s, sf)
     g = Grid(n, n, 0.0, float(n), rid="dir/wide.img")
-    px = extract.join_pixels(rasterize.boxes_to_cells(fx.wide_boxes(s, sf, n), g), fx.wide_pixels(s, sf, n))
+    cells = rasterize.boxes_to_cells(rasterize.dealt(fx.wide_boxes(s, sf, n)), g).select("fid", "col", "row")
+    px = extract.join_pixels(cells, fx.wide_pixels(s, sf, n), area=g.area)
     return stats.zonal_stats(px, ["band1"], ["sum", "max"])
 
 

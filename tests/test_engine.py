@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quern.functions.grid import Grid
 from quern.operators import extract, select, stats
 from quern.plans import extraction as x
+from quern.plans import queries as plans
 from quern.sources import fixtures as fx
 from quern.sources import sinks, tables
 
@@ -249,6 +250,16 @@ def test_plans_have_no_nested_loops(spark, sf):
     assert "l_extendedprice" not in read.split("ReadSchema")[-1]
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cells_of_large_rasters_are_not_broadcast(spark):
+    """The planner takes 117 cells a feature for the feature's few bytes."""
+    plan = plan_of(plans.QUERIES["wide_zonal_stats"](spark, "/root/testdata/sf0.1"))
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_streamed_points(spark, sf, tmp_path):
     from quern.streaming.zonal import stream_points, stream_zone_counts
 
