@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.geom import parse_wkt, to_wkt, translated
 from quern.functions.grid import Grid, grid_x, grid_y, parity_pad, rid_of
+from quern.operators.extract import exchanged, join_pixels
 from quern.operators.stats import extents
 
 
@@ -36,10 +37,10 @@ def window_cells(windows: DataFrame, keys: list[str] = ["fid"]) -> DataFrame:
     return out.select(*keys, (F.col("col0") + F.col("c")).alias("col"), (F.col("row0") + F.col("r")).alias("row"), "c", "r")
 
 
-def filled(cells: DataFrame, pixels: DataFrame, bands: list[str], inside: DataFrame | None, fill, keys: list[str]) -> DataFrame:
+def filled(cells: DataFrame, pixels: DataFrame, bands: list[str], inside: DataFrame | None, fill, keys: list[str], area: int | None = None) -> DataFrame:
     """``cells(keys, col, row)`` with their bands: ``fill`` (a number, or by raster a column of ``pixels``' list) where there is no pixel, or outside ``inside``."""
     on = [k for k in keys if k == "rid"] + ["col", "row"]
-    out = cells.join(pixels.select(*on, *bands), on, "left")
+    out = join_pixels(cells, pixels.select(*on, *bands), on, "left", area)
     if isinstance(fill, DataFrame):  # (rid, fill)
         out = out.join(fill, "rid", "left")
         other = F.coalesce("fill", F.lit(0.0))
@@ -47,16 +48,16 @@ def filled(cells: DataFrame, pixels: DataFrame, bands: list[str], inside: DataFr
         other = F.lit(float(fill))
     known = F.lit(True)
     if inside is not None:
-        out = out.join(inside.select(*keys, "col", "row").distinct().withColumn("__in", F.lit(True)), [*keys, "col", "row"], "left")
+        out = exchanged(out).join(inside.select(*keys, "col", "row").distinct().withColumn("__in", F.lit(True)), [*keys, "col", "row"], "left")
         known = F.coalesce("__in", F.lit(False))
     kinds = dict(pixels.dtypes)
     return out.withColumns({b: F.when(known & F.col(b).isNotNull(), F.col(b)).otherwise(other.cast(kinds[b])) for b in bands}).drop("__in", "fill")
 
 
-def cutouts(cells: DataFrame, pixels: DataFrame, g: Grid | DataFrame, bands: list[str], only_inside: bool = False, nodata=0.0, parity: str | None = None, keys: list[str] = ["fid"]) -> DataFrame:
+def cutouts(cells: DataFrame, pixels: DataFrame, g: Grid | DataFrame, bands: list[str], only_inside: bool = False, nodata=0.0, parity: str | None = None, keys: list[str] = ["fid"], area: int | None = None) -> DataFrame:
     """(keys, c, r, bands): the pixels of each cut-out; those outside the geometry are nodata if ``only_inside``."""
     full = window_cells(cutout_windows(cells, g, parity=parity, keys=keys), keys)
-    return filled(full, pixels, bands, cells if only_inside else None, nodata, keys).select(*keys, "c", "r", *bands)
+    return filled(full, pixels, bands, cells if only_inside else None, nodata, keys, g.area if isinstance(g, Grid) else area).select(*keys, "c", "r", *bands)
 
 
 def strip_layout(windows: DataFrame, separation: int = 0) -> DataFrame:
@@ -81,15 +82,15 @@ def strip_size(layout: DataFrame) -> DataFrame:
     return layout.agg(F.max("width").alias("strip_width"), F.max(F.col("strip_row") + F.col("height")).alias("strip_height"))
 
 
-def strip_pixels(layout: DataFrame, pixels: DataFrame, g: Grid | DataFrame, bands: list[str], fill=0.0, inside: DataFrame | None = None, keys: list[str] = ["fid"]) -> DataFrame:
+def strip_pixels(layout: DataFrame, pixels: DataFrame, g: Grid | DataFrame, bands: list[str], fill=0.0, inside: DataFrame | None = None, keys: list[str] = ["fid"], area: int | None = None) -> DataFrame:
     """The three strips in one relation: (strip_col, strip_row, bands, fid, x, y).
 
     Covered cells only: elsewhere the data strip reads ``fill``, the fid strip -1 and the location
     strip 0 (see :func:`strip_full`). Locations are float32. With ``inside`` (cells of the features), cells
     of a cut-out outside its feature read ``fill``.
     """
-    at = layout.select(*keys, F.col("strip_row").alias("__top"))
-    cells = filled(window_cells(layout, keys), pixels, bands, inside, fill, keys).join(at, keys)
+    full = window_cells(layout.withColumn("__top", F.col("strip_row")), [*keys, "__top"])
+    cells = filled(full, pixels, bands, inside, fill, keys, g.area if isinstance(g, Grid) else area)
     if isinstance(g, DataFrame):
         cells = cells.join(g.select("rid", "x0", "y0", "px", "py"), "rid")
         x, y = F.col("x0") + F.col("col") * F.col("px"), F.col("y0") + F.col("row") * F.col("py")

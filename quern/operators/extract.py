@@ -21,7 +21,16 @@ def join_pixels(cells: DataFrame, pixels: DataFrame, on: tuple[str, ...] = ("col
     """
     if area is None:
         return cells.join(pixels, list(on), how)
-    return cells.join(F.broadcast(pixels), list(on), how) if area <= SMALL else cells.hint("merge").join(pixels, list(on), how)
+    return cells.join(F.broadcast(pixels), list(on), how) if area <= SMALL else exchanged(cells).join(pixels, list(on), how)
+
+
+def exchanged(df: DataFrame) -> DataFrame:
+    """``df`` with both sides of its next join exchanged.
+
+    The planner knows the bytes of the files that a table is read from. Cells, and tables of ids stored as Parquet,
+    are many times that in memory, and what it takes for small it sends to every task through the driver.
+    """
+    return df.hint("merge")
 
 
 def tiled(df: DataFrame, size: int = 1024) -> DataFrame:

@@ -7,12 +7,15 @@ the perimeter of a polygon and the cells are exploded on the JVM side.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.geom import EPS, buffered, clipped, envelope, leaves, line_cells, parse_wkt, polygon_is_valid, polygon_spans, repaired, to_wkt
+from quern.functions.geom import (
+    EPS, buffered, clipped, envelope, leaves, line_cells, parse_wkt, polygon_is_valid, polygon_spans, rectangle, rectangle_spans, repaired, segment_cells, to_wkt,
+)
 from quern.functions.grid import Grid, col_of, dbl, in_envelope, on_grid, row_of
 
 
@@ -24,6 +27,18 @@ def dealt(features: DataFrame) -> DataFrame:
     return features.repartition("fid")
 
 
+def segments_to_distinct_cells(segments: DataFrame, g: Grid) -> DataFrame:
+    """(fid, col, row), each cell of a feature once.
+
+    A segment has no cell twice, so only the cells of features of several segments are compared. The number of
+    partitions is given: the exchange holds a small part of what the cells will be, and would make few of them.
+    """
+    n = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = segments.repartition(n, "fid").withColumn("__of", F.count(F.lit(1)).over(Window.partitionBy("fid")))
+    one, more = (segments_to_cells(counted.where(c), g).select("fid", "col", "row") for c in ("__of = 1", "__of > 1"))
+    return one.unionByName(more.dropDuplicates())
+
+
 def points_to_cells(features: DataFrame, g: Grid, x: str = "x", y: str = "y", edge_mode: str = "reference") -> DataFrame:
     """``features`` with col and row, for points inside the raster."""
     out = features.where(in_envelope(x, y, g, edge_mode)).withColumn("col", col_of(x, g)).withColumn("row", row_of(y, g))
@@ -113,6 +128,13 @@ def _spans(g: Grid, pixprop: float, edge_mode: str, skip_invalid: bool):
 
     def of(geometry) -> list[tuple[int, str, int, int, int]]:
         out, seen = [], set()
+        if geometry[0] == "RECTANGLE":
+            a, b, c, d = geometry[1]
+            a, b, c, d = max(a, box[0]), max(b, box[1]), min(c, box[2]), min(d, box[3])
+            if a >= c or b >= d:
+                return out
+            (u0, v0), (u1, v1) = unit((a, b)), unit((c, d))
+            return [(0, "POLYGON", *x) for x in rectangle_spans(min(u0, u1), min(v0, v1), max(u0, u1), max(v0, v1), pixprop, g.width, g.height)]
         for part, (kind, (shape,)) in enumerate(leaves(clipped(geometry, box))):
             if kind == "POLYGON":
                 cells = polygon_spans([[unit(p) for p in ring] for ring in shape], pixprop, g.width, g.height)
@@ -133,7 +155,9 @@ def _spans(g: Grid, pixprop: float, edge_mode: str, skip_invalid: bool):
 
 
 def repairable(geometry, skip_invalid: bool = False):
-    """The geometry with invalid polygons repaired, or left out."""
+    """The geometry with invalid polygons repaired, or left out; a rectangle along the axes as such."""
+    if geometry[0] == "POLYGON" and geometry[1] and (bounds := rectangle(geometry[1][0])):
+        return ("RECTANGLE", bounds)
     out = []
     for kind, (shape,) in leaves(geometry):
         if kind != "POLYGON":
@@ -151,36 +175,75 @@ def pairs_to_spans(pairs: DataFrame, pixprop: float = 0.5, edge_mode: str = "ref
     kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32())
     names = [x.split()[0] for x in SPANS.split(", ")]
 
+    def put(batch, at, *columns):
+        """Rows of ``batch`` at ``at`` with their spans."""
+        at = pa.array(at, type=pa.int64())
+        own = [batch.column(k).take(at).cast(kind) for k, kind in zip((0, 1), kinds)]
+        return pa.RecordBatch.from_arrays([*own, *(pa.array(c, type=k) for c, k in zip(columns, kinds[2:]))], names=names)
+
     def run(batches):
         grids: dict = {}
         last = geometry = None
         for batch in batches:
             for at in range(0, batch.num_rows, 256):  # results leave in slices
-                out = []
-                for fid, rid, wkt, *grid in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                piece, out, lines = batch.slice(at, 256), [], {}
+                for k, (wkt, *grid) in enumerate(zip(*(c.to_pylist() for c in piece.columns[2:]))):
                     if not wkt:
                         continue
-                    if (of := grids.get((*grid,))) is None:
-                        of = grids[(*grid,)] = _spans(Grid(*grid), pixprop, edge_mode, skip_invalid_polys)
+                    grid = (*grid,)
+                    if grid not in grids:
+                        grids[grid] = _spans(Grid(*grid), pixprop, edge_mode, skip_invalid_polys)
                     if wkt != last:  # a feature's pairs follow each other
-                        last, geometry = wkt, repairable(parse_wkt(wkt), skip_invalid_polys)
-                    out += [(fid, rid, *x) for x in of(geometry)]
+                        last, geometry = wkt, parse_wkt(wkt)
+                        if geometry[0] != "LINESTRING" or list(map(len, geometry[1])) != [2]:
+                            geometry = repairable(geometry, skip_invalid_polys)
+                    if geometry[0] == "LINESTRING":  # of one segment: all of a slice at once
+                        numbers, ends = lines.setdefault(grid, ([], []))
+                        numbers.append(k)
+                        ends.append((*geometry[1][0][0], *geometry[1][0][1]))
+                    else:
+                        out += [(k, *x) for x in grids[grid](geometry)]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out), kinds)], names=names)
+                    yield put(piece, *zip(*out))
+                for grid, (numbers, ends) in lines.items():
+                    g = Grid(*grid)
+                    for i, c, r in segment_cells(np.array(ends), g.envelope(edge_mode), g.x0, g.y0, g.px, g.py):
+                        inside = (c >= 0) & (c < g.width) & (r >= 0) & (r < g.height)
+                        if inside.any():
+                            i, c, r = np.array(numbers)[i[inside]], c[inside].astype(np.int32), r[inside].astype(np.int32)
+                            kind = pa.DictionaryArray.from_arrays(np.zeros(len(i), np.int32), ["LINESTRING"]).cast(pa.string())
+                            yield put(piece, i, np.zeros(len(i), np.int32), kind, r, c, c)
 
-    return pairs.select(F.col("fid").cast("long"), "rid", "wkt", *GRID).mapInArrow(run, SPANS)
+    return dealt(pairs.select(F.col("fid").cast("long"), "rid", "wkt", *GRID)).mapInArrow(run, SPANS)
 
 
-def pairs_to_cells(pairs: DataFrame, pixprop: float = 0.5, edge_mode: str = "reference", skip_invalid_polys: bool = False, spread: bool = True) -> DataFrame:
-    """(fid, rid, part, kind, col, row).
+#: Lines of a raster that are dealt together, as powers of 2.
+BAND = 5
 
-    ``spread`` deals the spans by feature and row before they become cells, so that a polygon over a
-    whole raster is not one task's work; the exchange carries spans, not cells.
-    """
+
+def spread_spans(spans: DataFrame) -> DataFrame:
+    """Spans dealt by feature and band of rows (``__band``), so that a polygon over a whole raster is not one task's work."""
+    return spans.withColumn("__band", F.shiftright("row", BAND)).repartition("fid", "__band")
+
+
+def disjoint(spans: DataFrame) -> DataFrame:
+    """(fid, rid, row, col_from, col_to): each cell of a feature and raster in one span, whatever parts share it."""
+    before = Window.partitionBy("fid", "rid", "__band", "row").orderBy("col_from").rowsBetween(Window.unboundedPreceding, -1)
+    s = spread_spans(spans.select("fid", "rid", "row", "col_from", "col_to")).withColumn("__seen", F.max("col_to").over(before))
+    s = s.withColumn("col_from", F.greatest("col_from", F.col("__seen") + 1))  # null, of the first span, is passed over
+    return s.where("col_from <= col_to").select("fid", "rid", "row", "col_from", "col_to")
+
+
+def spans_to_cells(spans: DataFrame) -> DataFrame:
+    """The columns of ``spans``, with col for col_from and col_to."""
+    own = [c for c in spans.columns if c not in ("row", "col_from", "col_to", "__band")]
+    return spans.select(*own, F.explode(F.sequence("col_from", "col_to")).alias("col"), "row")
+
+
+def pairs_to_cells(pairs: DataFrame, pixprop: float = 0.5, edge_mode: str = "reference", skip_invalid_polys: bool = False, spread: bool = True) -> DataFrame:
+    """(fid, rid, part, kind, col, row). ``spread``: see :func:`spread_spans`; the exchange carries spans, not cells."""
     spans = pairs_to_spans(pairs, pixprop, edge_mode, skip_invalid_polys)
-    if spread:
-        spans = spans.repartition("fid", "row")
-    return spans.select("fid", "rid", "part", "kind", F.explode(F.sequence("col_from", "col_to")).alias("col"), "row")
+    return spans_to_cells(spread_spans(spans) if spread else spans)
 
 
 def on_one(features: DataFrame, g: Grid) -> DataFrame:
@@ -202,7 +265,7 @@ def geometries_to_cells(features: DataFrame, g: Grid, pixprop: float = 0.5, edge
 def buffer_wkt(features: DataFrame, amount: float | str, segments: int | str = 1, bounds: bool = True) -> DataFrame:
     """``features`` with the geometry buffered; ``@field`` takes the whole-number distance from a column. ``bounds``: its box follows."""
     field = lambda v, default: F.col(v[1:]).cast("long") if isinstance(v, str) and v.startswith("@") else F.lit(int(float(v if v is not None else default)))
-    kept = features.withColumns({"__d": field(amount, 0), "__s": field(segments, 1)})
+    kept = dealt(features).withColumns({"__d": field(amount, 0), "__s": field(segments, 1)})
 
     @F.pandas_udf("string")
     def grow(wkt: pd.Series, d: pd.Series, s: pd.Series) -> pd.Series:

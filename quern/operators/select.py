@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.grid import angle, centre, distance
-from quern.operators.extract import paired
+from quern.operators.extract import exchanged, paired
 
 DISTANCE_EPS = 1e-4
 NODATA_EPS = 1e-3
@@ -37,7 +37,7 @@ def screen_nodata(cands: DataFrame, pixels: DataFrame, bands: list[str], nodata,
         bad = hit(bands[0])
         for b in bands[1:]:
             bad = bad & hit(b) if mode == "all_bands" else bad | hit(b)
-    return cands.join(pixels.where(bad).select("fid", "rid").distinct(), ["fid", "rid"], "left_anti")
+    return exchanged(cands).join(pixels.where(bad).select("fid", "rid").distinct(), ["fid", "rid"], "left_anti")
 
 
 def screen_masks(cands: DataFrame, mask_pixels: DataFrame, bands: list[str]) -> DataFrame:
@@ -45,7 +45,7 @@ def screen_masks(cands: DataFrame, mask_pixels: DataFrame, bands: list[str]) ->
     bad = F.lit(False)
     for b in bands:
         bad = bad | (F.col(b) == 0)
-    return cands.join(mask_pixels.where(bad).select("fid", "rid").distinct(), ["fid", "rid"], "left_anti")
+    return exchanged(cands).join(mask_pixels.where(bad).select("fid", "rid").distinct(), ["fid", "rid"], "left_anti")
 
 
 def choose(cands: DataFrame, modes: list[tuple], distance_tie: float = DISTANCE_TIE, angle_tie: float = ANGLE_TIE, wrap: bool = False) -> DataFrame:

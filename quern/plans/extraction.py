@@ -8,7 +8,7 @@ Arrow pass, and cells meet pixels by (rid, col, row).
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,6 +69,17 @@ class Rasters:
     def bands(self) -> list[str]:
         return [c for c in self.pixels.columns if c.startswith("band")]
 
+    @cached_property
+    def area(self) -> int | None:
+        """How many cells all have, if they are so few that every task may have their pixels."""
+        n = self.table.agg(F.sum(F.col("width").cast("long") * F.col("height"))).first()[0] or 0
+        return n if n <= extract.SMALL else None
+
+    def under(self, cells: DataFrame, *bands: str) -> DataFrame:
+        """``cells(rid, col, row)`` with their bands, all or those asked for."""
+        px = self.pixels.select("rid", "col", "row", *bands) if bands else self.pixels
+        return extract.join_pixels(cells, px, ("rid", "col", "row"), area=self.area)
+
     def of_bands(self, *bands: str) -> "Rasters":
         return Rasters(self.table, self.pixels.select("rid", "col", "row", *bands))
 
@@ -144,24 +155,44 @@ def _buffered_by_field(features: DataFrame, o: Options) -> DataFrame:
     return rasterize.buffer_wkt(f, *o.buffer, bounds=o.fid is not None).drop(*names)
 
 
-def cells_of(features: DataFrame, rasters: Rasters, o: Options, masks: list[Raster] | None = None) -> DataFrame:
-    """(fid, rid, part, kind, col, row) over all rasters, or over the chosen one of each feature."""
-    cells = rasterize.pairs_to_cells(pairs(features, rasters, o), o.pixprop, o.edge_mode, o.skip_invalid_polys, o.spread)
+def spans_of(features: DataFrame, rasters: Rasters, o: Options, masks: list[Raster] | None = None, keep: bool = False) -> DataFrame:
+    """(fid, rid, part, kind, row, col_from, col_to) over all rasters, or over the chosen one of each feature.
+
+    ``keep``: they are stored, for outputs that read them several times.
+    """
+    spans = rasterize.pairs_to_spans(pairs(features, rasters, o), o.pixprop, o.edge_mode, o.skip_invalid_polys)
+    if keep or o.chooses and (o.ignore_nodata or masks):
+        spans = stored(spans, "spans")  # read by the screens and the output
     if not o.chooses:
-        return cells
+        return spans
     cands = select.candidates(chosen_features(features, o), rasters.table, o.edge_mode)
     if o.ignore_nodata or masks:
-        cells = stored(cells, "cells")  # read by the screens and the output
+        cells = _dealt_cells(spans.select("fid", "rid", "row", "col_from", "col_to"), o)
     if o.ignore_nodata:
-        seen = extract.join_pixels(cells.select("fid", "rid", "col", "row"), rasters.pixels, ("rid", "col", "row"))
+        seen = rasters.under(cells)
         nodata = o.nodata if o.nodata is not None else F.col("nodata")
         cands = select.screen_nodata(cands, seen.join(rasters.table.select("rid", "nodata"), "rid"), rasters.bands, nodata, o.ignore_nodata)
     if masks:
         own = masks_of(rasters, masks)
-        seen = extract.join_pixels(cells.select("fid", "rid", "col", "row"), own, ("rid", "col", "row"))
+        seen = extract.join_pixels(cells, own, ("rid", "col", "row"), area=rasters.area)
         cands = select.screen_masks(cands, seen, [c for c in own.columns if c.startswith("band")])
     chosen = stored(select.choose(cands, o.duplicate).select("fid", "rid"), "chosen")
-    return cells.join(chosen, ["fid", "rid"], "left_semi")
+    return extract.exchanged(spans).join(chosen, ["fid", "rid"], "left_semi").select(spans.columns)
+
+
+def _dealt_cells(spans: DataFrame, o: Options) -> DataFrame:
+    return rasterize.spans_to_cells(rasterize.spread_spans(spans) if o.spread else spans)
+
+
+def cells_of(features: DataFrame, rasters: Rasters, o: Options, masks: list[Raster] | None = None, keep: bool = False) -> DataFrame:
+    """(fid, rid, part, kind, col, row) of :func:`spans_of`."""
+    return _dealt_cells(spans_of(features, rasters, o, masks, keep), o)
+
+
+def distinct_cells(features: DataFrame, rasters: Rasters, o: Options, masks: list[Raster] | None = None, keep: bool = False) -> DataFrame:
+    """(fid, rid, col, row), each once: spans are made disjoint before they become cells. ``keep``: those are stored."""
+    spans = rasterize.disjoint(spans_of(features, rasters, o, masks))
+    return rasterize.spans_to_cells(stored(spans, "spans") if keep else spans)
 
 
 def masks_of(rasters: Rasters, masks: list[Raster]) -> DataFrame:
@@ -173,10 +204,10 @@ def masks_of(rasters: Rasters, masks: list[Raster]) -> DataFrame:
 def table(features: DataFrame, rasters: Rasters | list[Raster], o: Options = Options(), masks: list[Raster] | None = None, ordered: bool = False) -> DataFrame:
     """The pixel table; ``ordered``: by raster, feature, column and row."""
     r, attrs = Rasters.of(rasters), extract.select_fields(features, o.fields)
-    px = extract.join_pixels(cells_of(features, r, o, masks), r.pixels, ("rid", "col", "row"))
-    px = px.join(r.table.select("rid", "idx", "x0", "y0", "px", "py"), "rid")
-    if attrs:
-        px = px.join(features.select("fid", *attrs), "fid")
+    spans = spans_of(features, r, o, masks)
+    if attrs:  # spans are fewer than cells
+        spans = extract.exchanged(spans).join(features.select("fid", *attrs), "fid")
+    px = r.under(_dealt_cells(spans, o)).join(r.table.select("rid", "idx", "x0", "y0", "px", "py"), "rid")
     if ordered:
         px = px.orderBy("idx", "fid", "col", "row", "part")
     return extract.pixel_table(px, None, attrs, r.bands, o.rid, "rid", o.col_row, o.xy)
@@ -185,28 +216,27 @@ def table(features: DataFrame, rasters: Rasters | list[Raster], o: Options = Opt
 def statistics(features: DataFrame, rasters: Rasters | list[Raster], o: Options = Options(), masks: list[Raster] | None = None) -> DataFrame:
     """Zonal statistics a feature and raster: cells are distinct before they meet pixels, attributes join behind the aggregate."""
     r, attrs = Rasters.of(rasters), extract.select_fields(features, o.fields)
-    cells = stats.distinct_pixels(cells_of(features, r, o, masks).select("fid", "rid", "col", "row"), ["fid", "rid"])
-    px = extract.join_pixels(cells, r.pixels, ("rid", "col", "row"))
+    twice = any(s in ("mode", "median") for s in o.stats)  # counts of values are a second pass
+    px = r.under(distinct_cells(features, r, o, masks, keep=twice))
     nodata = o.nodata
     if nodata is None:
         px, nodata = px.join(r.table.select("rid", "nodata"), "rid"), F.col("nodata")
     out = stats.two_step_stats(px, r.bands, list(o.stats), ["fid", "rid"], nodata, o.compat)
-    out = out.join(features.select("fid", *attrs), "fid") if attrs else out
+    out = extract.exchanged(out).join(features.select("fid", *attrs), "fid") if attrs else out
     return out.select("fid", *attrs, *(c for c in out.columns if c not in ("fid", *attrs)))
 
 
 def classes(features: DataFrame, rasters: Rasters | list[Raster], o: Options = Options(), band: str = "band1", masks: list[Raster] | None = None) -> DataFrame:
     """Class counts a feature and raster. Nodata counts as a class unless a value is given."""
     r = Rasters.of(rasters)
-    cells = stats.distinct_pixels(cells_of(features, r, o, masks).select("fid", "rid", "col", "row"), ["fid", "rid"])
-    px = extract.join_pixels(cells, r.pixels.select("rid", "col", "row", band), ("rid", "col", "row"))
+    px = r.under(distinct_cells(features, r, o, masks), band)
     return stats.count_by_class(px, band, ["fid", "rid"], o.nodata)
 
 
 def _for_images(features: DataFrame, rasters, o: Options, masks) -> tuple[Rasters, DataFrame]:
-    """Rasters (all bands of all, or one of them a feature) and cells."""
+    """Rasters (all bands of all, or one of them a feature) and cells, whose spans are stored: windows and images read them."""
     r = Rasters.of(rasters) if o.chooses else stacked(rasters)
-    return r, cells_of(features, r, o, masks)
+    return r, cells_of(features, r, o, masks, keep=True).select("fid", "rid", "col", "row")
 
 
 def mini_rasters(features: DataFrame, rasters: Rasters | list[Raster], o: Options = Options(), prefix: str = "", masks: list[Raster] | None = None, suffix: str = ".img") -> tuple[DataFrame, DataFrame]:
@@ -214,7 +244,7 @@ def mini_rasters(features: DataFrame, rasters: Rasters | list[Raster], o: Option
     r, cells = _for_images(features, rasters, o, masks)
     keys = ["fid", "rid"]
     windows = cutout.cutout_windows(cells, r.table, prefix, o.parity, keys, suffix)
-    return windows, cutout.cutouts(cells, r.pixels, r.table, r.bands, o.only_inside, r.nodata(o), o.parity, keys)
+    return windows, cutout.cutouts(cells, r.pixels, r.table, r.bands, o.only_inside, r.nodata(o), o.parity, keys, r.area)
 
 
 def strip(features: DataFrame, rasters: Rasters | list[Raster], o: Options = Options(), masks: list[Raster] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -222,7 +252,7 @@ def strip(features: DataFrame, rasters: Rasters | list[Raster], o: Options = Opt
     r, cells = _for_images(features, rasters, o, masks)
     keys = ["fid", "rid"]
     layout = cutout.strip_layout(cutout.cutout_windows(cells, r.table, keys=keys), o.separation)
-    covered = cutout.strip_pixels(layout, r.pixels, r.table, r.bands, r.nodata(o), cells if o.only_inside else None, keys)
+    covered = cutout.strip_pixels(layout, r.pixels, r.table, r.bands, r.nodata(o), cells if o.only_inside else None, keys, r.area)
     moved = cutout.strip_features(_shaped(features, r, o), layout, r.table, o.rid)
     return layout, cutout.strip_full(layout, covered, r.bands, o.nodata or 0.0), moved
 

@@ -33,13 +33,18 @@ def query(sql: str | None = None) -> Callable[[Result], Result]:
     return put
 
 
+def under_main(cells: DataFrame, s: SparkSession, sf: str) -> DataFrame:
+    """Cells of the main raster with their bands."""
+    return extract.join_pixels(cells, fx.main_pixels(s, sf), area=MAIN.area)
+
+
 def got(s: SparkSession, sf: str) -> DataFrame:
     """Box cells with their bands."""
-    return extract.join_pixels(fx.box_cells(s, sf), fx.main_pixels(s, sf))
+    return under_main(fx.box_cells(s, sf), s, sf)
 
 
 def got3(s: SparkSession, sf: str) -> DataFrame:
-    return extract.join_pixels(fx.flag_box_cells(s, sf), fx.flag_pixels(s, sf), ("rid", "col", "row"))
+    return extract.join_pixels(fx.flag_box_cells(s, sf), fx.flag_pixels(s, sf), ("rid", "col", "row"), area=sum(g.area for g in GRIDS))
 
 
 # statistics
@@ -47,7 +52,7 @@ def got3(s: SparkSession, sf: str) -> DataFrame:
 
 @query(with_("ptcells pix", 'SELECT fid, count(*) AS "numPixels", round(avg(band1), 6) AS avg_band1 FROM ptcells JOIN pix USING (col, "row") GROUP BY fid'))
 def zonal_avg_points(s, sf):
-    out = stats.zonal_stats(extract.join_pixels(fx.point_cells(s, sf), fx.main_pixels(s, sf)), ["band1"], ["avg"])
+    out = stats.zonal_stats(under_main(fx.point_cells(s, sf), s, sf), ["band1"], ["avg"])
     return out.withColumn("avg_band1", F.round("avg_band1", 6))
 
 
@@ -91,7 +96,7 @@ def zonal_stats_int(s, sf):
 
 @query(_with_mode("ptcells pix", '(SELECT * FROM ptcells JOIN pix USING (col, "row"))', 50, True))
 def zonal_stats_all_nodata_compat(s, sf):
-    px = extract.join_pixels(fx.point_cells(s, sf), fx.main_pixels(s, sf))
+    px = under_main(fx.point_cells(s, sf), s, sf)
     return _rounded(stats.zonal_stats(px, ["band1"], INT_STATS, nodata=50, compat=True))
 
 
@@ -120,13 +125,13 @@ def class_counts(s, sf):
 @query(with_("got", "SELECT fid, count(*) AS \"numPixels\", CAST(max(band1) AS DOUBLE) AS max_band1 FROM got WHERE fid = 7 GROUP BY fid"))
 def stats_of_one_feature(s, sf):
     one = extract.by_fid(fx.boxes(s, sf), 7)
-    return stats.zonal_stats(extract.join_pixels(rasterize.boxes_to_cells(one, MAIN), fx.main_pixels(s, sf)), ["band1"], ["max"])
+    return stats.zonal_stats(under_main(rasterize.boxes_to_cells(one, MAIN), s, sf), ["band1"], ["max"])
 
 
 @query(with_("got", "SELECT fid, count(*) AS \"numPixels\", CAST(min(band1) AS DOUBLE) AS min_band1 FROM got WHERE fid = (SELECT min(fid) FROM boxes WHERE CAST(c_nationkey AS VARCHAR) = '5') GROUP BY fid"))
 def stats_by_field_value(s, sf):
     one = extract.by_field(fx.boxes(s, sf), "c_nationkey", 5)
-    return stats.zonal_stats(extract.join_pixels(rasterize.boxes_to_cells(one, MAIN), fx.main_pixels(s, sf)), ["band1"], ["min"])
+    return stats.zonal_stats(under_main(rasterize.boxes_to_cells(one, MAIN), s, sf), ["band1"], ["min"])
 
 
 # pixel tables
@@ -153,7 +158,7 @@ def pixel_table_rasters(s, sf):
 @query(with_("got", "SELECT fid, c_mktsegment, col, \"row\", band1 FROM got WHERE c_mktsegment = 'BUILDING' AND c_nationkey < 10"))
 def where_filter(s, sf):
     f = fx.boxes(s, sf).where("c_mktsegment = 'BUILDING' and c_nationkey < 10")
-    return extract.join_pixels(rasterize.boxes_to_cells(f, MAIN), fx.main_pixels(s, sf)).select("fid", "c_mktsegment", "col", "row", "band1")
+    return under_main(rasterize.boxes_to_cells(f, MAIN), s, sf).select("fid", "c_mktsegment", "col", "row", "band1")
 
 
 @query(with_("ptcells pix", "SELECT fid, n_name, band1 FROM ptcells JOIN nation ON c_nationkey = n_nationkey JOIN pix USING (col, \"row\") WHERE n_regionkey = 1"))
@@ -162,7 +167,7 @@ def sql_layer(s, sf):
         s, "SELECT p.*, n_name FROM quern_points p JOIN quern_nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1",
         quern_points=fx.points(s, sf), quern_nation=fx.table(s, sf, "nation"),
     )
-    return extract.join_pixels(rasterize.points_to_cells(layer, MAIN), fx.main_pixels(s, sf)).select("fid", "n_name", "band1")
+    return under_main(rasterize.points_to_cells(layer, MAIN), s, sf).select("fid", "n_name", "band1")
 
 
 @query(with_("cells pix", 'SELECT c.fid, c.col, c."row", coalesce(b.band1, 0) AS value FROM cells c LEFT JOIN (SELECT * FROM pix WHERE band1 > 45) b USING (col, "row")'))
@@ -176,7 +181,7 @@ def pixel_lookup(s, sf):
     from quern.functions.grid import col_of, row_of
 
     cells = fx.points(s, sf).withColumn("col", col_of("x", MAIN)).withColumn("row", row_of("y", MAIN))
-    return extract.join_pixels(cells, fx.main_pixels(s, sf), how="left").select("fid", "band1", "band3")
+    return extract.join_pixels(cells, fx.main_pixels(s, sf), how="left", area=MAIN.area).select("fid", "band1", "band3")
 
 
 @query(with_("pix", 'SELECT a.col, a."row", a.band1, b.band2 AS band2, b.band3 AS band3 FROM pix a JOIN pix b USING (col, "row")'))
@@ -272,8 +277,8 @@ def line_cells(s, sf):
 
 @query(with_("linecells pix", 'SELECT fid, count(*) AS "numPixels", CAST(sum(band1) AS DOUBLE) AS sum_band1 FROM (SELECT DISTINCT fid, col, "row" FROM linecells) JOIN pix USING (col, "row") GROUP BY fid'))
 def line_stats(s, sf):
-    cells = stats.distinct_pixels(rasterize.segments_to_cells(fx.segments(s, sf), MAIN))
-    return stats.zonal_stats(extract.join_pixels(cells, fx.main_pixels(s, sf)), ["band1"], ["sum"])
+    cells = rasterize.segments_to_distinct_cells(fx.segments(s, sf), MAIN)
+    return stats.zonal_stats(under_main(cells, s, sf), ["band1"], ["sum"])
 
 
 def triangles(s, sf):

@@ -232,9 +232,9 @@ def read_envi(spark: SparkSession, path: str, header: str, rid: str | None = Non
 
 
 def raster_list(spark: SparkSession, grids: list[Grid], bands: int = 1) -> DataFrame:
-    """``rasters(idx, rid, path, width, height, bands, x0, y0, px, py, srs, nodata)`` of grids in list order."""
+    """``rasters(idx, rid, path, width, height, bands, x0, y0, px, py, srs, nodata)`` of grids in list order. Joins send it to every task: it came from the driver, and features that met it by tile would be few tasks' work."""
     rows = [(k, g.rid, g.rid, g.width, g.height, bands, g.x0, g.y0, g.px, g.py, g.srs, g.nodata) for k, g in enumerate(grids)]
-    return spark.createDataFrame(rows, "idx int, rid string, path string, width int, height int, bands int, x0 double, y0 double, px double, py double, srs string, nodata double")
+    return F.broadcast(spark.createDataFrame(rows, "idx int, rid string, path string, width int, height int, bands int, x0 double, y0 double, px double, py double, srs string, nodata double"))
 
 
 def pair_masks(rasters: list, masks: list) -> list[tuple]:

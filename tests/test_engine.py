@@ -260,6 +260,15 @@ def test_cells_of_large_rasters_are_not_broadcast(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_images_read_geometries_once(spark, sf):
+    """Windows, strips and what lies inside read stored spans; cells made of them are not broadcast."""
+    for name in ("run_strip", "run_mini_rasters", "run_windows"):
+        plan = plan_of(plans.QUERIES[name](spark, sf))
+        assert "MapInArrow" not in plan, name
+    inside = plan_of(plans.QUERIES["run_mini_rasters"](spark, sf))
+    assert "SortMergeJoin [fid" in inside
+
+
 def test_streamed_points(spark, sf, tmp_path):
     from quern.streaming.zonal import stream_points, stream_zone_counts
 
