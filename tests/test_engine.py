@@ -269,6 +269,13 @@ def test_images_read_geometries_once(spark, sf):
     assert "SortMergeJoin [fid" in inside
 
 
+def test_rasters_meet_features_everywhere(spark, sf):
+    """Features joined with the few tiles of rasters by an exchange would be the work of as many tasks."""
+    o = x.Options(fields="none", duplicate=[("distance",)])
+    rasters = x.Rasters(tables.raster_list(spark, fx.GRIDS, 1), fx.flag_pixels(spark, sf).select("rid", "col", "row", "band1"))
+    for df in (select.candidates(fx.box_layer(spark, sf), rasters.table), x.pairs(fx.box_layer(spark, sf), rasters, o)):
+        assert "BroadcastHashJoin [__tx" in plan_of(df)
+
 def test_streamed_points(spark, sf, tmp_path):
     from quern.streaming.zonal import stream_points, stream_zone_counts
 
