@@ -276,6 +276,11 @@ def test_rasters_meet_features_everywhere(spark, sf):
     for df in (select.candidates(fx.box_layer(spark, sf), rasters.table), x.pairs(fx.box_layer(spark, sf), rasters, o)):
         assert "BroadcastHashJoin [__tx" in plan_of(df)
 
+def test_cells_are_not_exchanged_for_small_rasters(spark, sf):
+    plan = plan_of(plans.QUERIES["run_table"](spark, sf))
+    assert "BroadcastHashJoin [rid" in plan
+    assert plan.index("Generate") < plan.index("SortMergeJoin [fid")  # attributes join spans, below the cells
+
 def test_streamed_points(spark, sf, tmp_path):
     from quern.streaming.zonal import stream_points, stream_zone_counts
 
