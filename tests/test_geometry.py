@@ -209,3 +209,17 @@ def test_shapefile_records(kind, wkts):
 def test_table_file_round_trip():
     data = wkb.table_file([("n", "bigint"), ("x", "double"), ("s", "string")], [(1, 2.5, "a b"), (None, None, "é")])
     assert wkb.table_records(data) == ([("n", "bigint"), ("x", "double"), ("s", "string")], [(1, 2.5, "a b"), (None, None, "é")])
+
+
+def test_rectangles_as_polygons():
+    rng = random.Random(5)
+    for _ in range(3000):
+        at = lambda: rng.choice([rng.uniform(-3, 12), rng.randint(-12, 48) / 4])
+        (a, c), (b, d) = sorted((at(), at())), sorted((at(), at()))
+        if a == c or b == d:
+            continue
+        ring = [(a, b), (c, b), (c, d), (a, d)]
+        assert geom.rectangle([ring + ring[:1]]) == (a, b, c, d)
+        for p in (0, 0.25, 0.5, 1.0):
+            assert geom.rectangle_spans(a, b, c, d, p, 10, 8) == geom.polygon_spans([ring], p, 10, 8)
+    assert geom.rectangle([[(0, 0), (2, 0), (2, 1), (0, 2), (0, 0)]]) is None
