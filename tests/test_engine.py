@@ -281,6 +281,13 @@ def test_cells_are_not_exchanged_for_small_rasters(spark, sf):
     assert "BroadcastHashJoin [rid" in plan
     assert plan.index("Generate") < plan.index("SortMergeJoin [fid")  # attributes join spans, below the cells
 
+def test_features_are_dealt_before_python(spark, sf):
+    """The layer is one small file: without an exchange its buffers and cells are the work of one task."""
+    for name in ("run_buffers", "buffered_points", "polygon_cells", "polygon_cells_of_boxes", "wkt_line_cells"):
+        plan = plan_of(plans.QUERIES[name](spark, sf))
+        below = plan.split("ArrowEvalPython" if "buffer" in name else "MapInArrow")[-1]
+        assert "Exchange hashpartitioning(fid" in below, name
+
 def test_streamed_points(spark, sf, tmp_path):
     from quern.streaming.zonal import stream_points, stream_zone_counts
 
