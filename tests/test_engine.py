@@ -288,6 +288,16 @@ def test_features_are_dealt_before_python(spark, sf):
         below = plan.split("ArrowEvalPython" if "buffer" in name else "MapInArrow")[-1]
         assert "Exchange hashpartitioning(fid" in below, name
 
+def test_disjoint_spans(spark):
+    """Parts that overlap and rows of one fid give each cell once, and cells are not compared for that."""
+    rows = [(1, "MULTIPOLYGON (((0 0,40 0,40 40,0 40,0 0)),((10.5 10.5,45 10.5,45 39,10.5 39,10.5 10.5)))"), (1, "POLYGON ((2 2,47 3,20 39,2 2))"), (2, "MULTIPOINT (5.5 5.5,5.5 5.5,6.5 5.5)"), (2, "LINESTRING (1.5 5.5,9.5 5.5,4.5 1.5,4.5 9.5)")]
+    layer = tables.with_bounds(spark.createDataFrame(rows, "fid long, wkt string"))
+    rasters = x.Rasters.of([(Grid(50, 40, 0.0, 40.0, rid="a"), spark.createDataFrame([(3, 30, 1)], "col int, row int, band1 int"))])
+    want = x.cells_of(layer, rasters, x.Options()).select("fid", "rid", "col", "row")
+    got = x.distinct_cells(layer, rasters, x.Options())
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.distinct().collect())) and want.count() > got.count()
+    assert "Aggregate" not in plan_of(got)
+
 def test_streamed_points(spark, sf, tmp_path):
     from quern.streaming.zonal import stream_points, stream_zone_counts
 
