@@ -298,6 +298,17 @@ def test_disjoint_spans(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.distinct().collect())) and want.count() > got.count()
     assert "Aggregate" not in plan_of(got)
 
+def test_cells_of_segments_once(spark, sf):
+    """Segments are exchanged by feature, not their cells; only features of several segments are compared by cell."""
+    from quern.operators import rasterize
+
+    s = fx.segments(spark, sf).limit(200).withColumn("fid", F.col("fid") % 120)
+    cells = rasterize.segments_to_cells(s, fx.MAIN).select("fid", "col", "row")
+    got = rasterize.segments_to_distinct_cells(s, fx.MAIN)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, cells.distinct().collect())) and got.count() < cells.count()
+    plan = plan_of(got)
+    assert "hashpartitioning(fid" in plan and not [n for n in plan.splitlines() if "Exchange" in n and "col#" in n.split("hashpartitioning")[-1]]
+
 def test_streamed_points(spark, sf, tmp_path):
     from quern.streaming.zonal import stream_points, stream_zone_counts
 
