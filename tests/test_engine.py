@@ -309,6 +309,11 @@ def test_cells_of_segments_once(spark, sf):
     plan = plan_of(got)
     assert "hashpartitioning(fid" in plan and not [n for n in plan.splitlines() if "Exchange" in n and "col#" in n.split("hashpartitioning")[-1]]
 
+def test_statistics_read_geometries_once(spark, sf):
+    """Mode and median are a second pass over the cells, of stored spans."""
+    for name in ("many_rasters_stats", "run_statistics"):
+        assert "MapInArrow" not in plan_of(plans.QUERIES[name](spark, sf)), name
+
 def test_streamed_points(spark, sf, tmp_path):
     from quern.streaming.zonal import stream_points, stream_zone_counts
 
