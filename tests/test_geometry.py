@@ -223,3 +223,17 @@ def test_rectangles_as_polygons():
         for p in (0, 0.25, 0.5, 1.0):
             assert geom.rectangle_spans(a, b, c, d, p, 10, 8) == geom.polygon_spans([ring], p, 10, 8)
     assert geom.rectangle([[(0, 0), (2, 0), (2, 1), (0, 2), (0, 0)]]) is None
+
+
+def test_segments_at_once():
+    rng = random.Random(6)
+    box, g = (16.3, 27.5, 113.8, 72.0), (16.3, 72.0, 2.5, -0.5)
+    ends = [tuple(rng.choice([rng.uniform(0, 130), float(rng.randint(10, 120))]) for _ in range(4)) for _ in range(2000)]
+    ends += [(a, b, a, d) for a, b, _, d in ends[:200]] + [(a, b, c, b) for a, b, c, _ in ends[:200]] + [(a, b, a, b) for a, b, _, _ in ends[:200]]
+    got = [[] for _ in ends]
+    for numbers, cols, rows in geom.segment_cells(np.array(ends), box, *g, most=500):
+        for k, c, r in zip(numbers.tolist(), cols.tolist(), rows.tolist()):
+            got[k].append((c, r))
+    for (a, b, c, d), cells in zip(ends, got):
+        rel = [[(u - g[0], v - g[1]) for u, v in piece] for piece in geom.clip_line([(a, b), (c, d)], box)]
+        assert cells == [k for p, q in rel for k in geom.line_cells(p, q, g[2], g[3], True)]
